@@ -9,14 +9,25 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .jaccard import jaccard_components
+from .licenses import scan_licenses
 from .lines import dedup_lines
 from .mixing import mix_sources
+from .outliers import reject_outliers
 from .packing import pack_documents
+from .pii import find_pii
 from .quality import fit_quality, held_out, score_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op2_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reject_outliers(table(spark, sf_dir, "documents"))
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -41,7 +52,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_pack, op5_line_dedup, op6_mix, op7_jaccard, op9_quality)}
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("detections")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_pii, op2_outliers, op4_pack, op5_line_dedup, op6_mix, op7_jaccard, op9_quality, op10_licenses)}
 
 #: The blanks of the line key, and words.
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
