@@ -52,5 +52,11 @@ def confidence_points(c: Column) -> Column:
     return F.when(c == "alta", 20).when(c == "media", 10).otherwise(0)
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """Half up by plain double arithmetic, which every engine does alike."""
+    scale = float(10**digits)
+    return F.floor(c * scale + 0.5) / scale
+
+
 def money(c: Column) -> Column:
     return F.when(c.isNull(), "prezzo non disponibile").otherwise(F.format_string("€%.2f", c))
