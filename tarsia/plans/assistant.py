@@ -6,6 +6,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import search_text
 from ..operators.offers import offer_records
@@ -79,7 +80,7 @@ def answer(cat: Catalog, text: str, interpreter: Interpreter | None = None, rank
     rows = [r.asDict() for r in top.collect()]
     if ranking and not q.specific:
         spark = cat.products.sparkSession
-        frame = spark.createDataFrame([(*r.values(), i) for i, r in enumerate(rows)], top.schema.add("pos", "int"))
+        frame = spark.createDataFrame([(*r.values(), i) for i, r in enumerate(rows)], T.StructType([*top.schema.fields, T.StructField("pos", T.IntegerType())]))
         safe = {k: v[:140] for k, v in (reasons or {}).items() if "€" not in v}
         rows = [r.asDict() for r in rerank(frame, ranking, safe).drop("pos").collect()]
     rows = rows[:CARDS]
