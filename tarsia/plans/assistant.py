@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import search_text
 from ..operators.offers import offer_records
 from ..operators.predict import predict
-from ..operators.rank import CARDS, cards, rank_products, rank_records, rerank
+from ..operators.rank import CARDS, cards, rank_products, rank_records, rerank, with_blob
 from ..operators.retrieve import candidates, offer_first
 from ..sources.catalog import Catalog
 from .intent import Interpreter, Question, parse, refine
@@ -42,21 +41,30 @@ def sufficient(found: DataFrame, q: Question, limit: int) -> bool:
 
 
 def ranked_products(cat: Catalog, q: Question, diagnostics: dict | None = None) -> DataFrame:
-    """The products that the question's plan looks at."""
+    """The products that the question's plan looks at.
+
+    Bounded candidates are ranked if there are enough, else all products. A question for
+    discounts or a budget that names nothing is driven by offers if it finds no candidates.
+    """
     d = {} if diagnostics is None else diagnostics
-    limit = q.limit
-    general = not (q.category or q.brand or q.product_keywords or q.model_terms)
-    if general and (q.intent == "discount_ranking" or (q.intent == "best_under_budget" and q.budget is not None)):
-        mode = "discount" if q.intent == "discount_ranking" else "budget"
-        ids = offer_first(cat.offers, mode, q.budget)
-        d["offer_first"] = mode
-        some = cat.products.join(F.broadcast(ids.withColumnRenamed("product_id", "id")), "id").orderBy("pos")
-        return some.withColumns({"blob": search_text(F.concat_ws(" ", "name", "search_keywords", "category")), "plain": search_text("name"), "score": F.lit(1.0)}).drop("pos").limit(limit)
-    found = bounded(cat.products, q)
-    if not sufficient(found, q, limit):
-        d["fallback"] = "full scan"
-        found = cat.products
-    return rank_products(found, q, limit)
+    limit, mode, found = q.limit, q.offer_first, bounded(cat.products, q)
+    if mode is None:
+        if not sufficient(found, q, limit):
+            d["fallback"], found = "full scan", cat.products
+        return rank_products(found, q, limit)
+    ranked = rank_products(found, q, limit)
+    if not ranked.isEmpty():
+        return ranked
+    d["offer_first"] = mode
+    ids = offer_first(cat.offers, mode, q.budget).withColumnRenamed("product_id", "id")
+    some = cat.products.join(F.broadcast(ids), "id")  # at most OFFER_PRODUCTS
+    ranked = rank_products(some.drop("pos"), q, limit)
+    if not ranked.isEmpty():
+        return ranked
+    if mode == "discount" and not some.isEmpty():
+        return with_blob(some.orderBy("pos")).withColumn("score", F.lit(0.0)).drop("pos").limit(limit)
+    d["fallback"] = "full scan"
+    return with_blob(cat.products).withColumn("score", F.lit(0.0)) if mode == "discount" else rank_products(cat.products, q, limit)
 
 
 def ranked_records(cat: Catalog, q: Question, diagnostics: dict | None = None) -> DataFrame:

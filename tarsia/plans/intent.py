@@ -103,10 +103,17 @@ class Question:
     def categories(self) -> tuple[str, ...]:
         return _unique((self.category, *vocab.CATEGORY_FALLBACKS.get(self.category, ()))) if self.category else ()
 
+    @property
+    def offer_first(self) -> str | None:
+        """How offers may drive a question that names no category, brand or product."""
+        if self.category or self.brand or self.specific:
+            return None
+        return "discount" if self.intent == "discount_ranking" else "budget" if self.intent == "best_under_budget" and self.budget is not None else None
+
     @property
     def limit(self) -> int:
         """How many candidates the plan ranks."""
-        by = {"discount_ranking": 160, "best_under_budget": 160 if self.category else 300, "cheapest_offer": 40, "category_recommendation": 40}
+        by = {"discount_ranking": 160, "best_under_budget": 160 if self.category or self.keywords else 300, "cheapest_offer": 40, "category_recommendation": 40}
         n = by.get(self.intent, 5)
         return max(20, n) if self.specific else n
 
