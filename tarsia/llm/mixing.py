@@ -3,14 +3,13 @@
 Each document is to be taken target / source size times: the whole part of that for
 certain, the rest with that probability. The flight phase moves these probabilities
 through the null-space of two constraints, the number of documents and of words, until
-all but three documents of a block are decided. What blocks leave is merged by a tree and
-moved on; at most three documents of a source are left to the landing phase.
+all but three documents of a block are decided. What blocks leave, with a
+few documents of all sizes, is merged by a tree and moved on; fifteen documents of a source at most are
+left to the landing phase.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +21,8 @@ from .common import save, scratch
 BLOCK = 20_000
 #: Blocks whose rests are merged into one at each step of the tree.
 MERGE = 256
+#: So many documents, of sizes that halve, stay out of a source's flight for the landing, and so many of a block are handed on.
+LANDING, HANDED_ON = 12, 6
 WORD = r"[^\x20\x09-\x0D]+"
 EDGE = 1e-9
 
@@ -77,20 +78,32 @@ def _flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.nda
 
 
 def _landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Decide what is left so that the words, then the documents, come nearest."""
+    """Decide what is left, all ways being tried, so that the words and then the documents come nearest."""
     left = np.flatnonzero((p > 0) & (p < 1))
-    best = min(product((0.0, 1.0), repeat=len(left)), key=lambda x: (abs(sum((v - p[i]) * size[i] for v, i in zip(x, left, strict=True))), abs(sum(v - p[i] for v, i in zip(x, left, strict=True))), x))
+    ways = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
+    words, docs = ways @ size[left] - p[left] @ size[left], ways.sum(1) - p[left].sum()
     p = p.copy()
-    p[left] = best
+    p[left] = ways[np.argmin(np.abs(words) + 0.01 * np.abs(docs))]
     return p
 
 
+def _spread(size: np.ndarray, n: int) -> np.ndarray:
+    """Up to n rows of sizes that halve from the largest on: their sums come near any number of words."""
+    free = np.ones(len(size), bool)
+    for k in range(min(n, len(size))):
+        rows = np.flatnonzero(free)
+        free[rows[np.argmin(np.abs(size[rows] - size.max() / 2**k))]] = False
+    return np.flatnonzero(~free)
+
+
 def _moved(seed: int, last: bool):
     def move(df: pd.DataFrame) -> pd.DataFrame:
-        # large documents first: what is left in the end is small
+        # large documents first; some stay out of the flight, and are what the landing is left with
         df = df.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        size = df["size"].to_numpy(float)
-        p = _flight(df["p"].to_numpy(float), size, np.random.default_rng([seed, len(df), int(size.sum())]))
+        size, p = df["size"].to_numpy(float), df["p"].to_numpy(float)
+        out = _spread(size, LANDING if last else HANDED_ON)
+        fly = np.setdiff1d(np.arange(len(df)), out)
+        p[fly] = _flight(p[fly], size[fly], np.random.default_rng([seed, len(df), int(size.sum())]))
         df["p"] = _landing(p, size) if last else p
         return df
 

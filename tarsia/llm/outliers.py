@@ -30,7 +30,7 @@ P = len(STATS)
 #: Rows of the estimate's core, and the median of chi-squared with P degrees of freedom.
 CORE, MEDIAN = 0.75, 4.3515
 #: Squared distance beyond which a row is rejected.
-FAR = 120.0
+FAR = 300.0
 #: Groups of fewer rows are estimated with all small groups of their language, or with all.
 LEAST = 100
 STEPS = 4

@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, save, scratch, slices
+from .common import batches_of, partitions_for, save, scratch, slices
 
 #: Equal payloads of fewer bytes are stored each time.
 LEAST = 100
@@ -32,6 +32,8 @@ LEAST = 100
 BLOCK, SHARD = 512, 200_000
 #: Records of one file that lie this close are read together, up to so many bytes.
 GAP, READ = 64 << 10, 8 << 20
+#: Bytes of records that one task reads.
+TASK = 64 << 20
 DATE = "1970-01-01T00:00:00Z"
 CRLF = b"\r\n"
 
@@ -307,7 +309,10 @@ def read_records(places: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the records at (file, offset, length)."""
     # a file's neighbouring records stay together, in runs that bound what one task reads
     run = F.floor(F.col("offset") / F.lit(16 << 20))
-    return places.withColumn("run", run).repartition("file", "run").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(partial(_read, folder), RECORD)
+    size = places.agg(F.sum("length")).first()[0] or 0
+    # the rows are small but stand for what is read: so the number of tasks is given
+    n = partitions_for(places.sparkSession, size, TASK)
+    return places.withColumn("run", run).repartition(n, "file", "run").sortWithinPartitions("file", "offset").select("file", "offset", "length").mapInArrow(partial(_read, folder), RECORD)
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
