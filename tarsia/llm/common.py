@@ -80,16 +80,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Edges that are contracted at once.
+EDGES = 1_000_000
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) to (node, smallest node it reaches by them), in chunks: what hubs add to a chunk stays small."""
+
+    def star(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        low = np.arange(len(nodes))
+        while True:
+            m = np.minimum(low[x], low[y])
+            new = low.copy()
+            np.minimum.at(new, low[x], m)
+            np.minimum.at(new, low[y], m)
+            np.minimum.at(new, x, m)
+            np.minimum.at(new, y, m)
+            new = new[new]
+            if (new == low).all():
+                break
+            low = new
+        far = low != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[low[far]])], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= EDGES:
+            yield star(*(np.concatenate([h.column(i).to_numpy() for h in held]) for i in (0, 1)))
+            held, rows = [], 0
+    if rows:
+        yield star(*(np.concatenate([h.column(i).to_numpy() for h in held]) for i in (0, 1)))
+
+
 def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node reaches; nodes without edges are absent.
 
-    Alternating large-star and small-star steps; each round is one written table,
-    nothing is gathered on the driver but a count and a checksum.
+    Edges are contracted to stars within chunks first. Then alternating large-star and
+    small-star steps; each round is one written table, nothing is gathered on the driver
+    but a count and a checksum.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    e = save(e, f"{path}/edges-0")
+    n = edges.count()
+    near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
+    e = save(near.coalesce(max(1, -(-n // EDGES))).mapInArrow(_forest, "a long, b long"), f"{path}/edges-0")
     seen = None
     for i in range(1, rounds + 1):
+        if n <= EDGES:
+            break  # one chunk held them all
         both = e.union(e.select(F.col("b"), F.col("a"))).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         big = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b").distinct()

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -378,9 +379,77 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(tok))], ["doc", "tok"])
 
 
+def _compared(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of two blocks, in different components, that sizes, infrequent tokens and parities don't rule out."""
+    out_a, out_b = [], []
+    x = x.assign(wide=x["bits"].map(len))
+    y = y.assign(wide=y["bits"].map(len))
+    for wide_x, left in x.groupby("wide"):
+        for wide_y, right in y.groupby("wide"):
+            if not wide_x // 2 <= wide_y <= 2 * wide_x:
+                continue
+            wide = min(wide_x, wide_y)
+            bits = []
+            for part, has in ((left, wide_x), (right, wide_y)):
+                m = np.frombuffer(b"".join(part["bits"]), np.uint8).reshape(len(part), has)
+                bits.append((m[:, :wide] ^ m[:, wide:] if has > wide else m).view(np.uint64))
+            n, r, c, d = (right[k].to_numpy() for k in ("n", "rare", "c", "doc"))
+            for i, (na, ra, ca, da) in enumerate(zip(left["n"], left["rare"], left["c"], left["doc"], strict=True)):
+                most = (na + n) // 7
+                ok = np.flatnonzero((ca != c) & (4 * np.minimum(na, n) >= 3 * np.maximum(na, n)) & (ra + r <= most))
+                if len(ok):
+                    ok = ok[np.bitwise_count(bits[1][ok] ^ bits[0][i]).sum(1) <= most[ok]]
+                    out_a.append(np.minimum(da, d[ok]))
+                    out_b.append(np.maximum(da, d[ok]))
+    empty = [np.empty(0, np.int64)]
+    return pd.DataFrame({"a": np.concatenate(out_a or empty), "b": np.concatenate(out_b or empty)})
+
+
+#: Documents of a block of round 3.
+BLOCK = 1000
+
+
+def _across(few: DataFrame, docs: DataFrame, path: str) -> DataFrame:
+    """Candidates among mostly frequent documents (doc_id, n, rare, c) that lie in different components c.
+
+    Documents that share one of the tokens of which similar ones must share one form a
+    family. A family's components are cut into blocks, small ones together; blocks of one
+    and the same component needn't meet, others are compared pair by pair.
+    """
+    texts = docs.join(few, "doc_id", "left_semi").select("doc_id", "text")
+    tokens = save(texts.mapInArrow(_tokens, "doc long, tok long").distinct(), f"{path}/tokens")
+    low = tokens.groupBy("tok").agg(F.min("doc").alias("b"))
+    family = components(tokens.join(low, "tok").select(F.col("doc").alias("a"), "b").distinct(), f"{path}/families")
+    with batches_of(docs.sparkSession, 2000):
+        bits = save(texts.mapInArrow(_sets, SETS).select("doc", "bits").groupBy("doc").agg(F.first("bits").alias("bits")), f"{path}/bits")
+    rows = few.join(family, few.doc_id == family.node).select(F.col("doc_id").alias("doc"), "n", "rare", "c", F.col("component").alias("family"))
+    sizes = rows.groupBy("family", "c").agg(F.count("*").alias("members"))
+    large = F.col("members") >= BLOCK
+    small = sizes.groupBy("family").agg(F.sum(F.when(~large, F.col("members"))).alias("loose"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(sizes.join(small, "family"), ["family", "c"])
+    own = F.when(large, F.col("c")).otherwise(-1)
+    dealt = F.when(large, F.pmod(F.xxhash64("doc"), F.ceil(F.col("members") / BLOCK))).otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.col("loose") / BLOCK)))
+    rows = save(rows.select("doc", "n", "rare", "c", "family", own.alias("own"), dealt.cast("long").alias("k")), f"{path}/rows")
+    blocks = rows.select("family", "own", "k").distinct()
+    x, y = blocks.alias("x"), blocks.alias("y")
+    meet = x.join(y, F.expr("x.family = y.family and struct(x.own, x.k) <= struct(y.own, y.k) and (x.own < 0 or x.own <> y.own)"))
+    meet = save(meet.select(F.col("x.family").alias("family"), F.col("x.own").alias("o1"), F.col("x.k").alias("k1"), F.col("y.own").alias("o2"), F.col("y.k").alias("k2")), f"{path}/meet")
+    keys = ["family", "o1", "k1", "o2", "k2"]
+
+    def side(i: int) -> DataFrame:
+        # read anew for each side, so that their columns are told apart
+        r, b, m = (docs.sparkSession.read.schema(t.schema).parquet(f"{path}/{n}") for t, n in ((rows, "rows"), (bits, "bits"), (meet, "meet")))
+        at = ["family", f"o{i}", f"k{i}"]
+        return r.join(b, "doc").withColumnsRenamed({"own": at[1], "k": at[2]}).join(m, at)
+
+    left, right = side(1), side(2)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compared, "a long, b long")
+
+
 # -- verification --------------------------------------------------------------------------
 
 SMALL = 8 << 20
+SETS = "doc long, n long, bits binary, tokens binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +458,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bits, sets, n = [], [], []
             for t in b.column(1):
                 s = shingles(t.as_py())
-                wide = max(64, 1 << (2 * max(1, len(s)) - 1).bit_length())
+                wide = max(64, 1 << (len(s) - 1).bit_length())
                 odd = np.bincount((s & U(wide - 1)).astype(np.int64), minlength=wide) & 1
                 bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
                 sets.append(s.tobytes())
@@ -435,7 +504,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
     spark = docs.sparkSession
     with batches_of(spark, 2000):
-        sets = save(texts.mapInArrow(_sets, "doc long, n long, bits binary, tokens binary"), f"{path}/sets")
+        sets = save(texts.mapInArrow(_sets, SETS), f"{path}/sets")
 
     def beside(p: DataFrame, column: str) -> DataFrame:
         for side in "ab":
@@ -507,13 +576,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     few = left.join(sizes, "doc_id").join(common, "doc_id").select("doc_id", "n", (F.col("n") - F.col("often")).alias("rare")).where("3 * rare <= n")
     few = few.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "rare", F.coalesce("component", "doc_id").alias("c"))
     few = save(few, f"{path}/few")
-    tokens = docs.join(few, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_tokens, "doc long, tok long").distinct()
-    tokens = save(tokens.join(few, F.col("doc") == F.col("doc_id")).select("tok", "doc", "n", "rare", "c"), f"{path}/tokens")
-    split = tokens.groupBy("tok").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("tok")
-    apart = tokens.join(split, "tok", "left_semi")
-    x, y = apart.alias("x"), apart.alias("y")
-    across = x.join(y, F.expr("x.tok = y.tok and x.c < y.c and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n) and 7 * (x.rare + y.rare) <= x.n + y.n"))
-    across = across.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+    across = _across(few, docs, f"{path}/across")
     links = links.union(_verified(across, docs, f"{path}/v2"))
 
     links = save(links.distinct(), f"{path}/links")
