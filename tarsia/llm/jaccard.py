@@ -281,6 +281,11 @@ def _runs(cross: bool, blobs: list[tuple]) -> Iterator[pa.RecordBatch]:
         span = int(size.max()) + 1
         at = np.searchsorted(run * span + size, run[often] * span + -(-3 * size[often] // 4))
         meet(at[at != often], often[at != often])
+        # and a few of those before it, so that what isn't like the first is found by others
+        for d in (1, 2, 4):
+            i = often[often >= d]
+            i = i[run[i - d] == run[i]]
+            meet(i - d, i)
         said = often if not cross else often[(flag[often] & CHOSEN) > 0]
         if len(said):
             low = (flag[said] & LOWER) > 0
@@ -380,8 +385,20 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks, in different components, that sizes, infrequent tokens and parities don't rule out."""
-    out_a, out_b = [], []
+    """Links between two blocks that join components.
+
+    Sizes, infrequent tokens and parities rule pairs out, the sets decide. Pairs whose
+    components are joined by then need no look.
+    """
+    up: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (above := up.get(c, c)) != c:
+            up[c] = up.get(above, above)
+            c = above
+        return c
+
+    links: list[tuple[int, int]] = []
     x = x.assign(wide=x["bits"].map(len))
     y = y.assign(wide=y["bits"].map(len))
     for wide_x, left in x.groupby("wide"):
@@ -393,57 +410,70 @@ def _compared(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             for part, has in ((left, wide_x), (right, wide_y)):
                 m = np.frombuffer(b"".join(part["bits"]), np.uint8).reshape(len(part), has)
                 bits.append((m[:, :wide] ^ m[:, wide:] if has > wide else m).view(np.uint64))
-            n, r, c, d = (right[k].to_numpy() for k in ("n", "rare", "c", "doc"))
-            for i, (na, ra, ca, da) in enumerate(zip(left["n"], left["rare"], left["c"], left["doc"], strict=True)):
+            n, r, c = (right[k].to_numpy() for k in ("n", "rare", "c"))
+            for i, (na, ra, ca, da, ta) in enumerate(zip(left["n"], left["rare"], left["c"], left["doc"], left["tokens"], strict=True)):
                 most = (na + n) // 7
                 ok = np.flatnonzero((ca != c) & (4 * np.minimum(na, n) >= 3 * np.maximum(na, n)) & (ra + r <= most))
                 if len(ok):
                     ok = ok[np.bitwise_count(bits[1][ok] ^ bits[0][i]).sum(1) <= most[ok]]
-                    out_a.append(np.minimum(da, d[ok]))
-                    out_b.append(np.maximum(da, d[ok]))
-    empty = [np.empty(0, np.int64)]
-    return pd.DataFrame({"a": np.concatenate(out_a or empty), "b": np.concatenate(out_b or empty)})
+                for j in ok.tolist():
+                    ra_, rb_ = root(int(ca)), root(int(c[j]))
+                    if ra_ != rb_ and _alike(np.frombuffer(ta, U), np.frombuffer(right["tokens"].iat[j], U)):
+                        up[max(ra_, rb_)] = min(ra_, rb_)
+                        links.append((int(da), int(right["doc"].iat[j])))
+    return pd.DataFrame({"a": [min(p) for p in links], "b": [max(p) for p in links]}, dtype="int64")
 
 
-#: Documents of a block of round 3.
-BLOCK = 1000
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Exactly: whether two sorted sets of distinct tokens have a similarity of 0.75 or more."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= 75 * (len(x) + len(y) - common)
+
+
+#: Documents, and tokens, of a block of round 3.
+BLOCK, BLOCK_TOKENS = 1000, 1_000_000
 
 
 def _across(few: DataFrame, docs: DataFrame, path: str) -> DataFrame:
-    """Candidates among mostly frequent documents (doc_id, n, rare, c) that lie in different components c.
+    """Links among mostly frequent documents (doc_id, n, rare, c) that lie in different components c.
 
     Documents that share one of the tokens of which similar ones must share one form a
     family. A family's components are cut into blocks, small ones together; blocks of one
     and the same component needn't meet, others are compared pair by pair.
     """
-    texts = docs.join(few, "doc_id", "left_semi").select("doc_id", "text")
+    texts = only(docs, few.select("doc_id"))
     tokens = save(texts.mapInArrow(_tokens, "doc long, tok long").distinct(), f"{path}/tokens")
     low = tokens.groupBy("tok").agg(F.min("doc").alias("b"))
     family = components(tokens.join(low, "tok").select(F.col("doc").alias("a"), "b").distinct(), f"{path}/families")
     with batches_of(docs.sparkSession, 2000):
-        bits = save(texts.mapInArrow(_sets, SETS).select("doc", "bits").groupBy("doc").agg(F.first("bits").alias("bits")), f"{path}/bits")
+        sets = texts.mapInArrow(partial(_sets, True), SETS).select("doc", "bits", "tokens")
+        sets = save(sets.groupBy("doc").agg(F.first("bits").alias("bits"), F.first("tokens").alias("tokens")), f"{path}/sets")
     rows = few.join(family, few.doc_id == family.node).select(F.col("doc_id").alias("doc"), "n", "rare", "c", F.col("component").alias("family"))
-    sizes = rows.groupBy("family", "c").agg(F.count("*").alias("members"))
-    large = F.col("members") >= BLOCK
-    small = sizes.groupBy("family").agg(F.sum(F.when(~large, F.col("members"))).alias("loose"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(sizes.join(small, "family"), ["family", "c"])
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+    sizes = rows.groupBy("family", "c").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).withColumn("blocks", blocks)
+    large = F.col("blocks") > 1
+    small = sizes.groupBy("family").agg(F.sum(F.when(~large, F.col("members"))).alias("members"), F.sum(F.when(~large, F.col("tokens"))).alias("tokens"), F.count("*").alias("parts")).where("parts > 1")
+    rows = rows.join(sizes.select("family", "c", F.col("blocks").alias("blocks")).join(small.select("family", blocks.alias("loose")), "family"), ["family", "c"])
     own = F.when(large, F.col("c")).otherwise(-1)
-    dealt = F.when(large, F.pmod(F.xxhash64("doc"), F.ceil(F.col("members") / BLOCK))).otherwise(F.pmod(F.xxhash64("c"), F.ceil(F.col("loose") / BLOCK)))
+    dealt = F.when(large, F.pmod(F.xxhash64("doc"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("c"), F.col("loose")))
     rows = save(rows.select("doc", "n", "rare", "c", "family", own.alias("own"), dealt.cast("long").alias("k")), f"{path}/rows")
-    blocks = rows.select("family", "own", "k").distinct()
-    x, y = blocks.alias("x"), blocks.alias("y")
+    parts = rows.select("family", "own", "k").distinct()
+    x, y = parts.alias("x"), parts.alias("y")
     meet = x.join(y, F.expr("x.family = y.family and struct(x.own, x.k) <= struct(y.own, y.k) and (x.own < 0 or x.own <> y.own)"))
     meet = save(meet.select(F.col("x.family").alias("family"), F.col("x.own").alias("o1"), F.col("x.k").alias("k1"), F.col("y.own").alias("o2"), F.col("y.k").alias("k2")), f"{path}/meet")
     keys = ["family", "o1", "k1", "o2", "k2"]
 
     def side(i: int) -> DataFrame:
         # read anew for each side, so that their columns are told apart
-        r, b, m = (docs.sparkSession.read.schema(t.schema).parquet(f"{path}/{n}") for t, n in ((rows, "rows"), (bits, "bits"), (meet, "meet")))
+        r, b, m = (docs.sparkSession.read.schema(t.schema).parquet(f"{path}/{n}") for t, n in ((rows, "rows"), (sets, "sets"), (meet, "meet")))
         at = ["family", f"o{i}", f"k{i}"]
         return r.join(b, "doc").withColumnsRenamed({"own": at[1], "k": at[2]}).join(m, at)
 
     left, right = side(1), side(2)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compared, "a long, b long")
+    with batches_of(docs.sparkSession, 250):
+        return save(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compared, "a long, b long"), f"{path}/links")
 
 
 # -- verification --------------------------------------------------------------------------
@@ -452,7 +482,7 @@ SMALL = 8 << 20
 SETS = "doc long, n long, bits binary, tokens binary"
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(whole_sets: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(whole, SMALL):
             bits, sets, n = [], [], []
@@ -461,7 +491,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 wide = max(64, 1 << (len(s) - 1).bit_length())
                 odd = np.bincount((s & U(wide - 1)).astype(np.int64), minlength=wide) & 1
                 bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
-                sets.append(s.tobytes())
+                sets.append(s.tobytes() if whole_sets else None)
                 n.append(len(s))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], ["doc", "n", "bits", "tokens"])
 
@@ -486,34 +516,40 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keep = []
-        for i, (xa, xb) in enumerate(zip(b.column("xa"), b.column("xb"), strict=True)):
-            x, y = np.frombuffer(xa.as_buffer(), U), np.frombuffer(xb.as_buffer(), U)
-            both = np.concatenate((x, y))
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            if 100 * common >= 75 * (len(x) + len(y) - common):
-                keep.append(i)
+        keep = [i for i, (x, y) in enumerate(zip(b.column("xa"), b.column("xb"), strict=True)) if _alike(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U))]
         yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+#: So many ids are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents with these ids (column doc_id). Few ids go to the texts, not the texts to them."""
+    ids = ids.distinct()
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     """The candidate pairs (a, b) that truly link."""
-    pairs = save(pairs.distinct(), f"{path}/pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
     spark = docs.sparkSession
-    with batches_of(spark, 2000):
-        sets = save(texts.mapInArrow(_sets, SETS), f"{path}/sets")
+    pairs = save(pairs.distinct(), f"{path}/pairs")
+
+    def sets_of(p: DataFrame, name: str, whole_sets: bool) -> DataFrame:
+        ids = save(p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct(), f"{path}/{name}-ids")
+        with batches_of(spark, 2000):
+            got = only(docs, ids).mapInArrow(partial(_sets, whole_sets), SETS)
+            return save(got.dropDuplicates(["doc"]) if whole_sets else got.groupBy("doc").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), f"{path}/{name}")
 
-    def beside(p: DataFrame, column: str) -> DataFrame:
+    def beside(p: DataFrame, sets: DataFrame, column: str) -> DataFrame:
         for side in "ab":
             p = p.join(sets.select(F.col("doc").alias(side), F.col("n").alias("n" + side), F.col(column).alias("x" + side)), side)
         return p.select("a", "b", "na", "nb", "xa", "xb")
 
-    near = save(beside(pairs, "bits").mapInArrow(_near, "a long, b long"), f"{path}/near")
+    near = save(beside(pairs, sets_of(pairs, "bits", False), "bits").mapInArrow(_near, "a long, b long"), f"{path}/near")
+    sets = sets_of(near, "sets", True)
     with batches_of(spark, 250):
-        return save(beside(near, "tokens").mapInArrow(_linked, "a long, b long"), f"{path}/links")
+        return save(beside(near, sets, "tokens").mapInArrow(_linked, "a long, b long"), f"{path}/links")
 
 
 # -- the operator ------------------------------------------------------------------------------
@@ -557,13 +593,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     band = F.aggregate(low, F.lit(-1), lambda n, x: n + F.when(x <= F.col("n"), 1).otherwise(0)) - F.col("lower")
     open_ = marked.join(sizes, marked.a == sizes.doc_id).where(F.size("bad") + F.col("empty") > F.element_at(slack, band.cast("int") + 1))
     hard = save(open_.groupBy("doc_id").agg(F.max(F.when(F.col("lower") == 0, F.col("bad"))).alias("own"), F.max(F.when(F.col("lower") == 1, F.col("bad"))).alias("lower"), F.max("n").alias("n")), f"{path}/hard")
-    texts = docs.join(hard, "doc_id").select("doc_id", "text", "own", "lower")
+    texts = only(docs, hard.select("doc_id")).join(hard, "doc_id").select("doc_id", "text", "own", "lower")
     rows = int(hard.agg(F.sum("n")).first()[0] or 0)
     parts2 = partitions_for(spark, 3 * rows, PARTITION_ROWS)
     second = _found(texts.mapInArrow(partial(_round2, parts2), OUT), True, parts2, f"{path}/second")
 
     left = save(second.where(f"kind = {MARK}").select(F.col("a").alias("doc_id")).distinct(), f"{path}/left")
-    open3 = docs.join(left, "doc_id", "left_semi")
+    open3 = only(docs, left)
     parts3 = partitions_for(spark, rows, PARTITION_ROWS)
     third = _found(open3.select("doc_id", "text").mapInArrow(partial(_round3, parts3), OUT), False, parts3, f"{path}/third")
 
@@ -577,7 +613,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     few = few.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "rare", F.coalesce("component", "doc_id").alias("c"))
     few = save(few, f"{path}/few")
     across = _across(few, docs, f"{path}/across")
-    links = links.union(_verified(across, docs, f"{path}/v2"))
+    links = links.union(across)
 
     links = save(links.distinct(), f"{path}/links")
     found = components(links, f"{path}/c2")
