@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import batches_of, components, mix, partitions_for, save, scratch, slices
+from .common import EDGES, batches_of, components, mix, partitions_for, save, scratch, slices
 
 WORDS = 5
 #: A bucket of more members is frequent.
@@ -520,6 +520,25 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a chunk of pairs, those that connect what the ones before them don't."""
+    up: dict[int, int] = {}
+    for b in batches:
+        keep = []
+        for i, (x, y) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            for end in (x, y):
+                while (above := up.get(end, end)) != end:
+                    up[end] = up.get(above, above)
+                    end = above
+                x, y = y, end
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                keep.append(i)
+        if len(up) > EDGES:
+            up.clear()
+        yield b.take(pa.array(keep, pa.int64()))
+
+
 #: So many ids are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -546,10 +565,21 @@ def _verified(pairs: DataFrame, docs: DataFrame, path: str) -> DataFrame:
             p = p.join(sets.select(F.col("doc").alias(side), F.col("n").alias("n" + side), F.col(column).alias("x" + side)), side)
         return p.select("a", "b", "na", "nb", "xa", "xb")
 
+    def exact(p: DataFrame, name: str) -> DataFrame:
+        with batches_of(spark, 250):
+            return save(beside(p, sets, "tokens").mapInArrow(_linked, "a long, b long"), f"{path}/{name}")
+
     near = save(beside(pairs, sets_of(pairs, "bits", False), "bits").mapInArrow(_near, "a long, b long"), f"{path}/near")
     sets = sets_of(near, "sets", True)
-    with batches_of(spark, 250):
-        return save(beside(near, sets, "tokens").mapInArrow(_linked, "a long, b long"), f"{path}/links")
+    # a forest of the pairs first; of the others, those that it leaves unconnected
+    tree = save(near.coalesce(max(1, -(-near.count() // EDGES))).mapInArrow(_trees, "a long, b long"), f"{path}/tree")
+    links = exact(tree, "links-1")
+    found = components(links, f"{path}/c")
+    rest = near.join(tree, ["a", "b"], "left_anti")
+    for side in "ab":
+        rest = rest.join(found.select(F.col("node").alias(side), F.col("component").alias("c" + side)), side, "left")
+    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    return links.union(exact(rest, "links-2"))
 
 
 # -- the operator ------------------------------------------------------------------------------
