@@ -341,15 +341,12 @@ def _round2(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 chosen[order] = settled
                 own = np.repeat(np.arange(len(seg)), count)
                 drop = _sign(total[own] - h, seg[own], band)
-                if lower:
-                    block.add(at, sig[chosen], lower | CHOSEN)
-                    block.add(at, drop[chosen[own]], lower | CHOSEN | DELETION)
-                else:
-                    rest = (count[own] > 2) & ~chosen[own]
-                    block.add(at, sig[~chosen], 0)
-                    block.add(at, drop[rest], DELETION)
-                    block.add(at, sig[chosen], CHOSEN)
-                    block.add(at, drop[chosen[own]], CHOSEN | DELETION)
+                # all that a settled partner may choose, in the lower band too: that partner isn't marked for round 3
+                rest = (count[own] > 2) & ~chosen[own]
+                block.add(at, sig[~chosen], lower)
+                block.add(at, drop[rest], lower | DELETION)
+                block.add(at, sig[chosen], lower | CHOSEN)
+                block.add(at, drop[chosen[own]], lower | CHOSEN | DELETION)
             if block.full():
                 yield from block.flush(marks)
     yield from block.flush(marks)

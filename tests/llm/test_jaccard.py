@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from tarsia.llm.jaccard import jaccard_components
+from tarsia.llm.jaccard import MARK, PAIR, SEGMENTS, _meet, _parts, _round2, _sign, band_of, jaccard_components, shingles
 
 SCHEMA = "doc_id long, text string, lang string, class_id string"
 
@@ -97,3 +99,56 @@ def test_given_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()}
     assert got == brute(rows)
+
+
+def across_edge(seed, large=60, small=20):
+    """Near copies of 115 to 152 shingles and, below the band edge at 115, variants of them around the threshold."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(10**6)}"
+    base = [word() for _ in range(124)]
+    rows = []
+    for i in range(large + small):
+        t = list(base)
+        if i < large:
+            for _ in range(r.randrange(1, 4)):
+                t[r.randrange(len(t))] = word()
+        else:
+            t = t[: r.randrange(112, 119)]
+            for at in r.sample(range(4, len(t) - 4, 9), r.randrange(1, 4)):
+                t[at] = word()
+        rows.append((i, " ".join(t)))
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_large_group_across_a_band_edge(spark, seed):
+    check(spark, across_edge(seed))
+
+
+def test_round2_across_a_band_edge():
+    """The larger document is open with all segments frequent, the smaller one settles by its unshared segments."""
+    settled = 0
+    for seed in range(200):
+        r = random.Random(seed)
+        base = [f"w{r.randrange(10**6)}" for _ in range(129)]
+        other = list(base[:116])
+        for at in r.sample(range(8, 100, 9), 2):
+            other[at] = f"v{seed}-{at}"
+        large, small = " ".join(base), " ".join(other)
+        x, y = shingles(small), shingles(large)
+        both = len(np.intersect1d(x, y))
+        band = band_of(len(x))
+        assert band_of(len(y)) == band + 1 and 4 * both >= 3 * (len(x) + len(y) - both)
+        low = []
+        for s in (x, y):
+            seg, _, _, total, _ = _parts(s, band)
+            low.append([int(v) & (2**40 - 1) for v in _sign(total, seg, band)])
+        assert len(low[1]) <= SEGMENTS[band]
+        shared = sorted(set(low[0]) & set(low[1]))
+        rows = pa.RecordBatch.from_pylist([{"doc_id": 1, "text": small, "own": shared, "lower": None}, {"doc_id": 2, "text": large, "own": None, "lower": low[1]}])
+        found = [f for b in _meet(True, _round2(1, iter([rows]))) for f in b.to_pylist()]
+        marked = {f["a"] for f in found if f["kind"] == MARK}
+        settled += 1 not in marked
+        assert marked >= {1, 2} or (1, 2) in {(f["a"], f["b"]) for f in found if f["kind"] == PAIR}
+    assert settled
