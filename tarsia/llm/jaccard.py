@@ -579,6 +579,88 @@ def _verified(pairs: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     return links.union(exact(rest, "links-2"))
 
 
+# -- links of each document -------------------------------------------------------------------
+
+
+def _partners(x: list[np.ndarray], y: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """How many sets of y each set of x links with, and the reverse; without y, how many others of x."""
+    sides = [x] if y is None else [x, y]
+    size = [np.array([len(s) for s in side], np.int64) for side in sides]
+    both = [s for side in sides for s in side]
+    row = np.repeat(np.arange(len(both)), np.concatenate(size))
+    _, tok, held = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    row, tok = row[held[tok] > 1], tok[held[tok] > 1]
+    # tokens of many sets by matrix product, those of few by the lists of their sets
+    often = held * 16 >= len(both)
+    place = np.cumsum(often) - 1
+    dense = np.zeros((len(both), int(often.sum())), np.float32)
+    dense[row[often[tok]], place[tok[often[tok]]]] = 1
+    row, tok = row[~often[tok]], tok[~often[tok]]
+    first = 0 if y is None else len(x)
+    right = row >= first
+    order = np.argsort(tok[right], kind="stable")
+    r_row, r_tok = row[right][order] - first, tok[right][order]
+    n_y = size[-1]
+    of_x, of_y = np.zeros(len(x), np.int64), np.zeros(len(n_y), np.int64)
+    for at in range(0, len(x), 256):
+        to = min(at + 256, len(x))
+        common = (dense[at:to] @ dense[first:].T).astype(np.int64)
+        lo, hi = np.searchsorted(row, (at, to))
+        start, end = np.searchsorted(r_tok, tok[lo:hi]), np.searchsorted(r_tok, tok[lo:hi], side="right")
+        n = end - start
+        if n.sum():
+            j = r_row[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            common += np.bincount(np.repeat(row[lo:hi] - at, n) * len(n_y) + j, minlength=common.size).reshape(common.shape)
+        linked = 100 * common >= 75 * (size[0][at:to, None] + n_y[None] - common)
+        if y is None:
+            linked[np.arange(to - at), np.arange(at, to)] = False
+        of_x[at:to] = linked.sum(1)
+        of_y += linked.sum(0)
+    return of_x, of_y
+
+
+def _counted(df: pd.DataFrame) -> pd.DataFrame:
+    """Links of each document within its component, of those between the blocks i and j."""
+    df = df.drop_duplicates("doc")
+    c, doc, k = (df[n].to_numpy() for n in ("component", "doc", "k"))
+    sets = [np.frombuffer(t, U) for t in df["tokens"]]
+    i, j = int(df["i"].iat[0]), int(df["j"].iat[0])
+    order = np.argsort(c, kind="stable")
+    cut = np.flatnonzero(np.r_[True, c[order][1:] != c[order][:-1]])
+    n = np.zeros(len(df), np.int64)
+    for lo, hi in zip(cut, np.r_[cut[1:], len(df)], strict=True):
+        rows = order[lo:hi]
+        if len(rows) == 2:
+            n[rows] = _alike(sets[rows[0]], sets[rows[1]])
+        elif i == j:
+            n[rows] = _partners([sets[r] for r in rows], None)[0]
+        elif len(x := rows[k[rows] == i]) and len(y := rows[k[rows] == j]):
+            n[x], n[y] = _partners([sets[r] for r in x], [sets[r] for r in y])
+    return pd.DataFrame({"doc": doc, "n": n})
+
+
+def _degrees(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
+    """(class_id, n_links) of all classes (doc, component, n) that link with others.
+
+    Links lie within components. Small components are compared whole, many at once; large
+    ones are cut into blocks, and every two blocks of a component meet. Only counts leave
+    a comparison, no pairs.
+    """
+    members = save(members, f"{path}/members")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+    sizes = members.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).withColumn("blocks", blocks)
+    bins = max(1, -(-int(members.agg(F.sum("n")).first()[0] or 0) // BLOCK_TOKENS))
+    large = F.col("blocks") > 1
+    home = F.when(large, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins)))
+    k = F.when(large, F.pmod(F.xxhash64("doc"), F.col("blocks"))).otherwise(0)
+    dealt = save(members.join(sizes, "component").select("doc", "component", large.alias("large"), home.alias("home"), k.cast("long").alias("k"), "blocks"), f"{path}/dealt")
+    rows = dealt.join(sets, "doc").withColumn("other", F.explode(F.sequence(F.lit(0), F.when(large, F.col("blocks") - 1).otherwise(0).cast("int"))))
+    rows = rows.select("large", "home", F.least("k", "other").alias("i"), F.greatest("k", "other").alias("j"), "k", "component", "doc", "tokens")
+    with batches_of(members.sparkSession, 250):
+        counts = save(rows.groupBy("large", "home", "i", "j").applyInPandas(_counted, "doc long, n long"), f"{path}/counts")
+    return counts.groupBy(F.col("doc").alias("class_id")).agg(F.sum("n").alias("n_links"))
+
+
 # -- the operator ------------------------------------------------------------------------------
 
 
@@ -592,8 +674,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Two documents link when their sets of distinct five-word shingles have a Jaccard
     similarity of at least 0.75. class_id is the smallest doc_id with the same set;
-    n_links counts the verified links between classes (of frequent buckets, those to
-    the head). Null and empty texts have no shingles and are linked with nothing; rows
+    n_links is the number of other classes that its class links with, all pairs of a
+    component being compared. Null and empty texts have no shingles and are linked with nothing; rows
     with a null id are returned with a null component. Repeated rows are returned as
     often as they come; an empty table gives an empty result; other columns are ignored.
     A row that repeats an id with another text counts as that id's document too, and
@@ -644,7 +726,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links = save(links.distinct(), f"{path}/links")
     found = components(links, f"{path}/c2")
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("class_id")).agg(F.count("*").alias("n_links"))
+    names = classes.select(F.col("class_id").alias("doc")).distinct()
+    members = names.join(found, names.doc == found.node).join(sizes, F.col("doc") == sizes.doc_id).select("doc", "component", "n")
+    sets = [spark.read.schema(SETS).parquet(f"{path}/{p}/sets").select("doc", "tokens") for p in ("v1", "across")]
+    degree = _degrees(members, sets[0].union(sets[1].join(sets[0].select("doc"), "doc", "left_anti")), f"{path}/degrees")
     of_class = classes.join(found, classes.class_id == found.node, "left").join(degree, "class_id", "left")
     of_class = of_class.select(F.col("doc_id").alias("id"), "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = prints.join(of_class, prints.doc_id == of_class.id, "left")

@@ -48,7 +48,7 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

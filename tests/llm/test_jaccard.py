@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tarsia.llm import jaccard
 from tarsia.llm.jaccard import MARK, PAIR, SEGMENTS, _meet, _parts, _round2, _sign, band_of, jaccard_components, shingles
 
 SCHEMA = "doc_id long, text string, lang string, class_id string"
@@ -152,3 +153,28 @@ def test_round2_across_a_band_edge():
         settled += 1 not in marked
         assert marked >= {1, 2} or (1, 2) in {(f["a"], f["b"]) for f in found if f["kind"] == PAIR}
     assert settled
+
+
+def brute_links(rows):
+    sets = {d: frozenset(zip(*[t.lower().split()[i:] for i in range(5)], strict=False)) for d, t in rows}
+    classes = set(sets.values())
+    return {d: sum(o != s and 100 * len(s & o) >= 75 * len(s | o) for o in classes) for d, s in sets.items()}
+
+
+def test_number_of_links(spark, monkeypatch):
+    """Three alike, chains that aren't, exact copies, and a large group cut into blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 12)
+    r = random.Random(9)
+    rows = across_edge(5, 40, 15)
+    for start in (100, 200):
+        t = [f"t{start}-{i}" for i in range(60)]
+        for i in range(6):
+            rows.append((start + i, " ".join(t)))
+            if i != 2:
+                t[7 * i + 5] = f"u{start}-{i}-{r.randrange(100)}"
+    three = [f"three{i}" for i in range(80)]
+    rows += [(300 + i, " ".join([*three, f"end{i}"])) for i in range(3)]
+    df = spark.createDataFrame([(d, t, None, "x") for d, t in rows], SCHEMA)
+    got = {x.doc_id: x.n_links for x in jaccard_components(df).collect()}
+    assert got == brute_links(rows)
+    assert [got[300 + i] for i in range(3)] == [2, 2, 2]
