@@ -19,7 +19,9 @@ from .common import save, scratch
 
 #: Vectors of a shard, queries of a block, vectors of a leaf.
 SHARD, BLOCK, LEAF = 8000, 4000, 256
-#: Candidates by matrix product are within this of their score added up in order.
+#: Queries searched at once.
+TOGETHER = 500
+#: Squared distances by matrix product are within this of those by scores added up in order, times the squared norms.
 ROUNDING = 1e-9
 
 
@@ -70,6 +72,28 @@ class Tree:
         visit(self.root, np.arange(len(q)))
         return rows, best
 
+    def within(self, q: np.ndarray, square: np.ndarray, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and rows of all pairs whose squared distance is at most the query's."""
+        found_q, found_x = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        norm_q, norm_x = (q * q).sum(1), (self.x * self.x).sum(1)
+        t = factor * np.sqrt(square)
+
+        def visit(node, at: np.ndarray) -> None:
+            if not len(at):
+                return
+            if isinstance(node, np.ndarray):
+                i, j = np.nonzero(norm_q[at, None] + norm_x[node][None] - 2 * q[at] @ self.x[node].T <= square[at, None])
+                found_q.append(at[i])
+                found_x.append(node[j])
+                return
+            point, r, inside_to, inside, outside = node
+            d = np.sqrt(np.maximum(((q[at] - self.x[point]) ** 2).sum(1), 0))
+            visit(inside, at[(d < r) | (d - inside_to <= t[at])])
+            visit(outside, at[(d >= r) | (r - d <= t[at])])
+
+        visit(self.root, np.arange(len(q)))
+        return np.concatenate(found_q), np.concatenate(found_x)
+
 
 def in_order(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of rows, added from the first component to the last."""
@@ -102,20 +126,40 @@ def _searched(k: int, factor: float):
             u = x[first]
             most = np.sqrt((u * u).sum(1).max())
             up = np.c_[u, np.sqrt(np.maximum(most * most - (u * u).sum(1), 0))]
-            many = min(len(u), k + 8)
-            rows, dist = Tree(up).search(np.c_[q, np.zeros(len(q))], many, factor)
-            for i in range(len(q)):
-                near = rows[i][rows[i] >= 0]
-                score = in_order(np.broadcast_to(q[i], (len(near), dim)), u[near])
-                n = np.minimum(length[near], k + 1)
-                pick = np.concatenate([ids[by_group[s : s + m]] for s, m in zip(start[near], n, strict=True)])
-                score = np.repeat(score, n)
-                other = pick != q_ids[i]
-                pick, score = pick[other], score[other]
-                top = np.lexsort((pick, -score))[:k]
-                out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": pick[top], "score": score[top]}))
+            tree = Tree(up)
+            for at in range(0, len(q), TOGETHER):
+                out += ranked(tree, u, q[at : at + TOGETHER], q_ids[at : at + TOGETHER], [ids[by_group[s : s + min(m, k + 1)]] for s, m in zip(start, length, strict=True)], most)
         return pd.concat(out) if out else empty
 
+    def ranked(tree: Tree, u: np.ndarray, q: np.ndarray, q_ids: np.ndarray, named: list[np.ndarray], most: float) -> list[pd.DataFrame]:
+        """Each query's k nearest of the distinct vectors u, whose ids are named, by score and then vec_id."""
+        count = np.array([len(n) for n in named])
+
+        def picked(i: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            score = np.repeat(in_order(np.broadcast_to(q[i], (len(near), q.shape[1])), u[near]), count[near])
+            pick = np.concatenate([named[n] for n in near]) if len(near) else np.empty(0, np.int64)
+            other = pick != q_ids[i]
+            return pick[other], score[other]
+
+        wide = np.c_[q, np.zeros(len(q))]
+        rows, _ = tree.search(wide, min(len(u), k + 1), factor)
+        # all that score as much as the k-th so far, of which the smallest ids count
+        norm = (q * q).sum(1) + most * most
+        square = np.full(len(q), np.inf)
+        for i in range(len(q)):
+            score = picked(i, rows[i][rows[i] >= 0])[1]
+            if len(score) >= k:
+                square[i] = max(norm[i] - 2 * np.partition(score, -k)[-k], 0) + ROUNDING * norm[i]
+        found_q, found_x = tree.within(wide, square, factor)
+        order = np.argsort(found_q, kind="stable")
+        found_x, cut = found_x[order], np.searchsorted(found_q[order], np.arange(len(q) + 1))
+        out = []
+        for i in range(len(q)):
+            pick, score = picked(i, found_x[cut[i] : cut[i + 1]])
+            top = np.lexsort((pick, -score))[:k]
+            out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": pick[top], "score": score[top]}))
+        return out
+
     return lambda key, queries, vectors: search(queries, vectors)
 
 

@@ -43,3 +43,15 @@ def test_factor():
     assert all(set(a) == set(b) for a, b in zip(exact, want, strict=True))
     near, _ = Tree(x, 32).search(q, 10, factor=0.7)
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(near, want, strict=True)]) > 0.8
+
+
+def test_many_distinct_ties(spark):
+    """Small integers and one-hot vectors: hundreds of distinct vectors tie with the k-th."""
+    r = np.random.default_rng(5)
+    rows = [(i, r.integers(-1, 2, size=8).astype(np.float32).tolist()) for i in range(900)]
+    rows += [(2000 + i, [float(i % 8 == j) for j in range(8)]) for i in range(80)]
+    r.shuffle(ids := np.arange(len(rows)))
+    rows = [(int(n), v) for n, (_, v) in zip(ids, rows, strict=True)]
+    df = spark.createDataFrame([(i, v, None) for i, v in rows], SCHEMA)
+    got = nearest(df, df.where("vec_id % 20 = 0"), k=20).collect()
+    assert sorted(map(tuple, got)) == brute(rows, [i for i, _ in rows if i % 20 == 0], 20)
