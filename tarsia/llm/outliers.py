@@ -25,12 +25,14 @@ WINDOW = 8
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Transformed statistics and the spread below which a difference isn't taken seriously.
 #: log words; log word length; log of 1 + symbols, repeated lines, repeated words a hundred words
-STATS = {"t1": 0.5, "t2": 0.05, "t3": 0.3, "t4": 0.3, "t5": 0.5}
+STATS = {"t1": 0.5, "t2": 0.05, "t3": 0.2, "t4": 0.2, "t5": 0.3}
 P = len(STATS)
 #: Rows of the estimate's core, and the median of chi-squared with P degrees of freedom.
 CORE, MEDIAN = 0.75, 4.3515
-#: Squared distance beyond which a row is rejected.
-FAR = 300.0
+#: A row is rejected beyond the distance that so large a share of a normal sample would
+#: exceed: the 0.9999 quantile of chi-squared with P degrees of freedom, or if the group's own
+#: distances spread more, their median plus TAIL standard deviations, taken from the half to CORE.
+FAR, TAIL, QUARTILE = 25.745, 3.719, 0.6745
 #: Groups of fewer rows are estimated with all small groups of their language, or with all.
 LEAST = 100
 STEPS = 4
@@ -101,12 +103,13 @@ def _distance() -> Column:
     return total
 
 
-def reject_outliers(docs: DataFrame, far: float = FAR, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def reject_outliers(docs: DataFrame, far: float | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, distance, kept.
 
     distance: squared Mahalanobis distance from the group's centre, scaled so that the
-    median row of the group is as far as that of a normal sample. Rows that fail the base
-    rules are neither estimated from nor kept.
+    median row of the group is as far as that of a normal sample. Rows farther than far are
+    rejected, by default those in the group's tail of probability 0.0001. Rows that fail
+    the base rules are neither estimated from nor kept.
 
     Null and empty texts have no words and fail. Null languages and sources are groups of
     their own. Repeated rows count and are returned as often as they come; an empty table
@@ -145,9 +148,13 @@ def reject_outliers(docs: DataFrame, far: float = FAR, id_col: str = "doc_id", t
         core = near.join(cut, "g").where("d <= cut").groupBy("g").agg(*sums)
         model = save(core.mapInPandas(_estimates, "g string, mean array<double>, inverse array<double>"), f"{path}/model-{i}")
     near = fine.join(model, "g").select("doc_id", "lang", "source", *COUNTS, "g", _distance().alias("d"))
-    half = near.groupBy("g").agg(F.percentile_approx("d", 0.5, 1000).alias("half"))
+    half = near.groupBy("g").agg(F.percentile_approx("d", [0.5, CORE], 1000).alias("at")).select("g", F.col("at")[0].alias("half"), F.col("at")[1].alias("upper"))
     # flat groups have hardly any spread; the floor of the scatter is what counts there
-    judged = near.join(half, "g").withColumn("distance", F.col("d") * MEDIAN / F.greatest("half", F.lit(1.0)))
-    judged = judged.select("doc_id", *COUNTS, F.lit(False).alias("base_failed"), "distance", (F.col("distance") <= far).alias("kept"))
+    scale = MEDIAN / F.greatest("half", F.lit(1.0))
+    middle = F.sqrt(F.col("half") * scale)
+    own = F.pow(middle + TAIL * (F.sqrt(F.col("upper") * scale) - middle) / QUARTILE, 2)
+    cut = F.greatest(F.lit(FAR), own) if far is None else F.lit(float(far))
+    judged = near.join(half, "g").withColumns({"distance": F.col("d") * scale, "cut": cut})
+    judged = judged.select("doc_id", *COUNTS, F.lit(False).alias("base_failed"), "distance", (F.col("distance") <= F.col("cut")).alias("kept"))
     rest = stats.where("base_failed").select("doc_id", *COUNTS, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return judged.union(rest)

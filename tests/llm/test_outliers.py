@@ -41,3 +41,15 @@ def test_outliers(spark):
 
 def test_empty(spark):
     assert reject_outliers(spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_words string")).count() == 0
+
+
+def test_one_statistic_alone(spark):
+    """Repeated words short of the base rule, or symbols, reject a text in a group that has none of them."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, text(r.randrange(60, 300)), "en", "s1") for i in range(400)]
+    rows += [(1000, " ".join([*[text(12)] * 4, text(150)]), "en", "s1"), (1001, text(150) + " |" * 30, "en", "s1")]
+    got = {x.doc_id: x for x in reject_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(not got[i].kept and not got[i].base_failed for i in (1000, 1001))
+    assert all(got[i].kept for i in range(400))
