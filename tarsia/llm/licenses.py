@@ -8,6 +8,7 @@ higher priority is dropped.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -122,6 +123,20 @@ for _short, _long in CC.items():
         NAMES.append((f"cc-{_short}", f"{_name}(?: {L})?", _keyword))
 #: Names without a version, which say less.
 FAMILIES = [("gpl", f"(?:gnu )?general public {L}", "general public"), ("gpl", "gpl", " gpl "), ("lgpl", f"lesser general public {L}", "lesser general"), ("lgpl", "lgpl", " lgpl "), ("agpl", f"affero general public {L}", "affero"), ("agpl", "agpl", " agpl "), ("apache", f"apache(?: software)? {L}", "apache"), ("mpl", f"mozilla public {L}", "mozilla"), ("epl", f"eclipse public {L}", "eclipse"), ("bsd", f"bsd(?: style)? {L}", "bsd"), ("creative-commons", f"creative commons(?: {L})?", "creative commons"), ("artistic", f"artistic {L}", "artistic")]
+#: SPDX identifiers as words, which unlike the names don't say "license"
+SPDX = {
+    "mit": "mit", "mit-0": "mit 0", "isc": "isc", "bsd-0-clause": "0bsd", "bsd-2-clause": "bsd 2 clause", "bsd-3-clause": "bsd 3 clause", "bsd-4-clause": "bsd 4 clause", "unlicense": "unlicense",
+    "wtfpl": "wtfpl", "zlib": "zlib", "boost-1": "bsl 1 0", "postgresql": "postgresql", "python-2": "(?:psf|python) 2 0", "php-3": "php 3 01?", "ruby": "ruby", "openssl": "openssl", "vim": "vim", "curl": "curl",
+    "libpng-2": "libpng 2 0", "ncsa": "ncsa", "json": "json", "beerware": "beerware", "x11": "x11", "w3c": "w3c", "unicode": "unicode (?:3 0|dfs 201[56]|tou)", "icu": "icu", "upl-1": "upl 1 0", "bsl-1": "busl 1 1",
+    "sspl-1": "sspl 1 0", "elastic-2": "elastic 2 0", "ms-pl": "ms pl", "ms-rl": "ms rl", "artistic-1": "artistic 1 0", "artistic-2": "artistic 2 0", "ofl-1": "ofl 1 [01]", "odbl-1": "odbl 1 0",
+    "odc-by-1": "odc by 1 0", "pddl-1": "pddl 1 0", "cc0-1": "cc0 1 0", "gfdl": "gfdl 1 [123]",
+}
+for _label in dict.fromkeys(label for label, _, _ in NAMES):
+    # families: the version is written with a minor number
+    if _label.rsplit("-", 1)[0] in ("gpl", "lgpl", "agpl", "apache", "mpl", "epl", "cddl", "eupl", "cecill", "osl", "afl", *(f"cc-{c}" for c in CC)) and _label not in CC:
+        _family, _version = _label.rsplit("-", 1)
+        if _version[0].isdigit():
+            SPDX[_label] = f"{_family} {_version if '.' in _version else _version + '.0'}".replace("-", " ").replace(".", " ")
 GIVEN = f"(?:licen[cs]ed|released|distributed|available|published|provided|covered|redistribute(?: it)?(?: and or modify it)?)(?: [^ ]+){{0,3}} (?:under|by)(?: the)?(?: terms)?(?: and conditions)?(?: of)?(?: the)?(?: an?)?"
 
 
@@ -130,12 +145,28 @@ def rules() -> list[Rule]:
     out = [Rule(label, phrase, phrase, FIXED) for phrase, label in BASE.items()]
     out += [Rule(label, f"{GIVEN} {name}(?: or (?:any )?later(?: version)?)?", k, GRANT) for label, name, k in NAMES]
     out += [Rule(label, f"spdx {L} identifier {name}(?: only| or later)?", "spdx", GRANT) for label, name, _ in NAMES]
+    out += [Rule(label, f"spdx {L} identifier {name}(?: only| or later)?", "spdx", GRANT) for label, name in SPDX.items()]
     out += [Rule(label, name, k, NAMED) for label, name, k in NAMES]
     return out + [Rule(label, name, k, BARE) for label, name, k in FAMILIES]
 
 
-#: A text without any of these has no license statement.
-GATE = "licen[cs]|unlicense|copyright|copyleft|all rights reserved|public domain|creative commons| cc |cc0|gpl| bsd |0bsd| mpl | epl |cddl|eupl|cecill| osl | afl |apache|wtfpl|beerware|beer ware|odbl|sspl| ms [pr]l | mit |open ?rail|creativeml|open data commons|commons clause|[234] clause|spdx"
+#: For keywords that many texts hold, what the rules with that keyword demand.
+DEMAND = {"mit ": [" mit "], "rail": ["openrail", "open rail"], "beer": ["beerware", "beer ware"], " zero": ["cc zero", "creative commons"]} | {f" {c.replace('-', ' ')}": [f"cc {c.replace('-', ' ')}", "creative commons"] for c in CC}
+
+
+def _gate() -> str:
+    """A text without any match of this has no license statement."""
+    # what must be there stays of a pattern: optional groups go, innermost first
+    demanded = set()
+    for pattern, keyword in [(r.pattern, r.keyword) for r in rules() if r.priority == FIXED] + [(p, k) for _, p, k in [*NAMES, *FAMILIES]] + [("spdx", "spdx")]:
+        while (less := re.sub(r"\(\?:[^()]*\)[?*]", "", pattern)) != pattern:
+            pattern = less
+        demanded.update(["licen[cs]"] if L in pattern or "license" in pattern else DEMAND.get(keyword, [keyword]))
+    # those that hold another one add nothing
+    return "|".join(sorted(d for d in demanded if not any(o != d and o in d for o in demanded)))
+
+
+GATE = _gate()
 
 
 def _spaces(s: Column) -> Column:

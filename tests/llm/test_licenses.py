@@ -1,8 +1,14 @@
 """License scan: base phrases against a plain word matcher, the method's labels on examples."""
 
 import re
+from itertools import islice, product
 
-from tarsia.llm.licenses import BASE, rules, scan_licenses
+try:
+    from re import _parser
+except ImportError:
+    import sre_parse as _parser
+
+from tarsia.llm.licenses import BASE, SPDX, rules, scan_licenses
 
 SCHEMA = "doc_id long, text string, label string"
 
@@ -54,3 +60,46 @@ def test_base_and_method(spark):
 def test_rules_have_keywords():
     assert len(rules()) > 250
     assert all(r.keyword for r in rules())
+
+
+def samples(parsed):
+    """Texts that a pattern matches: each branch, the least repeats first."""
+    parts = []
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            parts.append([chr(arg)])
+        elif op == "NOT_LITERAL":
+            parts.append(["x"])
+        elif op == "IN":
+            parts.append(["x"] if str(arg[0][0]) == "NEGATE" else [chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg])
+        elif op == "BRANCH":
+            parts.append([s for b in arg[1] for s in samples(b)])
+        elif op == "SUBPATTERN":
+            parts.append(samples(arg[3]))
+        else:
+            assert op == "MAX_REPEAT", op
+            once = samples(arg[2])
+            parts.append([once[0] * arg[0]] + (once if arg[0] == 0 else []))
+    return ["".join(p) for p in islice(product(*parts), 400)]
+
+
+def test_each_rule_fires(spark):
+    rows = []
+    for n, r in enumerate(rules()):
+        texts = [s for s in samples(_parser.parse(r.pattern)) if r.keyword in f" {s} "]
+        assert texts, r
+        rows += [(n, texts[0], r.label)]
+    rows += [(n, "freebsd", "bsd-2-clause") for n in [len(rules())]]
+    got = {x.doc_id: x for x in scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not [(n, t, label) for n, t, label in rows if label not in got[n].labels.split(",")]
+    assert got[len(rules())].labels == "bsd-2-clause"
+
+
+def test_spdx_identifiers(spark):
+    known = {"MIT": "mit", "ISC": "isc", "Zlib": "zlib", "PostgreSQL": "postgresql", "Ruby": "ruby", "OpenSSL": "openssl", "Vim": "vim", "curl": "curl", "JSON": "json", "X11": "x11", "ICU": "icu", "BSL-1.0": "boost-1", "PSF-2.0": "python-2", "OFL-1.1": "ofl-1", "UPL-1.0": "upl-1", "NCSA": "ncsa", "0BSD": "bsd-0-clause", "MIT-0": "mit-0", "BUSL-1.1": "bsl-1", "GPL-2.0-or-later": "gpl-2", "LGPL-2.1-only": "lgpl-2.1", "AGPL-3.0-only": "agpl-3", "Apache-2.0": "apache-2", "MPL-1.1": "mpl-1.1", "CC-BY-NC-SA-4.0": "cc-by-nc-sa-4", "CC-BY-2.5": "cc-by-2.5", "CC0-1.0": "cc0-1", "PHP-3.01": "php-3"}
+    rows = [(n, f"// SPDX-License-Identifier: {i}\nint main", i) for n, i in enumerate(known)]
+    got = {x.doc_id: x.labels for x in scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    wrong = {i: got[n] for n, i in enumerate(known) if known[i] not in got[n].split(",")}
+    assert not wrong
+    assert set(SPDX) >= {*known.values()}
