@@ -1,28 +1,30 @@
 """Exact set-similarity self-join on word shingles by universe partition.
 
 Two sets of sizes l <= s with Jaccard similarity of at least 3/4 differ in at most
-H = (l + s) // 7 tokens. Tokens are hashed into m > H segments, m fixed by the band
-that the smaller size lies in; so similar sets agree on at least m - H whole segments.
-A segment is worth looking up only if it is neither empty nor held by many documents.
-What each segment is worth (0: skip, 1: exact, 2: exact or one token more or less) is
-allocated by cost:
-
-* Round 1 gives every segment 1 and indexes segment subsets. A document whose empty
-  and frequent segments outnumber the slack m - H - 1 isn't settled by it.
-* Round 2 takes those documents alone. Frequent and empty segments get 0, the cheapest
-  others get 2 until the sum passes H again; one-deletion neighbourhoods are indexed.
+H = (l + s) // 7 tokens. Tokens are hashed into m segments, m fixed by the band that the
+smaller size lies in. What each segment is worth (0: skip, 1: exact, 2: exact or one token
+more or less) is allocated by cost; similar sets meet where the worth passes H:
+
+* First the few smallest tokens of each set link what is plainly alike. This decides
+  nothing, but from then on only sets of different components need to meet.
+* Round 1 gives 1 to the first H + 1 + slack segments that aren't empty, in the order of
+  their numbers, and 0 to the others. Of two similar sets, the one that stops first agrees
+  with the other on slack + 1 of its segments or more. Segments held by many documents are
+  frequent; a document is open if it has more of them than its slack.
+* Round 2 takes open documents alone. Frequent segments get 0, the cheapest others get 2
+  until the sum passes H again; one-deletion neighbourhoods are indexed.
 * Round 3 takes the documents that round 2 could not settle. Each token is a segment of
   its own. Similar documents either share an infrequent token, or together have at most
   H infrequent tokens; those are compared across the components found until then.
 
-Frequent subsets are joined to the head of their bucket only, so rows stay linear in the
+Frequent segments are joined to the head of their bucket only, so rows stay linear in the
 input. Every candidate is verified: first by a bitmap of token-count parities, which
 bounds the symmetric difference from below, then on the sets themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -39,26 +41,24 @@ WORDS = 5
 FREQUENT = 16
 #: Signatures that one partition handles at once.
 PARTITION_ROWS = 1_500_000
+#: Smallest tokens by which plainly alike sets are linked first.
+SKETCH = 6
 U = np.uint64
 
+#: Bands of sizes, each twice as wide as the one before: 3 to 5, 6 to 11, ...
+LOW = 3 << np.arange(31, dtype=np.int64)
+HIGH = 2 * LOW - 1
+SEGMENTS = -(-HIGH * 45 // 100) + 6
+SLACK = 2 + HIGH // 64
 
-def _bands() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    low = [3]
-    while low[-1] < 2**31:
-        low.append(-(-low[-1] * 4 // 3))
-    low = np.array(low, np.int64)
-    high = low[1:] - 1
-    differ = (high + high * 4 // 3) // 7
-    segments = np.maximum(differ + 2, -(-high * 45 // 100) + 4)
-    return low[:-1], differ, segments
 
-
-LOW, DIFFER, SEGMENTS = _bands()
-SLACK = SEGMENTS - DIFFER - 1
+def band_of(size: int) -> int:
+    return (size // 3).bit_length() - 1
 
 
-def band_of(size: int) -> int:
-    return int(np.searchsorted(LOW, size, side="right")) - 1
+def may_differ(size: int, band: int, lower: int) -> int:
+    """By how many tokens a set may differ from a similar one whose smaller size lies in the band."""
+    return (size + (min(size, int(HIGH[band])) if lower else 4 * size // 3)) // 7
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -83,29 +83,44 @@ def _set_key(s: np.ndarray) -> int:
     return int((mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) ^ U(len(s))).view(np.int64)) if len(s) else 0
 
 
-# -- round 1: fingerprints and signatures ---------------------------------------------
+# -- what is kept of each set -------------------------------------------------------------
+
+PRINTS = "doc_id long, n_shingles long, k1 long, k2 long, sketch array<long>, bits binary"
+
+
+def _parities(s: np.ndarray) -> bytes:
+    wide = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & U(wide - 1)).astype(np.int64), minlength=wide) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(whole):
-            n, key, check = [], [], []
+            cols: list[list] = [[] for _ in range(5)]
             for t in b.column(1):
                 s = shingles(t.as_py())
-                n.append(len(s))
-                key.append(_set_key(s))
-                check.append(int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64())], ["doc_id", "n_shingles", "k1", "k2"])
+                check = int(np.bitwise_xor.reduce(s).view(np.int64)) if len(s) else 0
+                for col, v in zip(cols, (len(s), _set_key(s), check, s[:SKETCH].view(np.int64), _parities(s) if len(s) > 2 else None), strict=True):
+                    col.append(v)
+            long = pa.int64()
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, long) for c in cols[:3]), pa.array(cols[3], pa.list_(long)), pa.array(cols[4], pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "sketch", "bits"])
+
+
+# -- round 1: signatures of segments ----------------------------------------------------------
 
 
-def _parts(s: np.ndarray, band: int):
-    """Each non-empty segment's number, start, token count and sum of token hashes; the token hashes in segment order."""
+def _parts(s: np.ndarray, band: int, most: int | None = None):
+    """Number, start, token count and sum of token hashes of the (first) segments that aren't empty; the token hashes in segment order."""
     m = int(SEGMENTS[band])
     h = mix(s + U((band + 1) * 0x632BE59BD9B4E019 & (2**64 - 1)))
     seg = (h % U(m)).astype(np.uint16 if m < 65536 else np.uint32)
     order = np.argsort(seg, kind="stable")
-    seg, h = seg[order], mix(h[order] ^ U(0xD6E8FEB86659FD93))
+    seg = seg[order]
     start = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
+    if most is not None and len(start) > most:
+        order, seg, start = order[: start[most]], seg[: start[most]], start[:most]
+    h = mix(h[order] ^ U(0xD6E8FEB86659FD93))
     return seg[start].astype(U), start, np.diff(np.r_[start, len(seg)]), np.add.reduceat(h, start), h
 
 
@@ -113,78 +128,93 @@ def _sign(total: np.ndarray, seg: np.ndarray, band: int) -> np.ndarray:
     return mix(total + seg * U(0x9E3779B97F4A7C15) + U(band * 0xC2B2AE3D27D4EB4F & (2**64 - 1)))
 
 
-OUT = "p int, sig binary, idx binary, ids binary, sizes binary, keys binary, spare binary, kind int, a long, b long, s long"
-OUT_ARROW = pa.schema([("p", pa.int32())] + [(n, pa.binary()) for n in ("sig", "idx", "ids", "sizes", "keys", "spare")] + [("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("s", pa.int64())])
-FOUND = "kind int, a long, b long, s long"
-FOUND_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("s", pa.int64())])
-PAIR, MARK = 0, 1
-# flags beside a document's place in its block
+FOUND = "kind int, a long, b long, s binary"
+FOUND_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("s", pa.binary())])
+OUT = f"p int, data binary, {FOUND}"
+OUT_ARROW = pa.schema([("p", pa.int32()), ("data", pa.binary()), *FOUND_ARROW])
+#: PAIR: a and b may be similar. MARK: document a, role b, its frequent signatures s.
+#: SHORT: document a, role and slack in b: it has fewer segments than it should.
+PAIR, MARK, SHORT = 0, 1, 2
+# flags of a signature
 DELETION, LOWER, CHOSEN = 1, 2, 4
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of all values by significance, which compresses small and similar ones."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _values(raw: bytes, at: int, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view(np.int64).ravel()
+
+
 class _Block:
-    """The signatures of up to 8,000 documents; equal sets are kept once."""
+    """The signatures of up to 8,000 documents, dealt to partitions as packed columns:
+    signature (32 bits), document, distance from its component's name, size (logarithm), flags."""
 
     def __init__(self, parts: int) -> None:
         self.parts = parts
         self.clear()
 
     def clear(self) -> None:
-        self.docs: dict[int, int] = {}
         self.ids: list[int] = []
-        self.sizes: list[int] = []
-        self.keys: list[int] = []
-        self.spare: list[tuple[int, int]] = []
+        self.comps: list[int] = []
+        self.codes: list[int] = []
         self.sig: list[np.ndarray] = []
         self.idx: list[np.ndarray] = []
+        self.flags: list[np.ndarray] = []
         self.rows = 0
 
-    def place(self, doc: int, s: np.ndarray) -> int | None:
-        """Where the document stands, None for a further copy of a set."""
-        key = _set_key(s)
-        if (at := self.docs.get(key)) is not None:
-            self.ids[at] = min(self.ids[at], doc)
-            return None
-        at = self.docs[key] = len(self.ids)
+    def place(self, doc: int, comp: int, size: int) -> None:
         self.ids.append(doc)
-        self.sizes.append(len(s))
-        self.keys.append(key)
-        self.spare.append((0, 0))
-        return at
+        self.comps.append(comp)
+        self.codes.append(size_code(size))
 
-    def add(self, at: int, sig: np.ndarray, flags: int) -> None:
+    def add(self, sig: np.ndarray, flags: int) -> None:
+        """Signatures of the document placed last."""
         self.sig.append(sig)
-        self.idx.append(np.full(len(sig), at * 8 + flags, np.uint16))
+        self.idx.append(np.full(len(sig), len(self.ids) - 1, np.uint16))
+        self.flags.append(np.full(len(sig), flags, np.uint8))
         self.rows += len(sig)
 
     def full(self) -> bool:
         return len(self.ids) >= 8000 or self.rows >= 2_000_000
 
-    def flush(self, marks: list[tuple[int, int, int | None]]) -> Iterator[pa.RecordBatch]:
+    def flush(self, said: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
         if self.rows:
-            sig, idx = np.concatenate(self.sig), np.concatenate(self.idx)
+            sig, idx, flags = map(np.concatenate, (self.sig, self.idx, self.flags))
             part = ((sig >> U(40)) % U(self.parts)).astype(np.int32)
             order = np.argsort(part, kind="stable")
-            sig, idx, part = sig[order], idx[order], part[order]
-            ids, sizes, keys, spare = np.array(self.ids, np.int64), np.array(self.sizes, np.int32), np.array(self.keys, np.int64), np.array(self.spare, np.uint32)
+            sig, idx, flags, part = sig[order].astype(np.uint32), idx[order], flags[order], part[order]
+            ids, comps, codes = np.array(self.ids, np.int64), np.array(self.comps, np.int64), np.array(self.codes, np.uint8)
             cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            cols: list[list] = [[] for _ in range(7)]
+            data = []
             for lo, hi in zip(cut, np.r_[cut[1:], len(part)], strict=True):
-                own, place = np.unique(idx[lo:hi] >> 3, return_inverse=True)
-                at = (place.astype(np.uint16) << 3) | (idx[lo:hi] & 7)
-                five = np.ascontiguousarray(sig[lo:hi].view(np.uint8).reshape(-1, 8)[:, :5])
-                for col, v in zip(cols, (int(part[lo]), five.tobytes(), at.tobytes(), ids[own].tobytes(), sizes[own].tobytes(), keys[own].tobytes(), spare[own].tobytes()), strict=True):
-                    col.append(v)
-            n = len(cols[0])
+                at = idx[lo:hi]
+                data.append(b"".join((sig[lo:hi].tobytes(), _planes(ids[at]), _planes(ids[at] - comps[at]), codes[at].tobytes(), flags[lo:hi].tobytes())))
+            n = len(data)
             none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:]), pa.nulls(n, pa.int32()), none, none, none], schema=OUT_ARROW)
-        if marks:
-            n = len(marks)
-            yield pa.RecordBatch.from_arrays([pa.array([m[0] % self.parts for m in marks], pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(6)), pa.array([MARK] * n, pa.int32()), *(pa.array([m[i] for m in marks], pa.int64()) for i in range(3))], schema=OUT_ARROW)
-        marks.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut]), pa.array(data, pa.binary()), pa.nulls(n, pa.int32()), none, none, pa.nulls(n, pa.binary())], schema=OUT_ARROW)
+        if said:
+            kind, a, b = (list(c) for c in zip(*said, strict=True))
+            n = len(said)
+            yield pa.RecordBatch.from_arrays([pa.array([x % self.parts for x in a], pa.int32()), pa.nulls(n, pa.binary()), pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(n, pa.binary())], schema=OUT_ARROW)
+        said.clear()
         self.clear()
 
 
+ROW = 4 + 8 + 8 + 1 + 1
+
+
+def size_code(size: int) -> int:
+    """Eighths of the size's binary logarithm."""
+    return int(8 * np.log2(size))
+
+
+#: Similar sets' sizes are as 3 to 4 at most, their codes this far apart.
+APART = 4
+
+
 def _emitted(size: int) -> list[tuple[int, int]]:
     """The bands a set is looked up in: its own, and the one below if partners may lie there."""
     if size < 3:
@@ -193,77 +223,80 @@ def _emitted(size: int) -> list[tuple[int, int]]:
     return [(own, 0)] + ([(own - 1, LOWER)] if own and -(-3 * size // 4) < LOW[own] else [])
 
 
-def _round1(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block, marks = _Block(parts), []
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray]]:
+    """Documents with their sets, but for rows that share an id with another set."""
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if doc is None:
-                continue
+        rest = batch.drop_columns(["text"]).to_pylist()
+        for row, text in zip(rest, batch.column("text"), strict=True):
             s = shingles(text.as_py())
-            if len(s) < 3 or (at := block.place(doc, s)) is None:
-                continue
-            empty = [0, 0]
-            for band, lower in _emitted(len(s)):
-                seg, _, _, total, _ = _parts(s, band)
-                block.add(at, _sign(total, seg, band), lower)
-                empty[lower // LOWER] = int(SEGMENTS[band]) - len(seg)
-                if empty[lower // LOWER] > SLACK[band]:
-                    marks.append((doc, lower // LOWER + 2 * empty[lower // LOWER], None))
-            block.spare[at] = tuple(empty)
-            if block.full():
-                yield from block.flush(marks)
-    yield from block.flush(marks)
-
-
-def _runs(cross: bool, blobs: list[tuple]) -> Iterator[pa.RecordBatch]:
+            if _set_key(s) == row["k1"]:
+                yield row, s
+
+
+def _round1(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    block, said = _Block(parts), []
+    for row, s in _rows(batches):
+        n = len(s)
+        if n < 3:
+            continue
+        block.place(row["doc_id"], row["comp"], n)
+        for band, lower in _emitted(n):
+            least = may_differ(n, band, lower) + 1
+            seg, _, _, total, _ = _parts(s, band, least + int(SLACK[band]))
+            block.add(_sign(total, seg, band), lower)
+            if len(seg) < least + SLACK[band]:
+                said.append((SHORT, row["doc_id"], lower // LOWER + 2 * max(0, len(seg) - least + 1)))
+        if block.full():
+            yield from block.flush(said)
+    yield from block.flush(said)
+
+
+def _runs(by_choice: bool, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Candidates and marks of one partition's signatures.
 
-    cross: only a deletion meets an exact subset (round 2), else whatever meets.
+    by_choice: frequent signatures mark the documents that have chosen them (round 2), else all.
     """
     if not blobs:
         return
-    sig, doc, flag, ids, sizes, keys, spare, base = [], [], [], [], [], [], [], 0
-    for b_sig, b_idx, b_ids, b_sizes, b_keys, b_spare in blobs:
-        idx = np.frombuffer(b_idx, np.uint16)
-        wide = np.zeros((len(idx), 8), np.uint8)
-        wide[:, :5] = np.frombuffer(b_sig, np.uint8).reshape(-1, 5)
-        sig.append(wide.view(U).ravel())
-        doc.append((idx >> 3).astype(np.int32) + base)
-        flag.append((idx & 7).astype(np.uint8))
-        ids.append(np.frombuffer(b_ids, np.int64))
-        sizes.append(np.frombuffer(b_sizes, np.int32))
-        keys.append(np.frombuffer(b_keys, np.int64))
-        spare.append(np.frombuffer(b_spare, np.uint32).reshape(-1, 2))
-        base += len(ids[-1])
-    sig, doc, flag, ids, sizes, keys, spare = map(np.concatenate, (sig, doc, flag, ids, sizes, keys, spare))
-    # of equal sets, the smallest doc_id
-    order = np.lexsort((ids, keys))
-    head = np.r_[True, keys[order][1:] != keys[order][:-1]]
-    first = np.zeros(len(ids), bool)
-    first[order[head]] = True
-    live = first[doc]
-    sig, doc, flag = sig[live], doc[live], flag[live]
-    order = np.argsort(sig, kind="stable")
-    sig, doc, flag = sig[order], doc[order], flag[order]
-    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    length = np.diff(np.r_[start, len(sig)])
-    many = np.repeat(length > 1, length)
-    sig, doc, flag = sig[many], doc[many], flag[many]
-    if not len(sig):
+    sig, doc, comp, size, flag = [], [], [], [], []
+    for raw in blobs:
+        n = len(raw) // ROW
+        sig.append(np.frombuffer(raw, np.uint32, n))
+        ids = _values(raw, 4 * n, n)
+        doc.append(ids)
+        comp.append(ids - _values(raw, 12 * n, n))
+        size.append(np.frombuffer(raw, np.uint8, n, 20 * n))
+        flag.append(np.frombuffer(raw, np.uint8, n, 21 * n))
+    cols = [np.concatenate(c) for c in (sig, doc, comp, size, flag)]
+
+    def only(keep: np.ndarray) -> None:
+        cols[:] = [c[keep] for c in cols]
+
+    def bounds() -> tuple[np.ndarray, np.ndarray]:
+        start = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+        return start, np.diff(np.r_[start, len(cols[0])])
+
+    only(np.argsort(cols[0], kind="stable"))
+    start, length = bounds()
+    # what lies in one component need not meet
+    other = np.minimum.reduceat(cols[2], start) != np.maximum.reduceat(cols[2], start)
+    exact = np.minimum.reduceat(cols[4] & DELETION, start) == 0
+    only(np.repeat(other & exact, length))
+    if not len(cols[0]):
         return
-    order = np.lexsort((ids[doc], sizes[doc], sig))
-    sig, doc, flag = sig[order], doc[order], flag[order]
-    start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
-    length = np.diff(np.r_[start, len(sig)])
+    only(np.lexsort((cols[4], cols[1], cols[3], cols[0])))
+    # repeated rows of a document
+    sig, doc, comp, size, flag = cols
+    only(np.r_[True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]) | (flag[1:] != flag[:-1])])
+    sig, doc, comp, size, flag = cols
+    start, length = bounds()
     run = np.repeat(np.arange(len(start)), length)
     frequent = (length > FREQUENT)[run]
-    size = sizes[doc].astype(np.int64)
+    size = size.astype(np.int64)
     left, right = [], []
 
     def meet(i: np.ndarray, j: np.ndarray) -> None:
-        ok = (4 * size[i] >= 3 * size[j]) & (doc[i] != doc[j]) & ~((flag[i] & flag[j] & LOWER) > 0)
-        if cross:
-            ok &= ((flag[i] ^ flag[j]) & DELETION) > 0
+        ok = (size[j] - size[i] <= APART) & (comp[i] != comp[j]) & ((flag[i] & flag[j] & (LOWER | DELETION)) == 0)
         left.append(doc[i[ok]])
         right.append(doc[j[ok]])
 
@@ -278,78 +311,80 @@ def _runs(cross: bool, blobs: list[tuple]) -> Iterator[pa.RecordBatch]:
     often = np.flatnonzero(frequent)
     if len(often):
         # the first of the run whose size may do, all in the run being sorted by size
-        span = int(size.max()) + 1
-        at = np.searchsorted(run * span + size, run[often] * span + -(-3 * size[often] // 4))
-        meet(at[at != often], often[at != often])
-        # and a few of those before it, so that what isn't like the first is found by others
-        for d in (1, 2, 4):
-            i = often[often >= d]
-            i = i[run[i - d] == run[i]]
-            meet(i - d, i)
-        said = often if not cross else often[(flag[often] & CHOSEN) > 0]
+        at = np.searchsorted(run * 256 + size, run[often] * 256 + np.maximum(size[often] - APART, 0))
+        meet(at, often)
+        said = often[(flag[often] & CHOSEN) > 0] if by_choice else often
         if len(said):
-            low = (flag[said] & LOWER) > 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(said), MARK, np.int32)), pa.array(ids[doc[said]]), pa.array(low + 2 * spare[doc[said], low.astype(int)].astype(np.int64)), pa.array(sig[said].view(np.int64))], schema=FOUND_ARROW)
+            role = (flag[said] & LOWER) > 0
+            order = np.lexsort((role, doc[said]))
+            said, role = said[order], role[order]
+            cut = np.flatnonzero(np.r_[True, (doc[said][1:] != doc[said][:-1]) | (role[1:] != role[:-1])])
+            n = len(cut)
+            sigs = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((4 * np.r_[cut, len(said)]).astype(np.int32)), pa.py_buffer(sig[said])])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, MARK, np.int32)), pa.array(doc[said[cut]]), pa.array(role[cut].astype(np.int64)), sigs], schema=FOUND_ARROW)
     a, b = np.concatenate(left), np.concatenate(right)
     if len(a):
-        pair = np.unique(np.minimum(a, b).astype(np.int64) * len(ids) + np.maximum(a, b))
-        a, b = ids[pair // len(ids)], ids[pair % len(ids)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int64())], schema=FOUND_ARROW)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        a, b = a[new], b[new]
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(a), np.int32)), pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], schema=FOUND_ARROW)
 
 
-def _meet(cross: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(by_choice: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by p; each p is handled by itself."""
     now, blobs = None, []
     for batch in batches:
-        for r in batch.to_pylist():
-            if r["kind"] is not None:
-                yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("kind", "a", "b", "s")}], schema=FOUND_ARROW)
-                continue
-            if r["p"] != now:
-                yield from _runs(cross, blobs)
-                now, blobs = r["p"], []
-            blobs.append((r["sig"], r["idx"], r["ids"], r["sizes"], r["keys"], r["spare"]))
-    yield from _runs(cross, blobs)
+        said = batch.filter(batch.column("kind").is_valid()).select(FOUND_ARROW.names)
+        if said.num_rows:
+            yield said
+        for p, data in zip(batch.column("p").to_pylist(), batch.column("data"), strict=True):
+            if p != now:
+                yield from _runs(by_choice, blobs)
+                now, blobs = p, []
+            if data.is_valid:
+                blobs.append(data.as_py())
+    yield from _runs(by_choice, blobs)
 
 
 # -- round 2: one-deletion neighbourhoods ----------------------------------------------
 
 
 def _round2(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns: doc_id, text, and for its own and the lower band the frequent signatures (null: settled)."""
-    block, marks = _Block(parts), []
-    for batch in batches:
-        for r in batch.to_pylist():
-            s = shingles(r["text"])
-            if (at := block.place(r["doc_id"], s)) is None:
+    """Columns: doc_id, text, k1, comp, and for its own and the lower band the frequent signatures (null: settled)."""
+    block, said = _Block(parts), []
+    for row, s in _rows(batches):
+        n = len(s)
+        block.place(row["doc_id"], row["comp"], n)
+        for band, lower in _emitted(n):
+            bad = row["lower" if lower else "own"]
+            if bad is None:
                 continue
-            for band, lower in _emitted(len(s)):
-                bad = r["lower" if lower else "own"]
-                if bad is None:
-                    continue
-                seg, start, count, total, h = _parts(s, band)
-                sig = _sign(total, seg, band)
-                frequent = np.isin(sig & U(2**40 - 1), np.array(bad, np.int64).astype(U))
-                need = int(DIFFER[band]) + 1 - int((~frequent).sum())
-                # a pair of tokens leaves single tokens, which many sets hold
-                cost = np.where(frequent | (count < 2), 1 << 40, count * np.where(count == 2, 8, 1))
-                order = np.argsort(cost, kind="stable")[: max(need, 0)]
-                settled = need <= 0 or (len(order) == need and bool((cost[order] < 1 << 40).all()))
-                if not settled:
-                    marks.append((r["doc_id"], 0, None))
-                chosen = np.zeros(len(seg), bool)
-                chosen[order] = settled
-                own = np.repeat(np.arange(len(seg)), count)
-                drop = _sign(total[own] - h, seg[own], band)
-                # all that a settled partner may choose, in the lower band too: that partner isn't marked for round 3
-                rest = (count[own] > 2) & ~chosen[own]
-                block.add(at, sig[~chosen], lower)
-                block.add(at, drop[rest], lower | DELETION)
-                block.add(at, sig[chosen], lower | CHOSEN)
-                block.add(at, drop[chosen[own]], lower | CHOSEN | DELETION)
-            if block.full():
-                yield from block.flush(marks)
-    yield from block.flush(marks)
+            seg, start, count, total, h = _parts(s, band)
+            sig = _sign(total, seg, band)
+            frequent = np.isin(sig.astype(np.uint32), np.frombuffer(b"".join(bad), np.uint32))
+            need = may_differ(n, band, lower) + 1 - int((~frequent).sum())
+            # a pair of tokens leaves single tokens, which many sets hold
+            cost = np.where(frequent | (count < 2), 1 << 40, count * np.where(count == 2, 8, 1))
+            order = np.argsort(cost, kind="stable")[: max(need, 0)]
+            settled = need <= 0 or (len(order) == need and bool((cost[order] < 1 << 40).all()))
+            if not settled:
+                said.append((MARK, row["doc_id"], 0))
+            chosen = np.zeros(len(seg), bool)
+            chosen[order] = settled
+            own = np.repeat(np.arange(len(seg)), count)
+            drop = _sign(total[own] - h, seg[own], band)
+            # what the document counts on is chosen; the rest is what a partner may count on
+            exact = ~frequent & settled
+            rest = (count[own] > 2) & ~chosen[own]
+            block.add(sig[~exact], lower)
+            block.add(sig[exact], lower | CHOSEN)
+            block.add(drop[rest], lower | DELETION)
+            block.add(drop[chosen[own]], lower | CHOSEN | DELETION)
+        if block.full():
+            yield from block.flush(said)
+    yield from block.flush(said)
 
 
 # -- round 3: each token by itself -------------------------------------------------------
@@ -357,13 +392,11 @@ def _round2(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def _round3(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = _Block(parts)
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            s = shingles(text.as_py())
-            if (at := block.place(doc, s)) is not None:
-                block.add(at, mix(s ^ U(0xA0761D6478BD642F)), 0)
-            if block.full():
-                yield from block.flush([])
+    for row, s in _rows(batches):
+        block.place(row["doc_id"], row["comp"], len(s))
+        block.add(mix(s ^ U(0xA0761D6478BD642F)), 0)
+        if block.full():
+            yield from block.flush([])
     yield from block.flush([])
 
 
@@ -371,12 +404,12 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The quarter of a set that must hold a shared token if three quarters are shared."""
     for whole in batches:
         for b in slices(whole, SMALL):
-            doc, tok = [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = mix(shingles(t.as_py()) ^ U(0xA0761D6478BD642F))
+            doc, tok = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for row, s in _rows(iter([b])):
+                s = mix(s ^ U(0xA0761D6478BD642F))
                 s.sort()
                 s = s[: len(s) - -(-3 * len(s) // 4) + 1]
-                doc.append(np.full(len(s), d, np.int64))
+                doc.append(np.full(len(s), row["doc_id"], np.int64))
                 tok.append(s.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(doc)), pa.array(np.concatenate(tok))], ["doc", "tok"])
 
@@ -433,20 +466,19 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
 BLOCK, BLOCK_TOKENS = 1000, 1_000_000
 
 
-def _across(few: DataFrame, docs: DataFrame, path: str) -> DataFrame:
+def _across(few: DataFrame, texts_of: Texts, bits: DataFrame, path: str) -> DataFrame:
     """Links among mostly frequent documents (doc_id, n, rare, c) that lie in different components c.
 
     Documents that share one of the tokens of which similar ones must share one form a
     family. A family's components are cut into blocks, small ones together; blocks of one
     and the same component needn't meet, others are compared pair by pair.
     """
-    texts = only(docs, few.select("doc_id"))
+    spark = few.sparkSession
+    texts = texts_of(few.select("doc_id"), "across")
     tokens = save(texts.mapInArrow(_tokens, "doc long, tok long").distinct(), f"{path}/tokens")
     low = tokens.groupBy("tok").agg(F.min("doc").alias("b"))
     family = components(tokens.join(low, "tok").select(F.col("doc").alias("a"), "b").distinct(), f"{path}/families")
-    with batches_of(docs.sparkSession, 2000):
-        sets = texts.mapInArrow(partial(_sets, True), SETS).select("doc", "bits", "tokens")
-        sets = save(sets.groupBy("doc").agg(F.first("bits").alias("bits"), F.first("tokens").alias("tokens")), f"{path}/sets")
+    sets = save(_sets_of(texts, f"{path}/sets").join(bits.select("doc", "bits"), "doc"), f"{path}/both")
     rows = few.join(family, few.doc_id == family.node).select(F.col("doc_id").alias("doc"), "n", "rare", "c", F.col("component").alias("family"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS))
     sizes = rows.groupBy("family", "c").agg(F.count("*").alias("members"), F.sum("n").alias("tokens")).withColumn("blocks", blocks)
@@ -464,33 +496,36 @@ def _across(few: DataFrame, docs: DataFrame, path: str) -> DataFrame:
 
     def side(i: int) -> DataFrame:
         # read anew for each side, so that their columns are told apart
-        r, b, m = (docs.sparkSession.read.schema(t.schema).parquet(f"{path}/{n}") for t, n in ((rows, "rows"), (sets, "sets"), (meet, "meet")))
+        r, b, m = (spark.read.schema(t.schema).parquet(f"{path}/{n}") for t, n in ((rows, "rows"), (sets, "both"), (meet, "meet")))
         at = ["family", f"o{i}", f"k{i}"]
         return r.join(b, "doc").withColumnsRenamed({"own": at[1], "k": at[2]}).join(m, at)
 
     left, right = side(1), side(2)
-    with batches_of(docs.sparkSession, 250):
+    with batches_of(spark, 250):
         return save(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_compared, "a long, b long"), f"{path}/links")
 
 
 # -- verification --------------------------------------------------------------------------
 
 SMALL = 8 << 20
-SETS = "doc long, n long, bits binary, tokens binary"
+SETS = "doc long, tokens binary"
 
 
-def _sets(whole_sets: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in slices(whole, SMALL):
-            bits, sets, n = [], [], []
-            for t in b.column(1):
-                s = shingles(t.as_py())
-                wide = max(64, 1 << (len(s) - 1).bit_length())
-                odd = np.bincount((s & U(wide - 1)).astype(np.int64), minlength=wide) & 1
-                bits.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
-                sets.append(s.tobytes() if whole_sets else None)
-                n.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(sets, pa.binary())], ["doc", "n", "bits", "tokens"])
+            rows = [(row["doc_id"], s.tobytes()) for row, s in _rows(iter([b]))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc", "tokens"])
+
+
+def _sets_of(texts: DataFrame, path: str) -> DataFrame:
+    """(doc, tokens), one row a document."""
+    spark = texts.sparkSession
+    with batches_of(spark, 2000):
+        sets = save(texts.mapInArrow(_tokens_of, SETS), path)
+    # only tables that repeat rows pay for telling them apart
+    counts = sets.agg(F.count("*"), F.count_distinct("doc")).first()
+    return sets if counts[0] == counts[1] else save(sets.dropDuplicates(["doc"]), f"{path}-once")
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -540,34 +575,40 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 BROADCAST_IDS = 1_000_000
 
 
-def only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents with these ids (column doc_id). Few ids go to the texts, not the texts to them."""
-    ids = ids.distinct()
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+#: From ids (doc_id and more columns) and a name for their table to those documents with their texts.
+Texts = Callable[[DataFrame, str], DataFrame]
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, path: str) -> DataFrame:
-    """The candidate pairs (a, b) that truly link."""
-    spark = docs.sparkSession
-    pairs = save(pairs.distinct(), f"{path}/pairs")
+def _texts_of(docs: DataFrame, reps: DataFrame, path: str) -> Texts:
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        """Few ids go to the texts, not the texts to them."""
+        ids = save(ids.join(reps.select("doc_id", "k1"), "doc_id"), f"{path}/ids-{name}")
+        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
+
+    return texts_of
+
 
-    def sets_of(p: DataFrame, name: str, whole_sets: bool) -> DataFrame:
-        ids = save(p.select(F.col("a").alias("doc_id")).union(p.select("b")).distinct(), f"{path}/{name}-ids")
-        with batches_of(spark, 2000):
-            got = only(docs, ids).mapInArrow(partial(_sets, whole_sets), SETS)
-            return save(got.dropDuplicates(["doc"]) if whole_sets else got.groupBy("doc").agg(F.first("n").alias("n"), F.first("bits").alias("bits")), f"{path}/{name}")
+def _verified(pairs: DataFrame, bits: DataFrame, texts_of: Texts, known: DataFrame | None, path: str) -> tuple[DataFrame, DataFrame]:
+    """The candidate pairs (a, b) that truly link, and all sets known by now."""
+    spark = pairs.sparkSession
+    pairs = save(pairs.distinct(), f"{path}/pairs")
 
-    def beside(p: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    def beside(p: DataFrame, what: DataFrame, column: str, more: tuple[str, ...] = ()) -> DataFrame:
         for side in "ab":
-            p = p.join(sets.select(F.col("doc").alias(side), F.col("n").alias("n" + side), F.col(column).alias("x" + side)), side)
-        return p.select("a", "b", "na", "nb", "xa", "xb")
+            p = p.join(what.select(F.col("doc").alias(side), F.col(column).alias("x" + side), *[F.col(c).alias(c + side) for c in more]), side)
+        return p
+
+    near = save(beside(pairs, bits, "bits", ("n",)).mapInArrow(_near, "a long, b long"), f"{path}/near")
+    ids = near.select(F.col("a").alias("doc")).union(near.select("b")).distinct()
+    if known is not None:
+        ids = ids.join(known.select("doc"), "doc", "left_anti")
+    sets = _sets_of(texts_of(ids.select(F.col("doc").alias("doc_id")), path.rsplit("/", 1)[1]), f"{path}/sets")
+    sets = sets if known is None else known.union(sets)
 
     def exact(p: DataFrame, name: str) -> DataFrame:
         with batches_of(spark, 250):
             return save(beside(p, sets, "tokens").mapInArrow(_linked, "a long, b long"), f"{path}/{name}")
 
-    near = save(beside(pairs, sets_of(pairs, "bits", False), "bits").mapInArrow(_near, "a long, b long"), f"{path}/near")
-    sets = sets_of(near, "sets", True)
     # a forest of the pairs first; of the others, those that it leaves unconnected
     tree = save(near.coalesce(max(1, -(-near.count() // EDGES))).mapInArrow(_trees, "a long, b long"), f"{path}/tree")
     links = exact(tree, "links-1")
@@ -576,7 +617,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, path: str) -> DataFrame:
     for side in "ab":
         rest = rest.join(found.select(F.col("node").alias(side), F.col("component").alias("c" + side)), side, "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    return links.union(exact(rest, "links-2"))
+    return links.union(exact(rest, "links-2")), sets
 
 
 # -- links of each document -------------------------------------------------------------------
@@ -664,13 +705,22 @@ def _degrees(members: DataFrame, sets: DataFrame, path: str) -> DataFrame:
 # -- the operator ------------------------------------------------------------------------------
 
 
-def _found(emitted: DataFrame, cross: bool, parts: int, path: str) -> DataFrame:
+def _found(emitted: DataFrame, by_choice: bool, parts: int, path: str) -> DataFrame:
     dealt = emitted.repartition(parts, "p").sortWithinPartitions("p")
-    return save(dealt.mapInArrow(partial(_meet, cross), FOUND), path)
+    return save(dealt.mapInArrow(partial(_meet, by_choice), FOUND), path)
+
 
+def _alike_by_sketch(reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents and one of those that hold the same small token, another one for each token."""
+    held = reps.where("n >= 3").select("doc_id", "n", F.explode("sketch").alias("token"))
+    head = held.groupBy("token").agg(F.min(F.struct(F.xxhash64("doc_id", "token").alias("chance"), F.col("doc_id").alias("head"), F.col("n").alias("m"))).alias("h"), F.count("*").alias("holders"))
+    both = held.join(head.where("holders > 1").select("token", "h.head", "h.m"), "token")
+    both = both.where((F.col("doc_id") != F.col("head")) & (4 * F.least("n", "m") >= 3 * F.greatest("n", "m")))
+    return both.select(F.least("doc_id", "head").alias("a"), F.greatest("doc_id", "head").alias("b"))
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, class_id, n_links.
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, class_id, and n_links if asked for.
 
     Two documents link when their sets of distinct five-word shingles have a Jaccard
     similarity of at least 0.75. class_id is the smallest doc_id with the same set;
@@ -678,59 +728,66 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component being compared. Null and empty texts have no shingles and are linked with nothing; rows
     with a null id are returned with a null component. Repeated rows are returned as
     often as they come; an empty table gives an empty result; other columns are ignored.
-    A row that repeats an id with another text counts as that id's document too, and
-    its links are those of the id's smallest set key.
+    Of rows that share an id but not a text, each has its own n_shingles, and all have the
+    links of the one with the smallest set key.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     path = scratch(spark, "jaccard")
-    prints = save(docs.mapInArrow(_prints, "doc_id long, n_shingles long, k1 long, k2 long"), f"{path}/prints")
-    # one class row for each document id: repeated rows must not multiply
-    known = prints.where("n_shingles > 0 and doc_id is not null")
-    reps = known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("class_id"))
-    classes = save(known.join(reps, ["k1", "k2", "n_shingles"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id")), f"{path}/classes")
-    total = int(prints.agg(F.sum("n_shingles")).first()[0] or 0)
-    parts = partitions_for(spark, total, PARTITION_ROWS)
-
-    first = _found(docs.mapInArrow(partial(_round1, parts), OUT), False, parts, f"{path}/first")
-    sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    prints = save(docs.mapInArrow(_prints, PRINTS), f"{path}/prints")
+    known = prints.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct("k1", "k2", F.col("n_shingles").alias("n"), "sketch", "bits"), F.struct("k1", "k2")).alias("x")).select("doc_id", "x.*")
+    known = save(known, f"{path}/known")
+    names = known.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("class_id"))
+    classes = save(known.join(names, ["k1", "k2", "n"]).select("doc_id", "class_id"), f"{path}/classes")
+    reps = save(known.join(names.select("class_id"), known.doc_id == names.class_id, "left_semi"), f"{path}/reps")
+    bits = reps.select(F.col("doc_id").alias("doc"), "n", "bits")
+    texts_of = _texts_of(docs, reps, path)
+
+    sketched, sets = _verified(_alike_by_sketch(reps), bits, texts_of, None, f"{path}/v0")
+    alike = components(sketched, f"{path}/c0")
+    large = reps.where("n >= 3").select("doc_id", "n").join(alike, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
+    large = save(large, f"{path}/large")
+    total = int(large.agg(F.sum("n")).first()[0] or 0)
+    # a document emits about half as many signatures as it has tokens
+    parts = partitions_for(spark, total // 2, PARTITION_ROWS)
+    first = _found(texts_of(large.drop("n"), "first").mapInArrow(partial(_round1, parts), OUT), False, parts, f"{path}/first")
 
     # documents that round 1 leaves open, with their frequent signatures by band
-    marked = first.where(f"kind = {MARK}").groupBy("a", F.col("b").bitwiseAND(1).alias("lower")).agg(F.collect_list("s").alias("bad"), (F.max("b") / 2).cast("long").alias("empty"))
-    slack = F.array(*[F.lit(int(x)) for x in SLACK])
-    low = F.array(*[F.lit(int(x)) for x in LOW])
-    band = F.aggregate(low, F.lit(-1), lambda n, x: n + F.when(x <= F.col("n"), 1).otherwise(0)) - F.col("lower")
-    open_ = marked.join(sizes, marked.a == sizes.doc_id).where(F.size("bad") + F.col("empty") > F.element_at(slack, band.cast("int") + 1))
-    hard = save(open_.groupBy("doc_id").agg(F.max(F.when(F.col("lower") == 0, F.col("bad"))).alias("own"), F.max(F.when(F.col("lower") == 1, F.col("bad"))).alias("lower"), F.max("n").alias("n")), f"{path}/hard")
-    texts = only(docs, hard.select("doc_id")).join(hard, "doc_id").select("doc_id", "text", "own", "lower")
+    role = F.col("b").bitwiseAND(1)
+    said = first.where(f"kind <> {PAIR}").groupBy(F.col("a").alias("doc_id"), role.alias("lower")).agg(F.collect_list("s").alias("bad"), F.min(F.when(F.col("kind") == SHORT, F.shiftright("b", 1) - 1)).alias("short"))
+    band = F.length(F.bin(F.expr("n div 3"))) - 1 - F.col("lower")
+    slack = 2 + F.floor((F.expr("shiftleft(3L, cast(band + 1 as int))") - 1) / 64)
+    marks = F.aggregate("bad", F.lit(0), lambda n, s: n + F.length(s)) / 4
+    open_ = said.join(large, "doc_id").withColumn("band", band).where(marks > F.coalesce("short", slack))
+    own, lower = (F.max(F.when(F.col("lower") == i, F.col("bad"))).alias(name) for i, name in enumerate(("own", "lower")))
+    hard = save(open_.groupBy("doc_id", "n", "comp").agg(own, lower), f"{path}/hard")
     rows = int(hard.agg(F.sum("n")).first()[0] or 0)
     parts2 = partitions_for(spark, 3 * rows, PARTITION_ROWS)
-    second = _found(texts.mapInArrow(partial(_round2, parts2), OUT), True, parts2, f"{path}/second")
+    second = _found(texts_of(hard.drop("n"), "second").mapInArrow(partial(_round2, parts2), OUT), True, parts2, f"{path}/second")
 
-    left = save(second.where(f"kind = {MARK}").select(F.col("a").alias("doc_id")).distinct(), f"{path}/left")
-    open3 = only(docs, left)
+    left = save(second.where(f"kind = {MARK}").select(F.col("a").alias("doc_id")).distinct().join(large, "doc_id"), f"{path}/left")
     parts3 = partitions_for(spark, rows, PARTITION_ROWS)
-    third = _found(open3.select("doc_id", "text").mapInArrow(partial(_round3, parts3), OUT), False, parts3, f"{path}/third")
+    third = _found(texts_of(left.drop("n"), "third").mapInArrow(partial(_round3, parts3), OUT), False, parts3, f"{path}/third")
 
     candidates = first.union(second).union(third).where(f"kind = {PAIR}").select("a", "b")
-    links = _verified(candidates, docs, f"{path}/v1")
+    links, sets = _verified(candidates, bits, texts_of, sets, f"{path}/v1")
+    links = links.union(sketched)
 
     # round 3, mostly frequent tokens: pairs that lie in different components
     found = components(links, f"{path}/c1")
-    common = third.where(f"kind = {MARK}").groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("often"))
-    few = left.join(sizes, "doc_id").join(common, "doc_id").select("doc_id", "n", (F.col("n") - F.col("often")).alias("rare")).where("3 * rare <= n")
+    common = third.where(f"kind = {MARK}").groupBy(F.col("a").alias("doc_id")).agg((F.sum(F.length("s")) / 4).cast("long").alias("often"))
+    few = left.join(common, "doc_id").select("doc_id", "n", (F.col("n") - F.col("often")).alias("rare")).where("3 * rare <= n")
     few = few.join(found, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n", "rare", F.coalesce("component", "doc_id").alias("c"))
-    few = save(few, f"{path}/few")
-    across = _across(few, docs, f"{path}/across")
-    links = links.union(across)
+    across = _across(save(few, f"{path}/few"), texts_of, bits, f"{path}/across")
 
-    links = save(links.distinct(), f"{path}/links")
+    links = save(links.union(across).distinct(), f"{path}/links")
     found = components(links, f"{path}/c2")
-    names = classes.select(F.col("class_id").alias("doc")).distinct()
-    members = names.join(found, names.doc == found.node).join(sizes, F.col("doc") == sizes.doc_id).select("doc", "component", "n")
-    sets = [spark.read.schema(SETS).parquet(f"{path}/{p}/sets").select("doc", "tokens") for p in ("v1", "across")]
-    degree = _degrees(members, sets[0].union(sets[1].join(sets[0].select("doc"), "doc", "left_anti")), f"{path}/degrees")
-    of_class = classes.join(found, classes.class_id == found.node, "left").join(degree, "class_id", "left")
-    of_class = of_class.select(F.col("doc_id").alias("id"), "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_class = classes.join(found, classes.class_id == found.node, "left").select(F.col("doc_id").alias("id"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    if count_links:
+        more = spark.read.schema(SETS).parquet(f"{path}/across/both")
+        members = found.join(large, found.node == large.doc_id).select(F.col("node").alias("doc"), "component", "n")
+        degree = _degrees(members, sets.union(more.join(sets.select("doc"), "doc", "left_anti")), f"{path}/degrees")
+        of_class = of_class.join(degree, "class_id", "left")
     out = prints.join(of_class, prints.doc_id == of_class.id, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    links_of = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if count_links else []
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), *links_of)
