@@ -33,7 +33,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one that names the group."""
-    gone = jaccard_components(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = jaccard_components(docs, count_links=False).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs.doc_id == gone["__gone"], "left_anti")
 
 
