@@ -1,10 +1,13 @@
 """Quality classifier learnt from positive and unlabelled documents.
 
 The features of a text are the frequencies of pairs of neighbouring character classes
-over the whole text, and how often a word repeats the one before. A linear model minimises the non-negative unbiased risk: trusted
-positives, unlabelled web text and an estimate of the share of positives stand in for
-the negatives; a logistic curve through the labelled margins turns them into scores.
-Fitting sees a bounded sample; scoring sees everything.
+over the whole text, and how often a word repeats the one before. A linear model minimises
+the non-negative unbiased risk: trusted positives, unlabelled web text and an estimated
+share of positives in it stand in for the negatives, whose labels are never used.
+
+All unlabelled texts take part: they are dealt by a hash to groups, each group estimates
+the share and minimises the risk with some of the positives, and the model is the mean of
+the groups' models. Only the positives are a bounded sample.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from pyspark.sql import types as T
 
 from .common import batches_of, save, scratch, slices
 
-#: Documents that fitting sees at most, of each kind.
-POSITIVES, UNLABELLED = 4000, 8000
 #: A document is accepted from this score on.
 ACCEPT = 0.3
-#: The share of positives where no negative label is known.
-PRIOR = 0.8
+#: The share of positives that estimates start from, and that stands where none is possible.
+PRIOR = 0.7
+#: Groups' models that are added up at once.
+TOGETHER = 256
 
 
 def _classes() -> np.ndarray:
@@ -62,16 +65,27 @@ def frequencies(text: str | None) -> np.ndarray:
     return out
 
 
+FEATURES = "key long, idx binary, val binary"
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns key and text: the square roots of the features that aren't zero, in half precision."""
     for whole in batches:
         for b in slices(whole):
             idx, val = [], []
             for t in b.column("text"):
                 x = frequencies(t.as_py())
                 i = np.flatnonzero(x)
-                idx.append(i.astype(np.int32))
-                val.append(x[i].astype(np.float32))
-            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("y"), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["kind", "y", "idx", "val"])
+                idx.append(i.astype(np.uint16).tobytes())
+                val.append(np.sqrt(x[i]).astype(np.float16).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["key", "idx", "val"])
+
+
+def _matrix(idx: list[bytes], val: list[bytes]) -> np.ndarray:
+    x = np.zeros((len(idx), DIM), np.float32)
+    for row, (i, v) in enumerate(zip(idx, val, strict=True)):
+        x[row, np.frombuffer(i, np.uint16)] = np.frombuffer(v, np.float16)
+    return x
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -98,18 +112,24 @@ def nn_pu(x_p: np.ndarray, x_u: np.ndarray, prior: float, steps: int = 200, rate
     return w, b
 
 
-def calibrate(f: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through labelled margins (Newton, slightly damped)."""
-    slope, shift = 1.0, 0.0
-    z = np.c_[f, np.ones(len(f))]
-    goal = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
-    for _ in range(steps):
-        p = _sigmoid(slope * f + shift)
-        g = z.T @ (p - goal)
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-        d = np.clip(np.linalg.solve(h, g), -2, 2)
-        slope, shift = slope - d[0], shift - d[1]
-    return float(slope), float(shift)
+def estimated_prior(x_p: np.ndarray, x_u: np.ndarray, rounds: int = 2, steps: int = 40) -> float:
+    """The share of positives among unlabelled rows.
+
+    Half of the positives fit a model, and the share is then the mean score of the
+    unlabelled rows, from PRIOR on in a few rounds. It is never more than the least ratio
+    of unlabelled to other positive rows beyond any of the middle margins of the latter,
+    which only positives among the unlabelled would reach as often.
+    """
+    prior = PRIOR
+    if len(x_p) < 20 or len(x_u) < 20:
+        return prior
+    for _ in range(rounds):
+        w, b = nn_pu(x_p[::2], x_u, prior, steps)
+        f_p, f_u = np.sort(x_p[1::2] @ w + b), x_u @ w + b
+        at = f_p[[len(f_p) * n // 10 for n in range(1, 6)]]
+        tails = (f_u[:, None] >= at).mean(0) / (f_p[:, None] >= at).mean(0)
+        prior = float(np.clip(min(_sigmoid(f_u).mean(), tails.min()), 0.02, 0.98))
+    return prior
 
 
 @dataclass(frozen=True)
@@ -130,51 +150,80 @@ class Model:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "__score"])
 
 
-def _fit(df: pd.DataFrame) -> pd.DataFrame:
-    x = np.zeros((len(df), DIM), np.float32)
-    for row, (i, v) in enumerate(zip(df["idx"], df["val"], strict=True)):
-        x[row, i] = v
-    np.sqrt(x, out=x)
-    labelled, y = df["kind"].to_numpy() == 0, df["y"].to_numpy()
-    good, bad = labelled & (y == 1), labelled & (y == 0)
-    n_good, n_bad = int(good.sum()), int(bad.sum())
-    prior = min(0.98, max(0.02, (n_good + 1) / (n_good + n_bad + 2))) if n_bad else PRIOR
-    if not n_good or labelled.all():
-        return pd.DataFrame({"weights": [[0.0] * DIM], "bias": [float(np.log(prior / (1 - prior)))], "prior": [prior]})
-    mean, scale = x[~labelled].mean(0), x[~labelled].std(0) + np.float32(1e-4)
-    x -= mean
-    x /= scale
-    w, b = nn_pu(x[np.flatnonzero(good)[:POSITIVES]], x[~labelled], prior)
-    slope, shift = calibrate(x[labelled] @ w + b, y[labelled]) if n_bad else (1.0, 0.0)
-    w = slope * w / scale
-    return pd.DataFrame({"weights": [w.astype(float).tolist()], "bias": [float(slope * b + shift - w @ mean)], "prior": [prior]})
+def _fit(positives: list[tuple[bytes, bytes]], group: int, steps: int):
+    """One group's model, its scaling folded in; ``positives`` are taken in turn by the groups."""
+
+    def fit(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["key", "idx", "val"], kind="stable")
+        number = int(df["grp"].iat[0])
+        x_u = _matrix(df["idx"].to_list(), df["val"].to_list())
+        n = min(len(positives), group)
+        mine = [positives[(number * n + i) % len(positives)] for i in range(n)]
+        x_p = _matrix([m[0] for m in mine], [m[1] for m in mine])
+        mean, scale = x_u.mean(0), x_u.std(0) + np.float32(1e-4)
+        x_u, x_p = (x_u - mean) / scale, (x_p - mean) / scale
+        prior = estimated_prior(x_p, x_u)
+        w, b = nn_pu(x_p, x_u, prior, steps)
+        w = w.astype(float) / scale
+        return pd.DataFrame({"grp": [number], "n": [1], "model": [[*w, b - w @ mean, prior]]})
+
+    return fit
+
+
+def _added(df: pd.DataFrame) -> pd.DataFrame:
+    df = df.sort_values("grp")
+    return pd.DataFrame({"grp": [int(df["grp"].iat[0]) // TOGETHER], "n": [int(df["n"].sum())], "model": [np.sum(np.stack(df["model"].to_list()), 0).tolist()]})
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on labels of rows that aren't held out: at most 4,000 trusted positives, as many
-    labelled rows (negatives for prior and curve alone), and 8,000 documents whatever their label, chosen by a
-    hash of the id."""
+def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int | None = None, group: int = 2000, steps: int = 200) -> Model:
+    """Fit on the labels of rows that aren't held out.
+
+    positives: trusted positives (quality 1) that are used at most, chosen by a hash of the
+    id. unlabelled: about so many documents stand for web text, chosen by a hash; None for
+    all that aren't held out. group: unlabelled documents that one model is fitted on.
+
+    The model depends on the rows alone, not on their order or partitions. Rows with a null
+    id are unlabelled text; null labels are ignored; of labels that repeat an id the
+    largest counts, and rows that repeat an id are all used. Null and empty texts have
+    features as well. Without positives or documents every score is that of the prior.
+    Other columns of either table are ignored.
+    """
     spark = docs.sparkSession
     path = scratch(spark, "quality")
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
-    known = save(known.where(~held_out(F.col("doc_id"))), f"{path}/known")
-    texts = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    n_known, n_all = known.count(), max(1, texts.select("doc_id").count())
-    chance = F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-    both = 2 * POSITIVES
-    some = known.where(chance < 1.1 * both / max(1, n_known)).limit(both)
-    labelled = texts.join(some, "doc_id").select(F.lit(0).alias("kind"), "y", "text")
-    web = texts.where(F.pmod(F.xxhash64(F.lit("web"), F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30) < 1.1 * UNLABELLED / n_all).limit(UNLABELLED)
-    web = web.select(F.lit(1).alias("kind"), F.lit(None).cast("int").alias("y"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
+    chance = F.xxhash64(F.lit("fit"), "doc_id")
+    good = good.where((F.col("quality") == 1) & ~held_out(F.col("doc_id"))).join(docs.select("doc_id"), "doc_id", "left_semi")
+    good = save(good.select("doc_id", chance.alias("key")).orderBy("key", "doc_id").limit(positives), f"{path}/trusted")
+    web = docs.where(~held_out(F.col("doc_id"))).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    n = web.count()
+    if unlabelled is not None and unlabelled < n:
+        web = web.where(F.pmod(F.xxhash64(F.lit("web"), "key"), F.lit(1 << 30)) < int(unlabelled / n * (1 << 30)))
+        n = unlabelled
+    groups = max(1, round(n / group))
+    none = Model([0.0] * DIM, float(np.log(PRIOR / (1 - PRIOR))), PRIOR)
     with batches_of(spark, 1000):
-        x = save(labelled.union(web).mapInArrow(_features, "kind int, y int, idx array<int>, val array<float>"), f"{path}/features")
-        fitted = x.repartition(1).groupBy().applyInPandas(_fit, "weights array<double>, bias double, prior double").collect()
-    row = fitted[0] if fitted else None
-    return Model(list(row.weights), row.bias, row.prior) if row else Model([0.0] * DIM, float(np.log(PRIOR / (1 - PRIOR))), PRIOR)
+        trusted = docs.join(F.broadcast(good), "doc_id").select("key", "text").mapInArrow(_features, FEATURES)
+        # no more rows than positives, but for repeated ids
+        sample = [(bytes(r.idx), bytes(r.val)) for r in trusted.orderBy("key", "idx", "val").limit(positives).collect()]
+        if not sample:
+            return none
+        x = web.mapInArrow(_features, FEATURES).withColumn("grp", F.pmod("key", F.lit(groups)))
+        schema = "grp long, n long, model array<double>"
+        models = save(x.groupBy("grp").applyInPandas(_fit(sample, group, steps), schema), f"{path}/models")
+    level = 0
+    while groups > 1:
+        level, groups = level + 1, -(-groups // TOGETHER)
+        models = save(models.groupBy(F.floor(F.col("grp") / TOGETHER)).applyInPandas(_added, schema), f"{path}/models-{level}")
+    row = models.first()
+    if row is None:
+        return none
+    *weights, bias, prior = (np.array(row.model) / row.n).tolist()
+    return Model(weights, bias, prior)
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:

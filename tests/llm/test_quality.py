@@ -31,6 +31,41 @@ def test_edges(spark):
     assert quality.score_quality(docs, model).count() == 4 and quality.score_quality(docs.limit(0), model).count() == 0
 
 
+def test_order_partitions_and_clashing_columns(spark):
+    """The model depends on rows alone; columns named like its own don't disturb it."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit_quality(docs, labels, group=40, steps=20)
+    more = docs.withColumns({"y": F.lit(1), "key": F.lit("k"), "quality": F.lit(0), "grp": F.lit(3), "idx": F.lit(0)})
+    again = quality.fit_quality(more.orderBy(F.rand()).repartition(7), labels.withColumn("text", F.lit("z")).repartition(3), group=40, steps=20)
+    assert again == model
+    assert quality.fit_quality(docs, labels, unlabelled=50, group=40, steps=5).prior > 0
+
+
+def test_gradient():
+    """The minimiser's risk against plain arithmetic, with and without the part that is kept from below zero."""
+    r = np.random.default_rng(2)
+    x_p, x_u = r.normal(1, 1, (60, 3)), r.normal(0, 1, (80, 3))
+    loss = lambda f: np.log(1 + np.exp(-f))
+
+    def risk(w, b, prior):
+        f_p, f_u = x_p @ w + b, x_u @ w + b
+        return prior * loss(f_p).mean() + max(0, loss(-f_u).mean() - prior * loss(-f_p).mean())
+
+    for prior in (0.2, 0.5, 0.8):
+        w, b = quality.nn_pu(x_p.astype(np.float32), x_u.astype(np.float32), prior, steps=800, decay=0.0)
+        least = risk(w, b, prior)
+        near = min(risk(w + d[:3], b + d[3], prior) for d in r.normal(0, 0.3, (300, 4)))
+        assert least < risk(np.zeros(3), 0.0, prior) and least < near + 0.02
+
+
+def test_estimated_prior():
+    r = np.random.default_rng(3)
+    for share in (0.5, 0.85):
+        n = int(2000 * share)
+        good, bad = r.normal(1.2, 1, (800 + n, 6)).astype(np.float32), r.normal(-1.2, 1, (2000 - n, 6)).astype(np.float32)
+        assert abs(quality.estimated_prior(good[:800], np.r_[good[800:], bad]) - share) < 0.1
+
+
 def test_risk_is_kept_from_below():
     r = np.random.default_rng(0)
     good, bad = r.normal(1, 1, (400, 5)).astype(np.float32), r.normal(-1, 1, (400, 5)).astype(np.float32)
