@@ -150,6 +150,24 @@ class Model:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "__score"])
 
 
+#: Margins are made steeper by so much at most: separable groups would have no end.
+STEEP = 3.0
+
+
+def calibrated(f_p: np.ndarray, f_u: np.ndarray, prior: float, steps: int = 30) -> tuple[float, float]:
+    """Slope and shift of margins that minimise the unbiased risk, which in two dimensions is convex (Newton)."""
+    a, c = 1.0, 0.0
+    z = np.c_[f_u, np.ones(len(f_u))].astype(float)
+    goal = prior * np.array([f_p.mean(), 1.0])
+    for _ in range(steps):
+        q = _sigmoid(z @ (a, c))
+        g = z.T @ q / len(z) - goal
+        h = (z * (q * (1 - q))[:, None]).T @ z / len(z) + 1e-4 * np.eye(2)
+        d = np.clip(np.linalg.solve(h, g), -1, 1)
+        a, c = min(max(a - d[0], 1.0), STEEP), c - d[1]
+    return float(a), float(c)
+
+
 def _fit(positives: list[tuple[bytes, bytes]], group: int, steps: int):
     """One group's model, its scaling folded in; ``positives`` are taken in turn by the groups."""
 
@@ -164,7 +182,8 @@ def _fit(positives: list[tuple[bytes, bytes]], group: int, steps: int):
         x_u, x_p = (x_u - mean) / scale, (x_p - mean) / scale
         prior = estimated_prior(x_p, x_u)
         w, b = nn_pu(x_p, x_u, prior, steps)
-        w = w.astype(float) / scale
+        a, c = calibrated(x_p @ w + b, x_u @ w + b, prior)
+        w, b = a * w.astype(float) / scale, a * b + c
         return pd.DataFrame({"grp": [number], "n": [1], "model": [[*w, b - w @ mean, prior]]})
 
     return fit
@@ -179,7 +198,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int | None = None, group: int = 2000, steps: int = 200) -> Model:
+def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int | None = None, group: int = 2000, steps: int = 150) -> Model:
     """Fit on the labels of rows that aren't held out.
 
     positives: trusted positives (quality 1) that are used at most, chosen by a hash of the
