@@ -1,8 +1,9 @@
 """Packing documents into sequences of tokens by hierarchical residual best fit.
 
 Items are packed best-fit decreasing within partitions. Full and nearly full bins are
-emitted; the emptiest of the others become items, which a tree merges from partition
-to partition for further best-fit rounds.
+emitted; all others become items, which a tree merges from partition to partition for
+further best-fit rounds. Only sizes go up the tree: a bin is an item of the next level,
+and the places of the pieces are put together at the end, level by level.
 """
 
 from __future__ import annotations
@@ -22,12 +23,8 @@ from .common import save, scratch, slices
 
 #: Items of one partition.
 GROUP = 40_000
-#: Partitions whose underfull bins meet at each step of the tree.
+#: Partitions whose underfull bins meet at each step of the tree, if together they have no more items than a partition.
 MERGE = 64
-#: Underfull bins that a partition hands on, emptiest first. Best fit leaves at most one
-#: bin of less than half, and fuller bins can't be merged with each other; so what is
-#: handed on is that one and bins that could take it or its like.
-HANDED_ON = 256
 CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 #: White space and separators beyond ASCII's, at which str.split would cut as well.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -45,12 +42,17 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+#: Words with capitals, marks, digits, accents and odd blanks, by which a vocabulary shows how it cuts texts.
+PROBE = ["Straße", "ÉTÉ", "naïve,", "The", "it's", "don't!", "(word)", "e.g.", "x1y2", "2024-01-02", "$5.00", "a_b", "…", "日本語", "hello...", "WORLD?!", "co-op", "#tag", "é", "Ÿ", "[at]", "<b>", "100%", "İstanbul"]
+
+
 class _Words(dict):
     """Token ids of each blank-separated word as little-endian bytes.
 
-    The tokenizer drops white space and never joins what it separates, so a text's ids
-    are those of its words, one after the other. It also separates letters from marks and
-    lowers them, so plain words go to its model directly; all others are encoded as they are.
+    A vocabulary that drops white space and never joins what it separates gives a text the
+    ids of its words, one after the other. One that also separates letters from marks and
+    lowers them lets plain words go to its model directly. Both are tried on probe words
+    first; where they don't hold, words or whole texts are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,6 +63,18 @@ class _Words(dict):
         self.encode, self.model = tokenizer.encode, tokenizer.model
         self.letters: dict[str, bytes] = {}
         self.bytes = _byte_characters()
+        self.plain = True
+        try:
+            self.plain = all(self[w] == self.encoded(w) for w in PROBE)
+        except Exception:  # a model that has no such bytes or method
+            self.plain = False
+        self.clear()
+        texts = [" ".join(PROBE), "\n".join(reversed(PROBE)), f" {PROBE[3]}\t\x0b {PROBE[4]} \r\n"]
+        self.by_word = all(self.ids_by_word(t) == self.encoded(t) for t in texts)
+        self.clear()
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _letters(self, word: str) -> bytes:
         ids = self.letters.get(word)
@@ -74,17 +88,20 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > 64:
-            return np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if m := SIMPLE.fullmatch(word):
+            return self.encoded(word)
+        if self.plain and (m := SIMPLE.fullmatch(word)):
             ids = self._letters(m[1].lower()) + (self[m[2]] if m[2] else b"")
         else:
-            ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self.encoded(word)
         if len(self) >= KNOWN:
             self.clear()
         self[word] = ids
         return ids
 
     def ids(self, text: str) -> bytes:
+        return self.ids_by_word(text) if self.by_word else self.encoded(text)
+
+    def ids_by_word(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, CHUNK.findall(text) if ODD.search(text) else text.split()))
 
 
@@ -114,7 +131,8 @@ def _pieces(vocabulary: str | None, limit: int, batches: Iterator[pa.RecordBatch
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = f"{PIECES}, grp long, bin long, offset long, open boolean"
+#: An item of a level, named by group and bin, in the group and bin of the next; fill is that of the bin.
+PACKED = "grp long, bin long, to long, into long, offset long, fill long, open boolean"
 
 
 def best_fit(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -139,27 +157,13 @@ def best_fit(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(limit: int, full: int, last: bool):
-    """One group: its bins of the step before (or pieces) are the items."""
+    """One group of items (grp, bin, size) into bins."""
 
     def pack(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["grp", "bin", "offset", "doc_id", "piece"], kind="stable").reset_index(drop=True)
-        item = df.groupby(["grp", "bin"], sort=False).ngroup().to_numpy()
-        sizes = np.bincount(item, df["length"].to_numpy()).astype(np.int64)
-        order = np.argsort(-sizes, kind="stable")
-        at, offset = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-        at[order], offset[order] = best_fit(sizes[order], limit)
-        fill = np.bincount(at, sizes)
-        kept = fill >= full
-        if last:
-            kept[:] = True
-        elif (~kept).sum() > HANDED_ON:
-            less = np.flatnonzero(~kept)
-            kept[less[np.argsort(fill[less], kind="stable")[HANDED_ON:]]] = True
-        df["offset"] += offset[item]
-        df["bin"] = at[item]
-        df["open"] = ~kept[at[item]]
-        df["grp"] = df["to"]
-        return df.drop(columns="to")
+        df = df.sort_values(["size", "grp", "bin"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        into, offset = best_fit(df["size"].to_numpy(), limit)
+        fill = np.bincount(into, df["size"].to_numpy()).astype(np.int64)[into]
+        return pd.DataFrame({"grp": df["grp"], "bin": df["bin"], "to": df["to"], "into": into, "offset": offset, "fill": fill, "open": (fill < full) & (not last)})
 
     return pack
 
@@ -185,22 +189,34 @@ def pack_documents(docs: DataFrame, limit: int = 4096, slack: float = 0.005, voc
     rest = pieces.where(F.col("length") < limit)
     groups = max(1, -(-rest.count() // GROUP))
     spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(groups))
-    rows = rest.withColumns({"grp": spread, "bin": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "open": F.lit(True), "to": spread})
-    level, done = 0, []
+    # the name of a piece as an item: its group and a number
+    rest = save(rest.withColumns({"grp": spread, "bin": F.monotonically_increasing_id()}), f"{path}/rest")
+    items = rest.select("grp", "bin", F.col("length").alias("size"), F.col("grp").alias("to"))
+    levels, count = [], None
     while True:
+        # a level that is merged no further is the last: one group, or bins that fit nowhere among so many others
         last = groups == 1
-        level += 1
-        out = save(rows.groupBy("to").applyInPandas(_packed(limit, full, last), PACKED), f"{path}/level-{level}")
-        done.append(out.where("not open").withColumn("level", F.lit(level)))
+        out = save(items.groupBy("to").applyInPandas(_packed(limit, full, last), PACKED), f"{path}/level-{len(levels)}")
+        levels.append(out)
         if last:
             break
-        rows = out.where("open").withColumn("to", F.floor(F.col("grp") / MERGE))
-        groups = -(-groups // MERGE)
-    packed = done[0]
-    for d in done[1:]:
-        packed = packed.unionByName(d)
-    # numbers: level, group and bin of the packed ones are odd; a full piece has its own even one
-    number = 2 * (((F.col("level") * F.lit(1 << 32)) + F.col("grp")) * F.lit(1 << 20) + F.col("bin")) + 1
-    packed = packed.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset")
+        open_ = out.where("open").select(F.col("to").alias("grp"), F.col("into").alias("bin"), F.col("fill").alias("size")).distinct()
+        left = open_.count()
+        groups = min(-(-groups // MERGE) if count is None or left < count else 1, max(1, -(-left // GROUP))) if left else 1
+        count = left
+        items = open_.withColumn("to", F.pmod(F.xxhash64("grp", "bin"), F.lit(groups)))
+    # places from the last level down: of an item, its sequence and where it starts there
+    placed = None
+    for i in reversed(range(len(levels))):
+        here = levels[i].withColumn("number", 2 * ((F.lit(i) * F.lit(1 << 32) + F.col("to")) * F.lit(1 << 20) + F.col("into")) + 1)
+        if placed is None:
+            placed = here.select("grp", "bin", F.col("number").alias("sequence_id"), "offset")
+            continue
+        up = placed.select(F.col("grp").alias("to"), F.col("bin").alias("into"), F.col("sequence_id").alias("above"), F.col("offset").alias("start"))
+        both = here.join(up, ["to", "into"], "left")
+        placed = save(both.select("grp", "bin", F.coalesce("above", "number").alias("sequence_id"), (F.col("offset") + F.coalesce("start", F.lit(0))).alias("offset")), f"{path}/placed-{i}")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    packed = rest.join(placed, ["grp", "bin"]).select(*columns)
+    # a full piece is a sequence of its own, with an even number
     alone = whole.select("doc_id", "piece", "start", "length", "ids_crc32", (2 * F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.union(alone)

@@ -150,7 +150,7 @@ class Model:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, "__score"])
 
 
-#: Margins are made steeper by so much at most: separable groups would have no end.
+#: Margins are made steeper by so much at most: separable groups would have no end. The margin that scores a half stays.
 STEEP = 3.0
 
 
@@ -164,8 +164,11 @@ def calibrated(f_p: np.ndarray, f_u: np.ndarray, prior: float, steps: int = 30)
         g = z.T @ q / len(z) - goal
         h = (z * (q * (1 - q))[:, None]).T @ z / len(z) + 1e-4 * np.eye(2)
         d = np.clip(np.linalg.solve(h, g), -1, 1)
-        a, c = min(max(a - d[0], 1.0), STEEP), c - d[1]
-    return float(a), float(c)
+        a, c = a - d[0], c - d[1]
+    if a <= 0:
+        return 1.0, 0.0
+    less = min(1.0, STEEP / a)
+    return float(less * a), float(less * c)
 
 
 def _fit(positives: list[tuple[bytes, bytes]], group: int, steps: int):
