@@ -1,18 +1,21 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors in a text: at-signs, plus signs, schemes and
-identifier cues. From each anchor a deterministic parser expands to the boundaries of an
-email address, a phone number, a link with credentials, a street address or an account
-number, and validates what it has found. Digit chains anchor network addresses and cards.
-Every parser moves forward over the text, so a text takes time in proportion to its length.
+An Aho-Corasick automaton finds anchors in a text: at-signs, plus signs, digits, schemes
+and identifier cues. From each anchor a deterministic parser expands to the boundaries of
+an email address, a network address, a card, a phone number, a link with credentials, a
+street address, an account or identity number or a secret, and validates what it has
+found. Every parser moves forward over the text or looks at a bounded piece of it, so a
+text takes time in proportion to its length.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +25,7 @@ from .common import slices
 
 #: Kinds of the contract, then those that the method adds, in this order.
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("account", "address", "iban", "login", "obfuscated")
+ADDED = ("account", "address", "iban", "identity", "login", "obfuscated", "secret", "telephone")
 ORDER = {k: i for i, k in enumerate((*BASE, *ADDED))}
 Span = tuple[int, int, str]
 
@@ -32,6 +35,12 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)++")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]++")
 _ACCOUNT = re.compile(r"[\s:#=.]{0,4}(?:(?:no|nr|number|nummer|num)\b)?[\s:#=.]{0,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
+_RUN = re.compile(r"[0-9]++")
+#: What stands between a cue and its value: the rest of a name, then a sign, a verb or a blank, then a quote.
+_ASSIGNED = re.compile(r"""[A-Za-z0-9_]{0,20}["']?\s{0,3}(?:(?::=|=>|[:=])|\bis\b)\s{0,3}["'`]?([A-Za-z0-9+/_.~=-]{8,512})""")
+_BEARER = re.compile(r"""\s{1,3}["'`]?([A-Za-z0-9+/_.~=-]{16,512})""")
+_IDENTITY = re.compile(r"[\s:#=.]{0,4}(?:(?:no|nr|number|id)\b)?[\s:#=.]{0,4}([A-Z]{0,3}[0-9](?:[ .-]?[0-9]){5,13}[A-Z]?)(?![A-Za-z0-9])", re.I)
+_TELEPHONE = re.compile(r"(?:\s?(?:no|nr|number)\b)?[\s:.#]{0,4}(\(?[0-9][0-9() ./-]{5,20}[0-9])(?![0-9])", re.I)
 _IBAN = re.compile(r"[\s:#=.]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Z0-9])")
 _LOGIN = re.compile(r"[^\s/?#@]{1,128}:[^\s/?#@]{1,128}@[A-Za-z0-9.-]{1,255}")
 _OBFUSCATED_LEFT = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?$")
@@ -42,6 +51,10 @@ _NUMBER_RIGHT = re.compile(r"(?:\s[^\W\d_][\w.'-]{0,30}){0,3},?\s[0-9]{1,5}[A-Za
 #: What each anchor leads to. Cues are matched without regard to case, at word starts.
 CUES = {
     "account": ("account", "acct", "konto", "compte", "cuenta"),
+    "identity": ("ssn", "social security", "passport", "passeport", "pasaporte", "reisepass", "tax id", "tax number", "steuernummer", "codice fiscale", "vat", "driver license", "driver's license", "national id", "dni"),
+    "secret": ("token", "secret", "password", "passwd", "passwort", "contraseña", "mot de passe", "api key", "api_key", "apikey", "api-key", "access key", "access_key", "private key", "private_key", "auth_key", "credential"),
+    "bearer": ("bearer",),
+    "telephone": ("tel", "telephone", "telefon", "teléfono", "téléphone", "phone", "mobile", "fax", "cell", "handy"),
     "iban": ("iban",),
     "left": (" street", " avenue", " road", " lane", " boulevard", " drive", " straße", " strasse"),
     "right": ("calle ", "rue ", "avenida ", "plaza ", "via "),
@@ -57,6 +70,8 @@ def _automaton():
     a = ahocorasick.Automaton()
     a.add_word("@", ("@", 1))
     a.add_word("+", ("+", 1))
+    for digit in "0123456789":
+        a.add_word(digit, ("#", 1))
     for kind, cues in CUES.items():
         for cue in cues:
             a.add_word(cue, (kind, len(cue)))
@@ -89,23 +104,33 @@ def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     return start, m.end()
 
 
-def _ips(text: str) -> Iterator[Span]:
-    for m in _DOTTED.finditer(text):
-        parts = m[0].split(".")
-        at = m.start()
-        for i in range(0, len(parts) - 3, 4):
-            four = parts[i : i + 4]
-            end = at + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four):
-                yield at, end, "ip"
-            at = end + 1
+def _ips(m: re.Match) -> Iterator[Span]:
+    """Of a chain of numbers with dots between, each four in turn."""
+    parts = m[0].split(".")
+    at = m.start()
+    for i in range(0, len(parts) - 3, 4):
+        four = parts[i : i + 4]
+        end = at + sum(map(len, four)) + 3
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four):
+            yield at, end, "ip"
+        at = end + 1
 
 
-def _cards(text: str) -> Iterator[Span]:
-    for m in _DIGITS.finditer(text):
-        digits = m[0].replace(" ", "").replace("-", "")
-        if 14 <= len(digits) <= 19 and luhn(digits):
-            yield m.start(), m.end(), "card"
+def card_valid(raw: str) -> bool:
+    digits = raw.replace(" ", "").replace("-", "")
+    return 14 <= len(digits) <= 19 and luhn(digits)
+
+
+def entropy(s: str) -> float:
+    """Bits a character."""
+    return -sum(n / len(s) * log2(n / len(s)) for n in Counter(s).values())
+
+
+def secret_valid(s: str) -> bool:
+    """Long and mixed enough to be no word: letters and digits of 3 bits a character, or 2.5 from 16 characters on."""
+    if not (any(map(str.isdigit, s)) and any(map(str.isalpha, s))):
+        return len(s) >= 20 and entropy(s) >= 3.5
+    return entropy(s) >= (2.5 if len(s) >= 16 else 3.0)
 
 
 def _lowered(text: str) -> str:
@@ -118,8 +143,8 @@ def spans_of(text: str | None) -> list[Span]:
     """All spans (start, end, kind) of a text, in order of start and kind."""
     if not text:
         return []
-    found = [*_ips(text), *_cards(text)]
-    mail = phone = 0
+    found: list[Span] = []
+    mail = phone = chain = digits = 0
     added: list[Span] = []
     for last, (kind, n) in _automaton().iter(_lowered(text)):
         start, end = last - n + 1, last + 1
@@ -127,6 +152,17 @@ def spans_of(text: str | None) -> list[Span]:
             if start >= mail and (s := _email(text, start, mail)):
                 found.append((*s, "email"))
                 mail = s[1]
+        elif kind == "#":
+            # the first digit of a chain comes first
+            if start >= chain:
+                if m := _DOTTED.match(text, start):
+                    found += _ips(m)
+                chain = m.end() if m else _RUN.match(text, start).end()
+            if start >= digits:
+                m = _DIGITS.match(text, start)
+                if m and card_valid(m[0]):
+                    found.append((*m.span(), "card"))
+                digits = m.end() if m else end
         elif kind == "+":
             # the match ends at the last digit of the run, with something between
             if start >= phone and (m := _PHONE.match(text, start)):
@@ -140,6 +176,15 @@ def spans_of(text: str | None) -> list[Span]:
                 continue
             if kind == "account" or iban_valid(m[1]):
                 added.append((*m.span(1), kind))
+        elif kind in ("identity", "telephone"):
+            if start and text[start - 1].isalnum() or end < len(text) and text[end].isalpha():
+                continue
+            if m := (_IDENTITY if kind == "identity" else _TELEPHONE).match(text, end):
+                if kind == "identity" or 7 <= sum(map(str.isdigit, m[1])) <= 15:
+                    added.append((*m.span(1), kind))
+        elif kind in ("secret", "bearer"):
+            if (m := (_ASSIGNED if kind == "secret" else _BEARER).match(text, end)) and secret_valid(m[1]):
+                added.append((*m.span(1), "secret"))
         elif kind == "login":
             if m := _LOGIN.match(text, end):
                 added.append((*m.span(), "login"))

@@ -49,10 +49,27 @@ def test_added():
     assert ("login", "bob:secret@host.example") in kinds("see https://bob:secret@host.example/x")
     assert ("address", "12 Old Mill Road") in kinds("lives at 12 Old Mill Road, there")
     assert ("obfuscated", "bob [at] example [dot] org") in kinds("write bob [at] example [dot] org")
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    for given in (f'then token = "{token}" and', f"api_key: {token}", f"Password is Xk29-qqLm4zT", f"Authorization: Bearer {token}"):  # noqa: F541
+        assert [k for k, _ in kinds(given)] == ["secret"]
+    assert kinds("SSN: 123-45-6789") == [("identity", "123-45-6789")] and kinds("passport no. C01X00T47") == []
+    assert kinds("Tel. (030) 123 4567") == [("telephone", "(030) 123 4567")]
+    assert kinds("the token is gone, a secret of words: something, fax it, phone 12") == []
     assert iban_valid("GB82 WEST 1234 5698 7654 32") and not iban_valid("GB82 WEST 1234 5698 7654 33")
     assert redact("mail a@b.cd now") == "mail <email> now" and redact(None) is None
 
 
+def test_recall_of_assigned_secrets(spark):
+    """Every text of the given table with an assigned token of forty hexadecimal digits has it as a span, and no others have secrets."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = re.compile(r'token = "([0-9a-f]{40})"')
+    rows = {r.doc_id: [m.span(1) for m in planted.finditer(r.text or "")] for r in df.collect()}
+    assert sum(map(len, rows.values())) > 5
+    for r in find_pii(df).collect():
+        got = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("secret:")]
+        assert got == rows[r.doc_id]
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "a@b.c", "c"), (3, "a@b.c " * 20000, None), (3, "1" * 100000 + "@" * 1000, None)], "doc_id long, text string, spans string")
     got = find_pii(df).collect()
