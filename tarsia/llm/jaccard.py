@@ -17,8 +17,8 @@ more or less) is allocated by cost; similar sets meet where the worth passes H:
   its own. Similar documents either share an infrequent token, or together have at most
   H infrequent tokens; those are compared across the components found until then.
 
-Frequent segments are joined to the head of their bucket only, so rows stay linear in the
-input. Every candidate is verified: first by a bitmap of token-count parities, which
+Of frequent segments, one document of each component is joined to the head of the bucket,
+so rows stay linear in the input. Every candidate is verified: first by a bitmap of token-count parities, which
 bounds the symmetric difference from below, then on the sets themselves.
 """
 
@@ -310,9 +310,11 @@ def _runs(by_choice: bool, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         meet(i, i + d)
     often = np.flatnonzero(frequent)
     if len(often):
-        # the first of the run whose size may do, all in the run being sorted by size
-        at = np.searchsorted(run * 256 + size, run[often] * 256 + np.maximum(size[often] - APART, 0))
-        meet(at, often)
+        # one of each component and the first of the run whose size may do, all in the run being sorted by size
+        order = np.lexsort((comp[often], run[often]))
+        one = often[order]
+        one = one[np.r_[True, (run[one][1:] != run[one][:-1]) | (comp[one][1:] != comp[one][:-1])]]
+        meet(np.searchsorted(run * 256 + size, run[one] * 256 + np.maximum(size[one] - APART, 0)), one)
         said = often[(flag[often] & CHOSEN) > 0] if by_choice else often
         if len(said):
             role = (flag[said] & LOWER) > 0
