@@ -150,10 +150,10 @@ def best_offer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offers.best_offers(cat.offers, cat.stores).select("product_id", "id", "store_id", "store_name", rounded(C("price"), 4).alias("price"), rounded(C("old_price"), 4).alias("old_price"), "offers_checked")
 
 
-@query(BASE + "SELECT o.id, coalesce(s.name, 'negozio sconosciuto') AS store_name FROM offers o LEFT JOIN (SELECT * FROM stores WHERE id::INT % 2 = 0) s ON o.store_id = s.id")
+@query(BASE + "SELECT o.id, coalesce(s.name, 'negozio sconosciuto') AS store_name FROM offers o LEFT JOIN stores s ON s.id = o.store_id")
 def offers_with_store_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = star(spark, sf_dir)
-    return offers.with_store(cat.offers, cat.stores.where(C("id").cast("int") % 2 == 0)).select("id", "store_name")
+    return offers.with_store(cat.offers, cat.stores).select("id", "store_name")
 
 
 @query(BASE + "SELECT w.pos, p.id, p.name FROM (SELECT unnest(['17', '3', 'none', '5', '0']) AS id, unnest([0, 1, 3, 5, 6]) AS pos) w JOIN products p USING (id)")
@@ -269,10 +269,12 @@ def dq_duplicate_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicate_products(star(spark, sf_dir).products)
 
 
-@query(BASE + "SELECT id, name FROM products WHERE id NOT IN (SELECT product_id FROM good_offers)")
+@query(BASE + "SELECT id, name FROM products WHERE id NOT IN (SELECT product_id FROM good_offers WHERE current_price < 200)")
 def dq_products_without_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products without a usable offer below a price."""
     cat = star(spark, sf_dir)
-    return cat.products.join(quality.keys_of(cat.offers.where(usable_offer()), "product_id"), "id", "left_anti").select("id", "name")
+    low = cat.offers.where(usable_offer() & (C("current_price") < 200))
+    return cat.products.join(quality.keys_of(low, "product_id"), "id", "left_anti").select("id", "name")
 
 
 @query(BASE + "SELECT id FROM offers WHERE product_id NOT IN (SELECT id FROM products WHERE category <> 'PROMO')")
@@ -287,10 +289,11 @@ def dq_orphan_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.without_match(cat.history, "product_id", quality.keys_of(cat.products.where("category <> 'PROMO'"), "id")).groupBy("product_id").agg(F.count("*").alias("n"))
 
 
-@query(BASE + "SELECT id, name FROM stores WHERE id NOT IN (SELECT store_id FROM offers WHERE current_price < 1000)")
+@query(BASE + "SELECT id, name FROM stores WHERE id NOT IN (SELECT store_id FROM offers WHERE current_price < 20)")
 def dq_inactive_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores without an offer below a price."""
     cat = star(spark, sf_dir)
-    return cat.stores.join(quality.keys_of(cat.offers.where("current_price < 1000"), "store_id"), "id", "left_anti").select("id", "name")
+    return cat.stores.join(quality.keys_of(cat.offers.where("current_price < 20"), "store_id"), "id", "left_anti").select("id", "name")
 
 
 @query(BASE + "SELECT product_id, count(*) AS n FROM offers GROUP BY 1 HAVING count(*) > 1")
@@ -355,14 +358,20 @@ def recency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.counts(seen, recent=C("latest") >= now - F.expr("INTERVAL 3 DAYS"), stale=C("latest") < now - F.expr("INTERVAL 14 DAYS"))
 
 
-@query(BASE + "SELECT product_id, count(price) - count(DISTINCT price) AS repeated FROM usable WHERE price > 0 GROUP BY 1 HAVING count(price) > count(DISTINCT price)")
+def priced_up_to(cat: StarCatalog, step: int) -> StarCatalog:
+    """The catalog with observed prices raised to the next multiple of ``step``, so that some repeat."""
+    cat.history = cat.history.withColumn("price", (F.ceil(C("price") / step) * step).cast("double"))
+    return cat
+
+
+@query(BASE + ", coarse AS (SELECT product_id, ceil(price / 10) * 10 AS price FROM usable WHERE price > 0) SELECT product_id, count(price) - count(DISTINCT price) AS repeated FROM coarse GROUP BY 1 HAVING count(price) > count(DISTINCT price)")
 def repeated_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readiness.repeated_points(star(spark, sf_dir))
+    return readiness.repeated_points(priced_up_to(star(spark, sf_dir), 10))
 
 
-@query(BASE + "SELECT p.id, p.name FROM products p JOIN (SELECT product_id FROM usable WHERE price > 0 GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT price) = 1) h ON p.id = h.product_id")
+@query(BASE + "SELECT p.id, p.name FROM products p JOIN (SELECT product_id FROM usable WHERE price > 0 GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT ceil(price / 10000)) = 1) h ON p.id = h.product_id")
 def no_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readiness.no_variation(star(spark, sf_dir)).select("id", "name")
+    return readiness.no_variation(priced_up_to(star(spark, sf_dir), 10000)).select("id", "name")
 
 
 @query(BASE + ", latest AS (SELECT product_id, store_id, arg_max(price, (checked_at, ord)) AS latest FROM usable WHERE price > 0 GROUP BY 1, 2) SELECT o.id, round(current_price, 4) AS price, round(latest, 4) AS latest FROM offers o JOIN latest USING (product_id, store_id) WHERE abs(current_price - latest) > 0.01")

@@ -95,7 +95,9 @@ def by_ids(df: DataFrame, ids: list[str | None], id_col: str = "id") -> DataFram
     spark = df.sparkSession
     asked = spark.createDataFrame([(list(ids),)], "ids array<string>").select(F.posexplode("ids").alias("pos", "want")).where(~blank(F.col("want")))
     asked = asked.groupBy("want").agg(F.min("pos").alias("pos"))
-    rows = df.groupBy(id_col).agg(F.max(F.struct(*[c for c in df.columns if c != id_col])).alias("r"))
+    # the ids asked for reach the scan before rows that repeat an id are reduced
+    some = df.join(F.broadcast(asked.select(F.col("want").alias(id_col))), id_col, "left_semi")
+    rows = some.groupBy(id_col).agg(F.max(F.struct(*[c for c in df.columns if c != id_col])).alias("r"))
     return rows.join(F.broadcast(asked), rows[id_col] == asked["want"]).orderBy("pos").select(id_col, "r.*")
 
 
