@@ -9,7 +9,8 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,7 +44,20 @@ class Retailer:
     listing_path: str
     dot_thousands: bool = False
     force: str | None = None
-    seeds: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    #: Keys of page metadata, the first that says something counts.
+    meta_titles: tuple[str, ...] = ()
+    meta_images: tuple[str, ...] = ()
+    #: The first of each group that says something is tried as a price.
+    meta_prices: tuple[tuple[str, ...], ...] = ()
+    embedded_prices: tuple[str, ...] = ()
+    search: str = ""
+    search_default: str = ""
+    search_drops: str = ""
+    search_words: int | None = None
+    #: The page lists products as lines of title, sku, status and price.
+    piped: bool = False
+    any_case: bool = False
+    quoted: bool = False
 
 
 AMOUNT = r"(\d{1,4}(?:[.,]\d{1,2})?)"
@@ -54,6 +68,7 @@ UNIEURO = Retailer(
     generic_titles=("dettagli", "servizi", "foto del prodotto", "foto prodotto", "miniatura prodotto", "unieuro", "unieuro: il miglior negozio di elettronica online"),
     sold_out=("outofstock", "out_of_stock", "non disponibile"), other_context=("pagamenti", "interessi", "klarna", "paypal", "recensione", "ricevuto", "spedizione", "ritiro", "punti", "raee"), first_context=("iva inclusa",),
     not_listing=("/online/guida-", "/online/guida/", "/online/servizi", "/online/volantino", "/online/cart", "/online/login"), listing_path=r"/online/",
+    meta_titles=("og:title", "title"), meta_images=("og:image", "image"), search="site:unieuro.it/online", search_default="unieuro prodotti", piped=True,
 )
 MEDIAWORLD = Retailer(
     site="https://www.mediaworld.it", hosts=("www.mediaworld.it", "mediaworld.it"), product_path=r"(?i)^/it/product/.*\.html$", product_link=r"(?i)(?:https?://(?:www\.)?mediaworld\.it)?/it/product/[^\"'\s<>\)\]]+?\.html", code=r"(?i)([^/]+?)(?:\.html)?/*$",
@@ -63,7 +78,18 @@ MEDIAWORLD = Retailer(
     sold_out=("outofstock", "out_of_stock", "soldout", "sold out", "esaurito", "non disponibile"), other_context=("bonifico", "consegna", "finanziamento", "interessi", "klarna", "paypal", "punti", "recensione", "reso", "ritiro", "spedizione", "taeg", "tan"),
     first_context=("prezzo", "iva inclusa", "aggiungi al carrello", "disponibile online", "offerta"), not_listing=("/it/account", "/it/cart", "/it/checkout", "/it/customer", "/it/login", "/it/service", "/it/store"), listing_path=r"^/it/(?:category/|search|campaign/)",
     dot_thousands=True, force="https://www.mediaworld.it",
+    meta_titles=("og:title", "twitter:title", "title"), meta_images=("og:image", "twitter:image", "image"), meta_prices=(("product:price:amount", "og:price:amount"), ("price", "twitter:data1")),
+    embedded_prices=(
+        rf'"(?:salePrice|currentPrice|finalPrice|price)"\s*:\s*"?{AMOUNT}"?',
+        rf'"(?:value|amount)"\s*:\s*"?{AMOUNT}"?\s*,\s*"(?:currency|currencyCode)"\s*:\s*"EUR"',
+        rf'"(?:currency|currencyCode)"\s*:\s*"EUR"\s*,\s*"(?:value|amount|price)"\s*:\s*"?{AMOUNT}"?',
+    ),
+    search="site:mediaworld.it/it/product", search_default="mediaworld prodotti", search_drops="[^a-zA-Z0-9àèéìòùÀÈÉÌÒÙ-]", search_words=8, any_case=True, quoted=True,
 )
+#: What must and what must not stand so many characters around an embedded price.
+EMBEDDED_NEAR = ("product", "sku", "offer", "availability", "eur")
+EMBEDDED_NOT = ("shipping", "spedizione", "delivery", "installment")
+EMBEDDED_AROUND = 300
 RETAILERS = {"unieuro": UNIEURO, "mediaworld": MEDIAWORLD}
 
 
@@ -73,8 +99,20 @@ def unescaped(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html_lib.unescape(x))
 
 
-def clean_text(c: Column) -> Column:
-    return squeeze(F.replace(unescaped(F.coalesce(c.cast("string"), F.lit(""))), F.lit("\\"), F.lit("")))
+@F.pandas_udf(T.StringType())
+def unquoted(s: pd.Series) -> pd.Series:
+    """HTML entities, then percent-encoded characters resolved; broken ones stay."""
+    return s.map(lambda x: None if x is None else unquote(html_lib.unescape(x)))
+
+
+def clean_text(c: Column, quoted: bool = False) -> Column:
+    """Text of a page without entities, backslashes and runs of blanks; null gives "".
+
+    quoted: percent-encoded characters and escaped slashes are resolved as well.
+    """
+    c = F.coalesce(c.cast("string"), F.lit(""))
+    plain = F.replace(unquoted(c), F.lit("\\u002F"), F.lit("/")) if quoted else unescaped(c)
+    return squeeze(F.replace(plain, F.lit("\\"), F.lit("")))
 
 
 def _nodes(value: object):
@@ -120,6 +158,84 @@ def json_ld_product(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["name", "image", "availability", "prices"], dtype=object)
 
 
+def meta_value(metadata: Column, keys: tuple[str, ...], shop: Retailer) -> Column:
+    """The first value of the keys that isn't empty, of a map of page metadata.
+
+    Where the shop's keys come in any case, a key as it is written goes first.
+    """
+    def value(key: str) -> list[Column]:
+        exact = F.nullif(F.try_element_at(metadata, F.lit(key)), F.lit(""))
+        if not shop.any_case:
+            return [exact]
+        same = F.map_filter(metadata, lambda k, v: (F.lower(k) == key.lower()) & (F.coalesce(v, F.lit("")) != ""))
+        return [exact, F.get(F.map_values(same), F.lit(0))]
+
+    return F.coalesce(*[v for key in keys for v in value(key)])
+
+
+def metadata_price(metadata: Column, shop: Retailer) -> Column:
+    """The first group of keys whose value is a price; null for shops without such keys."""
+    found = [page_price(meta_value(metadata, group, shop), shop.dot_thousands) for group in shop.meta_prices]
+    return F.coalesce(*found) if found else F.lit(None).cast("double")
+
+
+def _embedded_amounts(text: str, patterns: list[re.Pattern]) -> list[str]:
+    out = []
+    for found in (m for p in patterns for m in p.finditer(text)):
+        around = text[max(0, found.start() - EMBEDDED_AROUND) : found.end() + EMBEDDED_AROUND].lower()
+        near, bad = (any(word in around for word in words) for words in (EMBEDDED_NEAR, EMBEDDED_NOT))
+        if near and not bad:
+            out.append(found.group(1))
+    return out
+
+
+def embedded_price(text: Column, shop: Retailer) -> Column:
+    """The first price in a script's data that stands near words of a product and none of shipping.
+
+    What stands around a match needs its place, which no built-in gives: an Arrow function.
+    """
+    if not shop.embedded_prices:
+        return F.lit(None).cast("double")
+    patterns = [re.compile(p, re.I) for p in shop.embedded_prices]
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def amounts(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: _embedded_amounts(x, patterns) if x else [])
+
+    prices = F.transform(amounts(clean_text(text, shop.quoted)), lambda a: page_price(a, shop.dot_thousands))
+    return F.get(F.filter(prices, lambda p: p.isNotNull()), F.lit(0))
+
+
+def search_query(query: Column, shop: Retailer) -> Column:
+    """A search for the shop's products: site words dropped, what is left cleaned and cut as the shop's search asks."""
+    words = F.filter(F.split(F.trim(F.regexp_replace(query, r"\s+", " ")), " "), lambda w: (w != "") & ~F.startswith(w, F.lit("site:")))
+    if shop.search_drops:
+        words = F.filter(F.transform(words, lambda w: F.regexp_replace(w, shop.search_drops, "")), lambda w: w != "")
+    if shop.search_words:
+        words = F.slice(words, 1, shop.search_words)
+    said = F.coalesce(F.nullif(F.array_join(words, " "), F.lit("")), F.lit(shop.search_default))
+    return F.concat(F.lit(f"{shop.search} "), said)
+
+
+#: Where a search service puts its items.
+ITEM_PATHS = ("$", "$.data", "$.data.web", "$.data.results", "$.data.items")
+
+
+def search_items(payloads: DataFrame) -> DataFrame:
+    """(query_ord, item_ord, url, title, text) of search payloads (query_ord, payload: JSON text).
+
+    A payload is a list of items, or an object that holds one in any of ITEM_PATHS. Other
+    payloads, broken and null ones have no items; items that aren't objects are skipped.
+    """
+    json_ = F.try_parse_json("payload")
+    items = F.coalesce(*[F.try_variant_get(json_, path, "array<variant>") for path in ITEM_PATHS])
+    rows = payloads.select("query_ord", F.posexplode(items).alias("item_ord", "item"))
+    field_of = lambda name: F.try_variant_get("item", f"$.{name}", "string")
+    rows = rows.where(F.startswith(F.schema_of_variant("item"), F.lit("OBJECT")))
+    text = F.coalesce(*[F.nullif(field_of(n), F.lit("")) for n in ("markdown", "html", "description")], F.lit(""))
+    return rows.select("query_ord", "item_ord", field_of("url").alias("url"), field_of("title").alias("title"), text.alias("text"))
+
+
 def canonical_url(url: Column, shop: Retailer) -> Column:
     """Absolute, on one of the shop's hosts, without query and fragment; else null."""
     u = F.trim(url)
@@ -206,24 +322,49 @@ def page_title(html: Column) -> Column:
     return F.nullif(squeeze(unescaped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
 
 
+def image_alt(markdown: Column, shop: Retailer) -> Column:
+    """The first image text of a line of its own that is a title."""
+    found = F.transform(F.regexp_extract_all(markdown, F.lit(r"(?m)^[ \t]*!\[(.*?)\]"), F.lit(1)), lambda t: clean_title(t, shop))
+    return F.get(F.filter(found, lambda t: t.isNotNull()), F.lit(0))
+
+
+def piped_title(markdown: Column, shop: Retailer) -> Column:
+    """What stands before the bar in the first line that has one, says whether there is stock and starts with a title."""
+    lines = F.filter(F.split(markdown, "\n"), lambda x: F.contains(x, F.lit("|")) & _has_any(F.lower(x), ("instock", "outofstock")))
+    found = F.transform(lines, lambda x: clean_title(F.split_part(x, F.lit("|"), F.lit(1)), shop))
+    return F.get(F.filter(found, lambda t: t.isNotNull()), F.lit(0))
+
+
+def image_url(c: Column, shop: Retailer) -> Column:
+    """Absolute; null for what isn't an address."""
+    c = F.trim(c)
+    return F.when(F.startswith(c, F.lit("//")), F.concat(F.lit("https:"), c)).when(F.startswith(c, F.lit("/")), F.concat(F.lit(shop.site), c)).when(c.rlike("^https?://"), c)
+
+
 def extract_products(pages: DataFrame, shop: Retailer, category: str) -> DataFrame:
-    """Product rows of scraped pages (url, html, markdown, search_title) with a discard reason, null where kept.
+    """Product rows of scraped pages (url, html, markdown, search_title, and if there is one a map of
+    metadata) with a discard reason, null where kept.
 
     Reasons, in order: bad_url, no_title, no_price, low_confidence, out_of_stock.
     """
     html, md = F.coalesce("html", F.lit("")), F.coalesce("markdown", F.lit(""))
+    meta = F.col("metadata") if "metadata" in pages.columns else F.lit(None).cast("map<string,string>")
     rows = pages.withColumns({"__text": F.concat_ws("\n", html, md), "__url": canonical_url(F.col("url"), shop)})
-    rows = rows.withColumns({"__ld": json_ld_product(F.col("__text")), "__line": store_line(F.col("__text"))})
+    nothing = F.lit(None).cast("struct<title:string,sku:string,status:string,price:string>")
+    rows = rows.withColumns({"__ld": json_ld_product(F.col("__text")), "__line": store_line(F.col("__text")) if shop.piped else nothing})
     line_price = page_price(F.col("__line.price"), shop.dot_thousands)
     ld_price = F.get(F.filter(F.transform("__ld.prices", lambda p: page_price(p, shop.dot_thousands)), lambda p: p.isNotNull()), F.lit(0))
-    near = contextual_price(F.col("__text"), shop)
-    price = F.coalesce(line_price, ld_price, near)
-    confidence = F.when(F.coalesce(line_price, ld_price).isNotNull(), "alta").when(near.isNotNull(), "media").otherwise("bassa")
-    title = F.coalesce(*[clean_title(c, shop) for c in (F.col("__line.title"), F.col("__ld.name"), heading(F.col("__text")), page_title(html), F.col("search_title"))])
-    image = F.coalesce(F.col("__ld.image"), F.nullif(F.regexp_extract(F.col("__text"), r"(https://[^\s\"')>]+\.(?:jpe?g|png|webp))", 1), F.lit("")))
+    rows = rows.withColumns({"__sure": F.coalesce(line_price, ld_price, metadata_price(meta, shop), embedded_price(F.col("__text"), shop)), "__near": contextual_price(F.col("__text"), shop)})
+    price = F.coalesce("__sure", "__near")
+    confidence = F.when(F.col("__sure").isNotNull(), "alta").when(F.col("__near").isNotNull(), "media").otherwise("bassa")
+    titles = [meta_value(meta, shop.meta_titles, shop), heading(F.col("__text"))]
+    named = [F.col("__line.title"), F.col("__ld.name"), *(reversed(titles) if shop.piped else titles), page_title(html), F.col("search_title")]
+    title = F.coalesce(*[clean_title(clean_text(c, shop.quoted), shop) for c in named], *([piped_title(md, shop)] if shop.piped else []), image_alt(md, shop))
+    loose = F.nullif(F.regexp_extract(F.col("__text"), ("(?i)" if shop.any_case else "") + r"(https://[^\s\"')>]+\.(?:jpe?g|png|webp))", 1), F.lit(""))
+    image = F.coalesce(*[image_url(clean_text(c, shop.quoted), shop) for c in (meta_value(meta, shop.meta_images, shop), F.col("__ld.image"))], loose)
     stock = F.when(F.col("__line.status").isNotNull(), availability(F.col("__line.status"), shop)).when(F.col("__ld.availability").isNotNull(), availability(F.col("__ld.availability"), shop)).otherwise(availability(F.col("__text"), shop))
     rows = rows.withColumns({"title": title, "price": price, "data_confidence": confidence, "availability": stock})
-    rows = rows.withColumns({"old_price": old_price(F.col("__text"), F.col("price"), shop), "image_url": F.when(F.startswith(image, F.lit("//")), F.concat(F.lit("https:"), image)).otherwise(image), "product_code": product_code(F.col("__url"), shop)})
+    rows = rows.withColumns({"old_price": old_price(F.col("__text"), F.col("price"), shop), "image_url": image, "product_code": product_code(F.col("__url"), shop)})
     reason = F.when(F.col("__url").isNull() | ~is_product_url(F.col("__url"), shop), "bad_url").when(F.col("title").isNull(), "no_title").when(F.col("price").isNull(), "no_price").when(F.col("data_confidence") == "bassa", "low_confidence").when(F.col("availability") == "out_of_stock", "out_of_stock")
     return rows.select("url", F.col("__url").alias("product_url"), "product_code", F.col("title").alias("name"), F.lit(category).alias("category"), "price", "old_price", "image_url", "availability", "data_confidence", reason.alias("discard_reason"))
 

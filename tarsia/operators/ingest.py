@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.predicates import sellable_listing
 from ..functions.text import canonical_key
 from ..sources.catalog import Catalog
 
@@ -75,3 +76,8 @@ def save_batch(catalog: Catalog, batch: DataFrame) -> Catalog:
     old = catalog.history
     full = history.withColumns({c: F.lit(None).cast(old.schema[c].dataType) for c in old.columns if c not in history.columns}).select(*old.columns)
     return replace(catalog, products=products, stores=stores, offers=offers, history=old.unionByName(full))
+
+
+def import_listings(catalog: Catalog, listings: DataFrame, min_feedback: float = 98.0) -> Catalog:
+    """Marketplace listings (a batch with condition, buying_options, seller_feedback_percentage): those that may be sold, saved."""
+    return save_batch(catalog, listings.where(sellable_listing(min_feedback)))

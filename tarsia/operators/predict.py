@@ -104,6 +104,11 @@ def price_context(catalog: Catalog) -> DataFrame:
     return h.groupBy("product_id").agg(F.count("price").alias("points"), F.min("price").alias("low"), F.max("price").alias("high"), F.avg("price").alias("mean"), F.max_by("price", "at").alias("latest"))
 
 
+def as_json(predictions: DataFrame) -> DataFrame:
+    """Each prediction as one JSON object, with nulls for what is unknown."""
+    return predictions.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("prediction"))
+
+
 def text_table(df: DataFrame, rows: int = 20) -> str:
     """The first rows as a fixed-width table."""
     got = [[("-" if v is None else str(v)) for v in r] for r in df.limit(rows).collect()]

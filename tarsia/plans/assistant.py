@@ -101,6 +101,10 @@ def answer(cat: Catalog, text: str, interpreter: Interpreter | None = None, rank
         p = predict(cat, product_id=best["product_id"]).where(F.col("store_name") == best["store_name"]).first()
         advice = {"buy_now": "conviene comprare ora", "wait": "conviene aspettare", "monitor": "tieni d'occhio il prezzo"}
         said += f": {advice.get(p.recommendation if p else '', 'storico insufficiente')}"
+    stores = sorted({r["store_name"] for r in rows if r["store_name"]})
+    diagnostics["stores"] = len(stores)
+    if stores:
+        said += f". Dati di un solo negozio: {stores[0]}" if len(stores) == 1 else f". Prezzi di {len(stores)} negozi a confronto"
     return Answer(q, said, rows, diagnostics)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,6 +62,15 @@ def top_risks(report: DataFrame, limit: int = 8) -> DataFrame:
     return bad.orderBy(F.when(F.col("status") == "CRITICAL", 0).otherwise(1), F.desc(F.coalesce("count_num", F.lit(0.0))), "section", "ord").limit(limit)
 
 
+def json_report(report: DataFrame) -> str:
+    """The report as one JSON object: a list of metrics for each section, in order."""
+    sections: dict[str, list[dict]] = {}
+    for r in report.orderBy("section", "ord").collect():
+        row = r.asDict(recursive=True)
+        sections.setdefault(row.pop("section"), []).append(row)
+    return json.dumps({"sections": sections}, ensure_ascii=False, indent=2, default=str)
+
+
 def text_report(report: DataFrame) -> str:
     """The report as lines of text."""
     out, section = [], None

@@ -42,6 +42,11 @@ def duplicate_stores(stores: DataFrame) -> DataFrame:
     return stores.select(audit_text(C("name")).alias("name")).where("name <> ''").groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def duplicate_label(*keys: str) -> Column:
+    """What a group of duplicates has in common, and how many rows it has."""
+    return F.concat(F.concat_ws(" | ", *keys), F.lit(": "), C("n").cast("string"), F.lit(" rows"))
+
+
 def multi_offer_products(offers: DataFrame) -> DataFrame:
     return offers.where(~missing(C("product_id"))).groupBy("product_id").agg(F.count("*").alias("n")).where("n > 1")
 
@@ -71,8 +76,9 @@ def products_section(cat: Catalog, examples: int) -> DataFrame:
     optional = [c for c in ("canonical_key", "search_keywords", "image_url") if c in p.columns]
     lonely = p.join(keys_of(cat.offers, "product_id"), "id", "left_anti")
     silent = p.join(keys_of(cat.history, "product_id"), "id", "left_anti")
+    twice = duplicate_products(p)
     base = counts(p, total=F.lit(True), no_name=missing(C("name")), no_category=missing(C("category")), long=F.length("name") > LONG_NAME, **{f"no_{c}": missing(C(c)) for c in optional})
-    scalars = one_row(base, n(duplicate_products(p), "dup"), n(lonely, "lonely"), n(silent, "silent"), examples_of(lonely, product_label(), examples, "x_lonely"), examples_of(p.where(missing(C("name"))), product_label(), examples, "x_name"))
+    scalars = one_row(base, n(twice, "dup"), n(lonely, "lonely"), n(silent, "silent"), examples_of(twice, duplicate_label("category", "name"), examples, "x_dup"), examples_of(lonely, product_label(), examples, "x_lonely"), examples_of(p.where(missing(C("name"))), product_label(), examples, "x_name"))
     s, total = Section("products", scalars), C("total")
     s.add("products", total, status=F.lit("OK")).add("products without name", C("no_name"), total, critical=True, examples=C("x_name")).add("products without category", C("no_category"), total, critical=True)
     for c in ("canonical_key", "search_keywords", "image_url"):
@@ -80,27 +86,34 @@ def products_section(cat: Catalog, examples: int) -> DataFrame:
             s.add(f"products without {c}", C(f"no_{c}"), total)
         else:
             s.add(f"products without {c}", F.lit(0), total, status=F.lit("OK"), note="no such column: skipped")
-    s.add(f"names of over {LONG_NAME} characters", C("long"), total).add("duplicate name and category", C("dup"), total)
+    s.add(f"names of over {LONG_NAME} characters", C("long"), total).add("duplicate name and category", C("dup"), total, examples=C("x_dup"))
     return s.add("products without offers", C("lonely"), total, critical=True, examples=C("x_lonely")).add("products without history", C("silent"), total).frame()
 
 
 def offers_section(cat: Catalog, examples: int) -> DataFrame:
     o, price = cat.offers, number(C("current_price"))
     no_product, no_store = without_match(o, "product_id", keys_of(cat.products, "id")), without_match(o, "store_id", keys_of(cat.stores, "id"))
+    twice = duplicate_offers(o)
     base = counts(o, total=F.lit(True), no_pid=missing(C("product_id")), no_sid=missing(C("store_id")), no_price=missing(C("current_price")), bad_price=price <= 0, lower=old_price_lower(), no_url=missing(C("product_url")), no_stock=missing(C("availability")))
-    scalars = one_row(base, n(no_product, "orphan_p"), n(no_store, "orphan_s"), n(duplicate_offers(o), "dup"), n(multi_offer_products(o), "multi"), examples_of(no_product, offer_label(), examples, "x_orphan"))
+    scalars = one_row(base, n(no_product, "orphan_p"), n(no_store, "orphan_s"), n(twice, "dup"), examples_of(twice, duplicate_label("product_id", "store_id", "product_url"), examples, "x_dup"), n(multi_offer_products(o), "multi"), examples_of(no_product, offer_label(), examples, "x_orphan"))
     s, total = Section("offers", scalars), C("total")
     s.add("offers", total, status=F.lit("OK")).add("offers without product", C("no_pid"), total, critical=True).add("offers of unknown products", C("orphan_p"), total, critical=True, examples=C("x_orphan"))
     s.add("offers without store", C("no_sid"), total, critical=True).add("offers of unknown stores", C("orphan_s"), total, critical=True).add("offers without price", C("no_price"), total, critical=True)
     s.add("offers with price of at most 0", C("bad_price"), total, critical=True).add("old price below current price", C("lower"), total).add("offers without url", C("no_url"), total).add("offers without availability", C("no_stock"), total)
-    return s.add("duplicate product, store and url", C("dup"), total).add("products with several offers", C("multi"), status=F.when(C("multi") > 0, "OK").otherwise("WARNING"), note="Prices can only be compared where there are several.").frame()
+    return s.add("duplicate product, store and url", C("dup"), total, examples=C("x_dup")).add("products with several offers", C("multi"), status=F.when(C("multi") > 0, "OK").otherwise("WARNING"), note="Prices can only be compared where there are several.").frame()
 
 
 def stores_section(cat: Catalog, examples: int) -> DataFrame:
     idle = cat.stores.join(keys_of(cat.offers, "store_id"), "id", "left_anti")
-    scalars = one_row(counts(cat.stores, total=F.lit(True), no_name=missing(C("name"))), n(duplicate_stores(cat.stores), "dup"), n(idle, "idle"), examples_of(idle, label(C("name")), examples, "x_idle"))
+    twice = duplicate_stores(cat.stores)
+    scalars = one_row(counts(cat.stores, total=F.lit(True), no_name=missing(C("name"))), n(twice, "dup"), examples_of(twice, duplicate_label("name"), examples, "x_dup"), n(idle, "idle"), examples_of(idle, label(C("name")), examples, "x_idle"))
     s, total = Section("stores", scalars), C("total")
-    return s.add("stores", total, status=F.lit("OK")).add("stores without name", C("no_name"), total, critical=True).add("duplicate store names", C("dup"), total).add("stores without offers", C("idle"), total, examples=C("x_idle")).frame()
+    return s.add("stores", total, status=F.lit("OK")).add("stores without name", C("no_name"), total, critical=True).add("duplicate store names", C("dup"), total, examples=C("x_dup")).add("stores without offers", C("idle"), total, examples=C("x_idle")).frame()
+
+
+def history_counts(history: DataFrame) -> DataFrame:
+    """One row of what both audits count over all of the history."""
+    return counts(history, total=F.lit(True), keyed=~missing(C("product_id")), no_pid=missing(C("product_id")), no_price=missing(C("price")), bad_price=number(C("price")) <= 0)
 
 
 def history_section(cat: Catalog, examples: int) -> DataFrame:
@@ -108,7 +121,7 @@ def history_section(cat: Catalog, examples: int) -> DataFrame:
     ids = keys_of(cat.products, "id")
     seen = keys_of(h, "product_id")
     orphan = without_match(h, "product_id", ids)
-    base = counts(h, total=F.lit(True), keyed=~missing(C("product_id")), no_pid=missing(C("product_id")), no_price=missing(C("price")), bad_price=number(C("price")) <= 0)
+    base = history_counts(h)
     known = n(ids.join(seen, "id", "left_semi"), "known")
     silent = n(cat.products.join(ids.join(seen, "id", "left_semi"), "id", "left_anti"), "silent")
     scalars = one_row(base, n(orphan, "orphan"), known, silent, n(cat.products, "products"), examples_of(orphan, history_label(), examples, "x_orphan"))
@@ -127,6 +140,7 @@ def cross_section(sections: dict[str, DataFrame]) -> DataFrame:
 
 
 def report(cat: Catalog, examples: int = 5) -> DataFrame:
-    """All metrics of the audit."""
+    """All metrics of the audit. Offers, which may be a query over the history, are computed once."""
+    cat = cat.kept(offers=cat.offers)
     s = {"products": products_section(cat, examples), "offers": offers_section(cat, examples), "stores": stores_section(cat, examples), "history": history_section(cat, examples)}
     return reduce(DataFrame.unionByName, [*s.values(), cross_section(s)])

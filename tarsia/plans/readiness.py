@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.predicates import missing, number, usable_history
 from ..functions.text import label
 from ..operators.predict import when
-from ..sources.catalog import Catalog
+from ..sources.catalog import Catalog, kept
 from .metrics import Section, counts, examples_of, one_row
-from .quality import history_label, keys_of, n, product_label, without_match
+from .quality import history_counts, history_label, keys_of, n, product_label, without_match
 
 C = F.col
 #: From so many points on: nothing, monitoring, weak and stronger guidance.
@@ -25,6 +26,33 @@ def valid(history: DataFrame) -> DataFrame:
     return history.where(usable_history(positive=True))
 
 
+def by_product(cat: Catalog) -> DataFrame:
+    """What the audit asks of each product's usable points; a plan computes only the columns that it reads."""
+    if isinstance(cat, Summed):
+        return cat.products_seen
+    h = valid(cat.history).where(~missing(C("product_id")))
+    return h.groupBy("product_id").agg(F.count("price").alias("points"), F.count_distinct("price").alias("prices"), F.min("price").alias("low"), F.max("price").alias("high"), F.max("checked_at").alias("newest"))
+
+
+def by_pair(cat: Catalog) -> DataFrame:
+    """The same of each product and store, points without a product included."""
+    if isinstance(cat, Summed):
+        return cat.pairs_seen
+    return valid(cat.history).groupBy("product_id", "store_id").agg(F.count("*").alias("points"), F.max_by(number(C("price")), when()).alias("latest"), F.min("checked_at").alias("oldest"), F.max("checked_at").alias("newest"))
+
+
+@dataclass
+class Summed(Catalog):
+    """A catalog with both summaries of its history, written once."""
+
+    products_seen: DataFrame
+    pairs_seen: DataFrame
+
+    @classmethod
+    def of(cls, cat: Catalog) -> Summed:
+        return cls(cat.products, cat.stores, kept(cat.offers), cat.history, kept(by_product(cat)), kept(by_pair(cat)))
+
+
 def bucket(depth: Column) -> Column:
     names = list(BUCKETS)
     out = F.when(depth >= BUCKETS[names[-1]], names[-1])
@@ -35,13 +63,13 @@ def bucket(depth: Column) -> Column:
 
 def depths(cat: Catalog) -> DataFrame:
     """(id, depth): usable points of each product, 0 included."""
-    per = valid(cat.history).where(~missing(C("product_id"))).groupBy(C("product_id").alias("id")).agg(F.count("*").alias("d"))
+    per = by_product(cat).select(C("product_id").alias("id"), C("points").alias("d"))
     return keys_of(cat.products, "id").join(per, "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("depth"))
 
 
 def pair_depths(cat: Catalog) -> DataFrame:
     """(id, product_id, store_id, depth) of each offer that names both."""
-    per = valid(cat.history).groupBy("product_id", "store_id").agg(F.count("*").alias("d"))
+    per = by_pair(cat).select("product_id", "store_id", C("points").alias("d"))
     some = cat.offers.where(~missing(C("product_id")) & ~missing(C("store_id")))
     return some.join(per, ["product_id", "store_id"], "left").select("id", "product_id", "store_id", F.coalesce("d", F.lit(0)).alias("depth"))
 
@@ -55,18 +83,17 @@ def distribution(of: DataFrame) -> DataFrame:
 
 def repeated_points(cat: Catalog) -> DataFrame:
     """(product_id, repeated): usable points beyond the distinct prices."""
-    per = valid(cat.history).where(~missing(C("product_id"))).groupBy("product_id").agg((F.count("price") - F.count_distinct("price")).alias("repeated"))
-    return per.where("repeated > 0")
+    return by_product(cat).select("product_id", (C("points") - C("prices")).alias("repeated")).where("repeated > 0")
 
 
 def no_variation(cat: Catalog) -> DataFrame:
     """Products with two points or more, all at one price."""
-    per = valid(cat.history).groupBy(C("product_id").alias("id")).agg(F.count("price").alias("points"), F.min("price").alias("low"), F.max("price").alias("high")).where("points >= 2 and low = high")
-    return cat.products.join(per.select("id"), "id", "left_semi")
+    per = by_product(cat).where("points >= 2 and low = high")
+    return cat.products.join(per.select(C("product_id").alias("id")), "id", "left_semi")
 
 
 def latest_prices(cat: Catalog) -> DataFrame:
-    return valid(cat.history).groupBy("product_id", "store_id").agg(F.max_by(number(C("price")), when()).alias("latest"))
+    return by_pair(cat).select("product_id", "store_id", "latest")
 
 
 def latest_mismatches(cat: Catalog) -> DataFrame:
@@ -77,7 +104,7 @@ def latest_mismatches(cat: Catalog) -> DataFrame:
 
 def latest_seen(cat: Catalog) -> DataFrame:
     """(id, latest): when each known product was last observed."""
-    per = valid(cat.history).where(C("checked_at").isNotNull()).groupBy(C("product_id").alias("id")).agg(F.max("checked_at").alias("latest"))
+    per = by_product(cat).where(C("newest").isNotNull()).select(C("product_id").alias("id"), C("newest").alias("latest"))
     return per.join(keys_of(cat.products, "id"), "id")
 
 
@@ -100,7 +127,7 @@ def recency_section(cat: Catalog, now: Column, examples: int) -> DataFrame:
     seen = latest_seen(cat)
     recent = C("latest") >= now - F.expr(f"INTERVAL {RECENT_DAYS} DAYS")
     stale = C("latest") < now - F.expr(f"INTERVAL {STALE_DAYS} DAYS")
-    span = valid(cat.history).agg(F.min("checked_at").alias("oldest"), F.max("checked_at").alias("newest"))
+    span = by_pair(cat).agg(F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
     old = cat.products.join(seen.where(stale), "id", "left_semi")
     scalars = one_row(span, counts(seen, recent=recent, stale=stale), n(cat.products, "products"), examples_of(old, product_label(), examples, "x_stale"))
     s, none = Section("recency", scalars), F.lit(None)
@@ -112,7 +139,7 @@ def recency_section(cat: Catalog, now: Column, examples: int) -> DataFrame:
 def quality_section(cat: Catalog, examples: int) -> DataFrame:
     h = cat.history
     orphan, flat, differ = without_match(h, "product_id", keys_of(cat.products, "id")), no_variation(cat), latest_mismatches(cat)
-    base = counts(h, total=F.lit(True), no_pid=missing(C("product_id")), no_price=missing(C("price")), bad_price=number(C("price")) <= 0)
+    base = history_counts(h)
     scalars = one_row(base, n(orphan, "orphan"), repeated_points(cat).agg(F.coalesce(F.sum("repeated"), F.lit(0)).alias("repeated")), n(flat, "flat"), n(differ, "differ"), n(cat.products, "products"), n(cat.offers, "offers"), examples_of(orphan, history_label(), examples, "x_orphan"), examples_of(differ, label(C("product_id"), C("store_id")), examples, "x_differ"))
     s, total = Section("quality", scalars), C("total")
     s.add("rows without product", C("no_pid"), total, critical=True).add("rows of unknown products", C("orphan"), total, critical=True, examples=C("x_orphan")).add("rows without price", C("no_price"), total, critical=True).add("rows with price of at most 0", C("bad_price"), total, critical=True)
@@ -131,6 +158,7 @@ def readiness_section(cat: Catalog) -> DataFrame:
 
 
 def report(cat: Catalog, now: Column | None = None, examples: int = 5) -> DataFrame:
-    """All metrics; ``now`` can be fixed."""
+    """All metrics; ``now`` can be fixed. Offers and the summaries of the history are computed once."""
+    cat = Summed.of(cat)
     parts = [coverage_section(cat, examples), recency_section(cat, F.current_timestamp() if now is None else now, examples), quality_section(cat, examples), readiness_section(cat)]
     return reduce(DataFrame.unionByName, parts)

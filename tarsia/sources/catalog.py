@@ -7,7 +7,8 @@ price, with ``ord``, a total order of arrival).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +50,14 @@ class Catalog:
         history = [{"ord": i} | r for i, r in enumerate(history)]
         return cls(frame(products, PRODUCTS), frame(stores, STORES), frame(offers, OFFERS), frame(history, HISTORY))
 
+    def kept(self, **tables: DataFrame) -> Catalog:
+        """The catalog with the given relations written once, for plans that read them many times.
+
+        They go below spark.checkpoint.dir, which driver and executors share; without it the
+        relations stay as they are, to be computed wherever they are read.
+        """
+        return replace(Catalog(self.products, self.stores, self.offers, self.history), **{name: kept(df) for name, df in tables.items()})
+
     @cached_property
     def columns(self) -> dict[str, list[str]]:
         return {n: getattr(self, n).columns for n in ("products", "stores", "offers", "history")}
@@ -80,6 +89,16 @@ class StarCatalog(Catalog):
         super().__init__(products, stores, offers, history.drop("list_price"))
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written and read again, if there is a shared folder for them."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        return df
+    path = f"{base}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """Incoming listings from a JSON file: a list, or an object with a list of candidates."""
     df = spark.read.option("multiLine", True).json(path)

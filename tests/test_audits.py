@@ -1,6 +1,7 @@
 """Audits over small made catalogs with known counts."""
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
@@ -35,6 +36,14 @@ def dirty(spark):
     )
 
 
+def test_json_and_duplicate_examples(spark):
+    said = json.loads(metrics.json_report(quality.report(dirty(spark))))["sections"]
+    found = {(s, m["label"]): m for s, rows in said.items() for m in rows}
+    assert found["offers", "duplicate product, store and url"]["examples"] == ["p2 | zz | u3: 2 rows"]
+    assert found["stores", "duplicate store names"]["examples"] == ["shop: 2 rows"]
+    assert found["products", "duplicate name and category"]["count_num"] == 1
+
+
 def test_quality_counts(spark):
     report = quality.report(dirty(spark)).cache()
     n = got(report)

@@ -130,6 +130,42 @@ def test_extraction(spark):
     assert values(spark, lambda c: extract.clean_title(c, extract.MEDIAWORLD), ["TV LG | MediaWorld.it", "login", "abc"]) == ["TV LG", None, None]
 
 
+def test_second_shop(spark):
+    shop = extract.MEDIAWORLD
+    url = "/it/product/tv-12.html"
+    data = '<script>{"sku": "1", "price": "19,90", "shipping": true}</script>' + " " * 10 + "x " * 400 + '<script>{"product": 1, "currency": "EUR", "value": "249,90"}</script>'
+    pages = [
+        (url, "<title>a</title>", "# TV LG 43", {"OG:Price:Amount": "399,00", "og:title": "TV LG %26 Co | MediaWorld.it", "og:image": "//img.example/a.jpg"}),
+        (url, data, "# TV Sony", {"price": "none"}),
+        (url, "", "![Carrello](x)\n![Forno Smeg](y)\nPrezzo € 99,00", None),
+        (url, "", "# TV\u0020Rotta", {}),
+    ]
+    rows = extract.extract_products(spark.createDataFrame([(i, *p, None) for i, p in enumerate(pages)], "i int, url string, html string, markdown string, metadata map<string,string>, search_title string"), shop, "tv")
+    got = [(r.name, r.price, r.data_confidence, r.discard_reason) for r in rows.collect()]
+    assert got == [("TV LG & Co", 399.0, "alta", None), ("TV Sony", 249.9, "alta", None), ("Forno Smeg", 99.0, "media", None), ("TV Rotta", None, "bassa", "no_price")]
+    assert rows.first().image_url == "https://img.example/a.jpg" and rows.first().product_url == "https://www.mediaworld.it/it/product/tv-12.html" and rows.first().product_code == "tv12"
+    assert values(spark, lambda c: extract.clean_text(c, True), ["a%20b\\/c \\u002F d", None]) == ["a b/c / d", ""]
+    asked = ["site:x.it tv, 4k  €", "site:x.it", None]
+    assert values(spark, lambda c: extract.search_query(c, shop), asked) == ["site:mediaworld.it/it/product tv 4k", *["site:mediaworld.it/it/product mediaworld prodotti"] * 2]
+    assert values(spark, lambda c: extract.search_query(c, extract.UNIEURO), asked)[:2] == ["site:unieuro.it/online tv, 4k €", "site:unieuro.it/online unieuro prodotti"]
+    assert values(spark, lambda c: extract.old_price(c, F.lit(10.0), shop), ["invece di € 12,50"]) == [12.5]
+
+
+def test_search_payloads(spark):
+    item = '{"url": "/u", "title": "t", "markdown": "m"}'
+    said = [f"[{item}, 3]", f'{{"data": [{item}]}}', f'{{"data": {{"web": 1, "results": [{item}]}}}}', f'{{"data": {{"items": [{item}]}}}}', "{}", "broken", None, "[]"]
+    rows = extract.search_items(spark.createDataFrame(list(enumerate(said)), "query_ord int, payload string")).orderBy("query_ord").collect()
+    assert [(r.query_ord, r.item_ord, r.url, r.title, r.text) for r in rows] == [(i, 0, "/u", "t", "m") for i in range(4)]
+
+
+def test_listing_import(spark):
+    schema = "ord long, name string, category string, image_url string, search_keywords string, store_name string, store_website string, current_price double, old_price double, product_url string, availability string, condition string, listing_type string, data_confidence string, checked_at timestamp, buying_options array<string>, seller_feedback_percentage string"
+    row = lambda o, condition, options, feedback: (o, f"tv {o}", "tv", None, None, "Shop", "w", 1.0, None, "u", None, condition, None, None, None, options, feedback)
+    rows = [row(0, "Brand New", ["FIXED_PRICE"], "98.0"), row(1, "Used", ["FIXED_PRICE"], "99"), row(2, "New", ["AUCTION"], "99"), row(3, "New", ["FIXED_PRICE"], "97.9"), row(4, "New", ["FIXED_PRICE"], "many"), row(5, None, None, None)]
+    cat = ingest.import_listings(Catalog.from_rows(spark), spark.createDataFrame(rows, schema))
+    assert [p.name for p in cat.products.collect()] == ["tv 0"] and cat.offers.count() == 1
+
+
 def test_candidates_file(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"candidates": [{"name": "x", "category": "tv"}]}')
     (tmp_path / "b.json").write_text('[{"name": "x"}, {"name": "y"}]')
