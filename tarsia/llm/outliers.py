@@ -2,15 +2,17 @@
 
 Statistics of each text are transformed, and for each language and source a minimum
 covariance determinant estimate of their centre and scatter is made over all rows: from
-a start by medians, concentration steps refit mean and covariance to the 3/4 of the rows
-that are nearest, which never enlarges the determinant. Rows too far from the centre by
-Mahalanobis distance are rejected.
+two starts, concentration steps refit mean and covariance to the 3/4 of the rows that are
+nearest, which never enlarges the determinant, until it stays. Of the two the one of the
+smaller determinant is taken and refit once more to all rows that are near by it. Rows too
+far from the centre by Mahalanobis distance are rejected.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -33,9 +35,16 @@ CORE, MEDIAN = 0.75, 4.3515
 #: exceed: the 0.9999 quantile of chi-squared with P degrees of freedom, or if the group's own
 #: distances spread more, their median plus TAIL standard deviations, taken from the half to CORE.
 FAR, TAIL, QUARTILE = 25.745, 3.719, 0.6745
-#: Groups of fewer rows are estimated with all small groups of their language, or with all.
+#: The refit takes rows within the 0.975 quantile of chi-squared.
+REFIT = 12.8325
+#: Groups of fewer rows are judged by all rows of their language, or if these are too few, by all.
 LEAST = 100
-STEPS = 4
+#: Concentration ends when no group's log determinant changes by more than this, at the latest after so many steps.
+SETTLED, STEPS = 1e-3, 10
+#: The floor of the scatter, below which a difference isn't taken seriously.
+FLOOR = np.diag(np.square(list(STATS.values())))
+#: So many groups' estimates are broadcast; beyond it rows are joined to them by a shuffle, each group in SALT parts.
+BROADCAST_GROUPS, SALT = 20_000, 64
 
 
 def repeat_words(raw: bytes) -> int:
@@ -81,17 +90,86 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+MODEL = "g string, start int, mean array<double>, inverse array<double>, logdet double"
+
+
+def _model(g: str, start: int, mean: np.ndarray, scatter: np.ndarray) -> tuple:
+    scatter = scatter + FLOOR
+    return g, start, mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), float(np.linalg.slogdet(scatter)[1])
+
+
 def _estimates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sums of each group to its centre and inverse scatter; a floor keeps flat statistics from counting."""
-    floor = np.diag(np.square(list(STATS.values())))
     for df in frames:
-        mean, inverse = [], []
+        rows = []
         for row in df.itertuples():
-            s, q = np.array(row.s, float), np.array(row.q, float).reshape(P, P)
-            m = s / row.n
-            mean.append(m.tolist())
-            inverse.append(np.linalg.inv(q / row.n - np.outer(m, m) + floor).ravel().tolist())
-        yield pd.DataFrame({"g": df["g"], "mean": mean, "inverse": inverse})
+            m = np.array(row.s, float) / row.n
+            rows.append(_model(row.g, row.start, m, np.array(row.q, float).reshape(P, P) / row.n - np.outer(m, m)))
+        yield pd.DataFrame(rows, columns=["g", "start", "mean", "inverse", "logdet"])
+
+
+def _starts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each group two starts at its medians: statistics by themselves, and with the correlations of their squeezed values."""
+    for df in frames:
+        rows = []
+        for row in df.itertuples():
+            centre, wide = np.array(row.centre, float), 1.4826 * np.array(row.spread, float)
+            m = np.array(row.s, float) / row.n
+            z = np.array(row.q, float).reshape(P, P) / row.n - np.outer(m, m)
+            sd = np.sqrt(np.maximum(z.diagonal(), 1e-12))
+            corr = z / np.outer(sd, sd)
+            np.fill_diagonal(corr, 1.0)
+            rows += [_model(row.g, 0, centre, np.diag(wide**2)), _model(row.g, 1, centre, corr * np.outer(wide, wide))]
+        yield pd.DataFrame(rows, columns=["g", "start", "mean", "inverse", "logdet"])
+
+
+def _sums(of: list[Column]) -> list[Column]:
+    return [F.count("*").alias("n"), F.array(*[F.sum(x) for x in of]).alias("s"), F.array(*[F.sum(x * y) for x in of for y in of]).alias("q")]
+
+
+def _beside(few: bool, rows: DataFrame, per: DataFrame, *more: str) -> DataFrame:
+    """Rows with what their group has; of many groups, each group's rows go to SALT tasks."""
+    if few:
+        return rows.join(F.broadcast(per), ["g", *more])
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(*STATS), F.lit(SALT)).cast("int"))
+    return dealt.join(per.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["g", "salt", *more]).drop("salt")
+
+
+def estimate(parts: DataFrame, path: str, few: bool = True) -> DataFrame:
+    """(g, mean, inverse, logdet, half, upper): the estimate of each group of rows (g and STATS), and quantiles of its distances.
+
+    few: the groups' estimates may be broadcast. Else each group's rows are dealt to SALT
+    tasks, so that a group of very many rows isn't one task's work.
+    """
+    cols = [F.col(t) for t in STATS]
+
+    beside = partial(_beside, few)
+    centre = save(parts.groupBy("g").agg(F.array(*[F.percentile_approx(t, 0.5, 1000) for t in STATS]).alias("centre")), f"{path}/centre")
+    spread = [F.percentile_approx(F.abs(t - F.col("centre")[i]), 0.5, 1000) for i, t in enumerate(cols)]
+    at = save(beside(parts, centre).groupBy("g").agg(F.first("centre").alias("centre"), F.array(*spread).alias("spread")), f"{path}/spread")
+    squeezed = [F.tanh((t - F.col("centre")[i]) / (1.4826 * F.col("spread")[i] + F.lit(floor))) for i, (t, floor) in enumerate(zip(cols, STATS.values(), strict=True))]
+    start = beside(parts, at).groupBy("g").agg(F.first("centre").alias("centre"), F.first("spread").alias("spread"), *_sums(squeezed))
+    model = save(start.mapInPandas(_starts, MODEL), f"{path}/model-0")
+    for i in range(1, STEPS + 1):
+        near = beside(parts, model).select("g", "start", *STATS, _distance().alias("d"))
+        cut = near.groupBy("g", "start").agg(F.percentile_approx("d", CORE, 1000).alias("cut"))
+        core = beside(near, cut, "start").where("d <= cut").groupBy("g", "start").agg(*_sums(cols))
+        before, model = model, save(core.mapInPandas(_estimates, MODEL), f"{path}/model-{i}")
+        moved = model.join(before.select("g", "start", F.col("logdet").alias("was")), ["g", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        if moved is None or moved <= SETTLED:
+            break
+    best = model.groupBy("g").agg(F.min_by(F.struct("start", "mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("m")).select("g", "m.*")
+    best = save(best, f"{path}/best")
+    half = beside(parts, best).groupBy("g").agg(F.percentile_approx(_distance(), 0.5, 1000).alias("half"))
+    near = beside(parts, save(best.join(half, "g"), f"{path}/half")).where(_distance() * _scale() <= REFIT)
+    final = save(near.groupBy("g").agg(F.lit(0).alias("start"), *_sums(cols)).mapInPandas(_estimates, MODEL), f"{path}/final")
+    at = beside(parts, final).groupBy("g").agg(F.percentile_approx(_distance(), [0.5, CORE], 1000).alias("at"))
+    return save(final.join(at, "g").select("g", "mean", "inverse", "logdet", F.col("at")[0].alias("half"), F.col("at")[1].alias("upper")), f"{path}/estimate")
+
+
+def _scale() -> Column:
+    """To the distance of the median row of a normal sample; flat groups have hardly any spread, there the floor counts."""
+    return MEDIAN / F.greatest("half", F.lit(1.0))
 
 
 def _distance() -> Column:
@@ -125,36 +203,28 @@ def reject_outliers(docs: DataFrame, far: float | None = None, id_col: str = "do
     stats = stats.withColumns({"base_failed": failed, "t1": F.log(F.col("n_words") + F.lit(1.0)), "t2": F.log(F.col("word_chars") / F.greatest("n_words", F.lit(1))), "t3": hundred("n_symbols"), "t4": hundred("n_dup_lines"), "t5": hundred("n_repeat_words")})
 
     fine = stats.where("not base_failed")
-    # groups that are too small to be estimated join with others
+    # groups that are too small to be estimated are judged by larger ones, which hold all rows of a language, or all
     size = fine.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = size.where(F.col("n") < LEAST).groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("n_lang"))
-    both = size.join(small, F.col("lang").eqNullSafe(F.col("l")), "left")
     tag = lambda c: F.when(F.col(c).isNull(), F.lit("?")).otherwise(F.concat(F.lit("="), F.col(c)))
-    g = F.when(F.col("n") >= LEAST, F.concat_ws("\x1f", tag("lang"), tag("source"))).when(F.col("n_lang") >= LEAST, tag("lang")).otherwise("*")
-    groups = both.select(F.col("lang").alias("l"), F.col("source").alias("s"), g.alias("g"))
-    fine = fine.join(groups, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "lang", "source", *COUNTS, *STATS, "g")
-    fine = save(fine, f"{path}/fine")
-
-    # start: each statistic by itself, from median and median deviation
-    centre = fine.groupBy("g").agg(*[F.percentile_approx(t, 0.5, 1000).alias(f"c_{t}") for t in STATS])
-    away = fine.join(centre, "g")
-    spread = away.groupBy("g").agg(*[F.percentile_approx(F.abs(F.col(t) - F.col(f"c_{t}")), 0.5, 1000).alias(f"d_{t}") for t in STATS])
-    start = centre.join(spread, "g").select("g", F.array(*[F.col(f"c_{t}") for t in STATS]).alias("mean"), F.array(*[1 / (F.pow(1.4826 * F.col(f"d_{t}"), 2) + floor**2) if i == j else F.lit(0.0) for i, (t, floor) in enumerate(STATS.items()) for j in range(P)]).alias("inverse"))
-    model = save(start, f"{path}/model-0")
-    sums = [F.count("*").alias("n"), F.array(*[F.sum(t) for t in STATS]).alias("s"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in STATS for b in STATS]).alias("q")]
-    for i in range(1, STEPS + 1):
-        near = fine.join(model, "g").select("g", *STATS, _distance().alias("d"))
-        cut = near.groupBy("g").agg(F.percentile_approx("d", CORE, 1000).alias("cut"))
-        core = near.join(cut, "g").where("d <= cut").groupBy("g").agg(*sums)
-        model = save(core.mapInPandas(_estimates, "g string, mean array<double>, inverse array<double>"), f"{path}/model-{i}")
-    near = fine.join(model, "g").select("doc_id", "lang", "source", *COUNTS, "g", _distance().alias("d"))
-    half = near.groupBy("g").agg(F.percentile_approx("d", [0.5, CORE], 1000).alias("at")).select("g", F.col("at")[0].alias("half"), F.col("at")[1].alias("upper"))
-    # flat groups have hardly any spread; the floor of the scatter is what counts there
-    scale = MEDIAN / F.greatest("half", F.lit(1.0))
+    per = size.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    both = save(size.join(per, F.col("lang").eqNullSafe(F.col("l"))), f"{path}/sizes")
+    alone, by_lang = F.col("n") >= LEAST, F.col("n_lang") >= LEAST
+    count, some_lost = both.agg(F.count("*"), F.max(~alone & ~by_lang)).first()
+    own = F.concat_ws("\x1f", tag("lang"), tag("source"))
+    g = F.when(alone, own).when(by_lang, tag("lang")).otherwise("*")
+    pools = F.array_compact(F.array(F.when(alone, own), F.when(by_lang & (F.col("least") < LEAST), tag("lang")), F.lit("*" if some_lost else None)))
+    groups = both.select(F.col("lang").alias("l"), F.col("source").alias("s"), g.alias("g"), pools.alias("pools"))
+    few = count <= BROADCAST_GROUPS
+    fine = fine.join(F.broadcast(groups) if few else groups, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")))
+    fine = save(fine.select("doc_id", *COUNTS, *STATS, "g", "pools"), f"{path}/fine")
+
+    model = estimate(fine.select(F.explode("pools").alias("g"), *STATS), path, few)
+    near = _beside(few, fine, model)
+    scale = _scale()
     middle = F.sqrt(F.col("half") * scale)
     own = F.pow(middle + TAIL * (F.sqrt(F.col("upper") * scale) - middle) / QUARTILE, 2)
     cut = F.greatest(F.lit(FAR), own) if far is None else F.lit(float(far))
-    judged = near.join(half, "g").withColumns({"distance": F.col("d") * scale, "cut": cut})
+    judged = near.withColumns({"distance": _distance() * scale, "cut": cut})
     judged = judged.select("doc_id", *COUNTS, F.lit(False).alias("base_failed"), "distance", (F.col("distance") <= F.col("cut")).alias("kept"))
     rest = stats.where("base_failed").select("doc_id", *COUNTS, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return judged.union(rest)
