@@ -5,6 +5,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from tarsia.operators import matching
+from tarsia.operators.predict import as_json, predict
 from tarsia.plans import metrics, quality, readiness
 from tarsia.sources.catalog import Catalog
 
@@ -92,3 +94,17 @@ def test_empty_catalog(spark):
     cat = Catalog.from_rows(spark)
     assert got(quality.report(cat))["offers", "offers"] == 0
     assert got(readiness.report(cat))["coverage", "products"] == 0
+
+
+def test_pair_report_and_prediction_json(spark):
+    cat = Catalog.from_rows(
+        spark,
+        products=[{"id": str(i), "name": f"Samsung Galaxy S24 {x}", "category": "smartphone"} for i, x in enumerate(("128GB", "128 GB nero", "256GB"))],
+        offers=[{"id": "o1", "product_id": "0", "store_id": "a", "current_price": 1.0}, {"id": "o2", "product_id": "0", "store_id": "b", "current_price": 2.0}],
+        stores=[{"id": "a", "name": "A"}, {"id": "b", "name": "B"}],
+    )
+    pairs = matching.match_report(matching.candidate_pairs(matching.features(cat.products)), cat.offers).collect()
+    assert pairs and all((p.offer_count_l, p.store_count_l) == ((2, 2) if p.id_l == "0" else (0, 0)) for p in pairs)
+    assert all((p.offer_count_r, p.store_count_r) == ((2, 2) if p.id_r == "0" else (0, 0)) for p in pairs)
+    said = [json.loads(r.prediction) for r in as_json(predict(cat)).collect()]
+    assert {(x["store_name"], x["current_price"]) for x in said} == {("A", 1.0), ("B", 2.0)} and all("volatility_pct" in x for x in said)
