@@ -66,9 +66,9 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch.slice(i, step)
 
 
-def partitions_for(spark: SparkSession, rows: int, each: int) -> int:
-    """Shuffle partitions so that each holds about ``each`` rows, and no fewer than the session asks for."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+def partitions_for(spark: SparkSession, rows: int, each: int, least: int = 1) -> int:
+    """Shuffle partitions so that each holds about ``each`` rows, and no fewer than the session asks for, as long as they hold ``least`` rows."""
+    return max(min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // least)), -(-rows // each), 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -39,8 +39,9 @@ from .common import EDGES, batches_of, components, mix, partitions_for, save, sc
 WORDS = 5
 #: A bucket of more members is frequent.
 FREQUENT = 16
-#: Signatures that one partition handles at once.
-PARTITION_ROWS = 1_500_000
+#: Signatures that one partition handles at once, and that it has at least if there are several:
+#: a document has a row for each partition in which it is marked or paired.
+PARTITION_ROWS, PARTITION_LEAST = 1_500_000, 100_000
 #: Smallest tokens by which plainly alike sets are linked first.
 SKETCH = 6
 U = np.uint64
@@ -751,7 +752,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     large = save(large, f"{path}/large")
     total = int(large.agg(F.sum("n")).first()[0] or 0)
     # a document emits about half as many signatures as it has tokens
-    parts = partitions_for(spark, total // 2, PARTITION_ROWS)
+    parts = partitions_for(spark, total // 2, PARTITION_ROWS, PARTITION_LEAST)
     first = _found(texts_of(large.drop("n"), "first").mapInArrow(partial(_round1, parts), OUT), False, parts, f"{path}/first")
 
     # documents that round 1 leaves open, with their frequent signatures by band
@@ -764,11 +765,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     own, lower = (F.max(F.when(F.col("lower") == i, F.col("bad"))).alias(name) for i, name in enumerate(("own", "lower")))
     hard = save(open_.groupBy("doc_id", "n", "comp").agg(own, lower), f"{path}/hard")
     rows = int(hard.agg(F.sum("n")).first()[0] or 0)
-    parts2 = partitions_for(spark, 3 * rows, PARTITION_ROWS)
+    parts2 = partitions_for(spark, 3 * rows, PARTITION_ROWS, PARTITION_LEAST)
     second = _found(texts_of(hard.drop("n"), "second").mapInArrow(partial(_round2, parts2), OUT), True, parts2, f"{path}/second")
 
     left = save(second.where(f"kind = {MARK}").select(F.col("a").alias("doc_id")).distinct().join(large, "doc_id"), f"{path}/left")
-    parts3 = partitions_for(spark, rows, PARTITION_ROWS)
+    parts3 = partitions_for(spark, rows, PARTITION_ROWS, PARTITION_LEAST)
     third = _found(texts_of(left.drop("n"), "third").mapInArrow(partial(_round3, parts3), OUT), False, parts3, f"{path}/third")
 
     candidates = first.union(second).union(third).where(f"kind = {PAIR}").select("a", "b")
