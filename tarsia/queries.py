@@ -400,7 +400,7 @@ def offer_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BASE + TOKENS + "SELECT category, normalized AS normalized_name, count(*)::INT AS members, 'HIGH' AS confidence FROM toks GROUP BY 1, 2 HAVING count(*) > 1")
 def match_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.exact_groups(matching.features(star(spark, sf_dir).products)).select("category", "normalized_name", F.size("ids").alias("members"), "confidence")
+    return matching.exact_groups(matching.features(star(spark, sf_dir).products)).select("category", "normalized_name", C("members").cast("int").alias("members"), "confidence")
 
 
 def _pairs(spark: SparkSession, sf_dir: str, min_similarity: float | None = 0.74) -> DataFrame:
