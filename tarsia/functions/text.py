@@ -2,13 +2,43 @@
 
 from __future__ import annotations
 
+import json
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
 
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+#: Hangul syllables decompose into letters by rule; they are left as they are.
+HANGUL = range(0xAC00, 0xD7A4)
+
+
+@cache
+def foldings() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition makes of characters once combining marks are dropped.
+
+    Characters that become one character, these characters, then marks that go; and those
+    that become several, with what they become.
+    """
+    one, to, gone, more = [], [], [], {}
+    for code in range(0xA0, sys.maxunicode + 1):
+        c = chr(code)
+        if code in HANGUL or unicodedata.category(c) in ("Cn", "Cs", "Co"):
+            continue
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if plain == c:
+            continue
+        if not plain:
+            gone.append(c)
+        elif len(plain) == 1:
+            one.append(c)
+            to.append(plain)
+        else:
+            more[c] = plain
+    return "".join(one + gone), "".join(to), more
 
 
 def _text(c: Column) -> Column:
@@ -19,8 +49,22 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def _class_of(chars: str) -> str:
+    """A character class of these characters, neighbours as ranges."""
+    codes = sorted(map(ord, chars))
+    starts = [c for c, before in zip(codes, [-2, *codes[:-1]], strict=True) if c != before + 1]
+    ends = [c for c, after in zip(codes, [*codes[1:], -2], strict=True) if after != c + 1]
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 def strip_accents(c: Column) -> Column:
-    return F.translate(c, ACCENTED, PLAIN)
+    """Letters without their accents, in any script, and compatibility forms as plain characters."""
+    one, to, more = foldings()
+    # few texts hold a character that becomes several; only those are taken apart
+    table = F.from_json(F.lit(json.dumps(more)), "map<string, string>")
+    apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    rare = F.when(c.rlike(_class_of("".join(more))), apart).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(rare, one, to)).otherwise(c)
 
 
 def search_text(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,26 +21,38 @@ def when() -> Column:
     return F.struct(F.coalesce(F.col("checked_at").cast("timestamp"), F.lit(EARLIEST).cast("timestamp")).alias("t"), F.col("ord"))
 
 
+def latest_points(history: DataFrame, keys: tuple[str, ...] = KEYS, recent: int = 3) -> DataFrame:
+    """(*keys, price): the last few prices of each series.
+
+    The limit of the rank is applied before the shuffle as well (WindowGroupLimit, Partial), so
+    of a series only so many rows leave each task, and no task sorts a whole one.
+    """
+    rows = history.select(*keys, number(F.col("price")).alias("price"), when().alias("at"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("at")))
+    return rows.withColumn("rn", rank).where(F.col("rn") <= recent).drop("rn", "at")
+
+
 def series_stats(history: DataFrame, keys: tuple[str, ...] = KEYS, recent: int = 3) -> DataFrame:
     """Per series: points, min, max and mean price, first and last, mean of the last few, spread and trust.
 
-    One shuffle on the keys: aggregates combine before it but for the recent points, which
-    a bounded top-k struct per series would need; a window ranks them on the same shuffle.
+    All but the mean of the last few are aggregates that combine before their shuffle; the
+    last few are limited before theirs. Both are dealt by the keys, so they join in place.
     """
-    w = Window.partitionBy(*keys).orderBy(F.desc("at"))
-    ranked = history.select(*keys, number(F.col("price")).alias("price"), F.col("data_confidence"), when().alias("at")).withColumn("rn", F.row_number().over(w))
-    n = F.count("price")
-    return ranked.groupBy(*keys).agg(
-        n.alias("points"),
+    price = number(F.col("price"))
+    rows = history.select(*keys, price.alias("price"), F.col("data_confidence"), when().alias("at"))
+    stats = rows.groupBy(*keys).agg(
+        F.count("price").alias("points"),
         F.min("price").alias("low"),
         F.max("price").alias("high"),
         F.avg("price").alias("mean"),
-        F.avg(F.when(F.col("rn") <= recent, F.col("price"))).alias("recent"),
         F.min_by("price", "at").alias("first"),
         F.max_by("price", "at").alias("last"),
         F.stddev_pop("price").alias("spread"),
         F.count_if(F.col("data_confidence") == "alta").alias("trusted"),
     )
+    last = latest_points(history, keys, recent).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.avg("price").alias("recent"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return stats.join(last, same, "left").drop(*[f"__{k}" for k in keys])
 
 
 def trend(points: Column, first: Column, last: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import number, usable_offer
@@ -13,21 +14,35 @@ from ..functions.prices import discount_pct
 CANDIDATES, TERMS, OFFER_ROWS, OFFER_PRODUCTS = 300, 12, 200, 80
 
 
+def asked_terms(terms: list[str]) -> list[str]:
+    """Distinct terms that may be searched for, cleaned, at most twelve."""
+    return [t for t in dict.fromkeys(map(clean_term, terms)) if t][:TERMS]
+
+
+def clean_term(term: str | None) -> str:
+    """A term as ``text.search_term`` cleans a column of them."""
+    return " ".join(re.sub(r"[^\w\s-]|_", " ", term or "").split())
+
+
+def holds_term(terms: list[str]) -> Column:
+    escape = lambda t: t.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
+    hit = [F.coalesce(F.ilike(F.col(c), F.lit(f"%{escape(t)}%")), F.lit(False)) for t in terms for c in ("name", "search_keywords", "category")]
+    return reduce(lambda a, b: a | b, hit)
+
+
 def candidates(products: DataFrame, categories: list[str] = (), terms: list[str] = (), limit: int = CANDIDATES) -> DataFrame:
     """Products of the categories whose name, keywords or category hold one of the terms, by name and id.
 
     With neither categories nor terms there are none.
     """
-    terms = [t for t in dict.fromkeys(terms) if t][:TERMS]
+    terms = asked_terms(terms)
     if not categories and not terms:
         return products.limit(0)
     rows = products
     if categories:
         rows = rows.where(F.col("category").isin(*categories))
     if terms:
-        escape = lambda t: t.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-        hit = [F.coalesce(F.ilike(F.col(c), F.lit(f"%{escape(t)}%")), F.lit(False)) for t in terms for c in ("name", "search_keywords", "category")]
-        rows = rows.where(reduce(lambda a, b: a | b, hit))
+        rows = rows.where(holds_term(terms))
     return rows.orderBy("name", "id").limit(min(CANDIDATES, limit))
 
 

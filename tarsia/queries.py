@@ -13,6 +13,7 @@ from .functions.predicates import missing, usable_history, usable_offer
 from .functions.prices import page_price, rounded
 from .operators import extract, gates, matching, offers, predict, rank, retrieve
 from .operators.ingest import price_changes
+from .operators.termindex import TermIndex
 from .plans import metrics, quality, readiness
 from .plans.intent import parse
 from .sources.catalog import StarCatalog, by_ids, offers_of
@@ -168,9 +169,21 @@ def bounded_category_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.candidates(star(spark, sf_dir).products, categories=["ECONOMY", "PROMO"]).select("id", "name", "category")
 
 
-@query(BASE + "SELECT id, name, category FROM products WHERE name ILIKE '%anvil%' OR search_keywords ILIKE '%anvil%' OR category ILIKE '%anvil%' OR name ILIKE '%brand#7%' OR search_keywords ILIKE '%brand#7%' OR category ILIKE '%brand#7%' ORDER BY name, id LIMIT 300")
+BY_TERM = BASE + "SELECT id, name, category FROM products WHERE " + " OR ".join(f"{c} ILIKE '%{t}%'" for t in ("anvil", "brand 7", "econ") for c in ("name", "search_keywords", "category")) + " ORDER BY name, id LIMIT 300"
+TERMS = ["anvil", "Brand#7", "Econ_"]
+
+
+@query(BY_TERM)
 def bounded_term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.candidates(star(spark, sf_dir).products, terms=["anvil", "Brand#7"]).select("id", "name", "category")
+    return retrieve.candidates(star(spark, sf_dir).products, terms=TERMS).select("id", "name", "category")
+
+
+@query(BY_TERM)
+def indexed_term_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through an index of trigrams, which is built first."""
+    p = star(spark, sf_dir).products
+    index = TermIndex.build(p, f"{_scratch(spark)}/terms")
+    return index.candidates(p, TERMS).select("id", "name", "category")
 
 
 @query(BASE + """, u AS (SELECT *, 0 AS src FROM (SELECT id, name FROM products WHERE category = 'SMALL' ORDER BY name, id LIMIT 60) UNION ALL SELECT *, 1 FROM (SELECT id, name FROM products WHERE name ILIKE '%bolt%' ORDER BY name, id LIMIT 60))
@@ -517,6 +530,13 @@ def canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", tx.canonical_key(F.concat("p_name", F.lit(" USB-C "), "p_brand", F.lit(" Wireless"))).alias("canonical_key"))
 
 
+@query("SELECT doc_id, len(w)::INT AS n_words, sha256(array_to_string(w, ' ')) AS words_sha256 FROM (SELECT doc_id, list_filter(string_split(regexp_replace(replace(lower(strip_accents(text)), '€', ' euro '), '[^a-z0-9\\s]', ' ', 'g').regexp_replace('\\s+', ' ', 'g'), ' '), lambda t: t <> '') AS w FROM documents)")
+def folded_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a search sees of each text: words without accents and case."""
+    w = tx.words(tx.search_text(C("text")))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.size(w).alias("n_words"), F.sha2(F.array_join(w, " "), 256).alias("words_sha256"))
+
+
 @query("SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title FROM pages")
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", extract.page_title(C("html")).alias("title"))
