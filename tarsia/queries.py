@@ -606,9 +606,16 @@ def stream_price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("product_id", "store_id", rounded(C("price"), 4).alias("price"), rounded(C("previous_price"), 4).alias("previous_price"), C("checked_at").cast("timestamp_ntz").alias("checked_at"))
 
 
+@query(BASE + ", l AS (SELECT product_id, store_id, arg_max(price, ord) AS price, max(checked_at) AS checked_at FROM history GROUP BY 1, 2) SELECT product_id, store_id, round(price, 4) AS price, checked_at FROM l WHERE checked_at + INTERVAL 14 DAY <= (SELECT max(checked_at) FROM history)")
+def stream_stale_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Series that the stream's timers have found unseen for two weeks."""
+    c = changes.drain(changes.change_stream(_log(spark, sf_dir), stale_days=changes.STALE_DAYS), _scratch(spark)).where("kind = 'stale'")
+    return c.select("product_id", "store_id", rounded(C("price"), 4).alias("price"), C("checked_at").cast("timestamp_ntz").alias("checked_at"))
+
+
 @query(BASE + "SELECT product_id, store_id, round(current_price, 4) AS price FROM offers")
 def stream_latest_offer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = changes.drain(changes.latest_stream(_log(spark, sf_dir)), _scratch(spark), mode="complete")
+    c = changes.drain(changes.latest_stream(_log(spark, sf_dir)), _scratch(spark), keys=("product_id", "store_id"))
     return c.select("product_id", "store_id", rounded(C("price"), 4).alias("price"))
 
 

@@ -1,41 +1,81 @@
-"""Price changes as a stream: the last price of each product and store is state."""
+"""Price changes as a stream: the last price of each product and store is state, and grows stale by a timer."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.ingest import price_changes
 
-CHANGE = "product_id string, store_id string, price double, previous_price double, checked_at timestamp"
-LAST = "price double, seen boolean"
-
-
-def _changed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows of a key in order of arrival, against the price that the state holds."""
-    last, seen = state.get if state.exists else (None, False)
-    rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
-    out = []
-    for price, at in zip(rows["price"], rows["checked_at"], strict=True):
-        price = None if pd.isna(price) else float(price)
-        if not seen or price != last:
-            out.append((*key, price, last, at))
-        last, seen = price, True
-    state.update((last, seen))
-    yield pd.DataFrame(out, columns=["product_id", "store_id", "price", "previous_price", "checked_at"])
-
-
-def change_stream(log: DataFrame) -> DataFrame:
-    """Change rows of a streaming log (product_id, store_id, price, checked_at, seq)."""
-    return log.groupBy("product_id", "store_id").applyInPandasWithState(_changed, CHANGE, LAST, "append", GroupStateTimeout.NoTimeout)
+CHANGE = "product_id string, store_id string, price double, previous_price double, checked_at timestamp, kind string"
+OUT = Row(*[c.split()[0] for c in CHANGE.split(", ")])
+#: seen: microseconds since the epoch.
+LAST = "price double, seq string, seen long"
+#: Transform-with-state keeps its state there; the session must say so before a stream starts.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+STALE_DAYS = 14
+
+
+class LastPrice(StatefulProcessor):
+    """Rows that change the price of a key, by ``seq``; with ``stale_days`` a row as well when a key hasn't been seen for so long.
+
+    Rows that aren't newer than the last one seen are ignored, so a source that repeats
+    rows changes nothing. A trigger's rows of one key are sorted together: bound them by
+    the source's limits on files or bytes a trigger.
+    """
+
+    def __init__(self, stale_days: int | None = None) -> None:
+        self.stale_days = stale_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", LAST)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.last.exists()
+        price, seq, seen = self.last.get() if known else (None, "", None)
+        new = sorted((r for r in rows if not known or r.seq > seq), key=lambda r: r.seq)
+        if not new:
+            return
+        for r in new:
+            if not known or r.price != price:
+                yield OUT(*key, r.price, price, r.checked_at, "change")
+            price, known = r.price, True
+        times = [round(r.checked_at.timestamp() * 1e6) for r in new if r.checked_at is not None]
+        seen = max([*times, *([] if seen is None else [seen])], default=None)
+        self.last.update((price, new[-1].seq, seen))
+        if self.stale_days is not None and seen is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(seen // 1000 + self.stale_days * 86_400_000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        price, _, seen = self.last.get()
+        yield OUT(*key, price, price, datetime.fromtimestamp(seen / 1e6), "stale")
+
+    def close(self) -> None:
+        """Nothing is open."""
+
+
+def change_stream(log: DataFrame, stale_days: int | None = None, late: str = "0 seconds") -> DataFrame:
+    """Change rows of a streaming log (product_id, store_id, price, checked_at, seq), kind ``change``.
+
+    With ``stale_days``, a row of kind ``stale`` too once the watermark on checked_at, which
+    allows rows to be ``late``, has passed the last sight of a key by so many days.
+    """
+    for key, value in STATE_STORE.items():
+        log.sparkSession.conf.set(key, value)
+    timed = stale_days is not None
+    rows = log.withWatermark("checked_at", late) if timed else log
+    return rows.groupBy("product_id", "store_id").transformWithState(LastPrice(stale_days), CHANGE, "append", "eventTime" if timed else "none")
 
 
 def latest_stream(log: DataFrame) -> DataFrame:
-    """The latest price of each key, by seq."""
+    """The latest price of each key, by seq: in update mode, those that a trigger has changed."""
     return log.groupBy("product_id", "store_id").agg(F.max_by("price", "seq").alias("price"), F.max("seq").alias("seq"))
 
 
@@ -44,16 +84,24 @@ def hourly_activity(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("hour"), "event_type", "n", "total")
 
 
-def drain(stream: DataFrame, path: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run a stream over all that is there, into a table below ``path``; the table."""
+def drain(stream: DataFrame, path: str, keys: tuple[str, ...] | None = None, each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+    """Run a stream over all that is there, into a table below ``path``; the table.
+
+    With ``keys`` the stream updates rows: each trigger appends those it has changed, in a
+    folder of its own that a repeated trigger overwrites, and of a key the row of the last
+    trigger counts. ``each`` takes the batches instead.
+    """
     spark: SparkSession = stream.sparkSession
     write = stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
     if each is not None:
         write.foreachBatch(each).start().awaitTermination()
-    elif mode == "append":
+    elif keys is None:
         write.format("parquet").option("path", f"{path}/table").outputMode("append").start().awaitTermination()
     else:
-        write.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/table")).outputMode(mode).start().awaitTermination()
+        write.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/table/batch={i}")).outputMode("update").start().awaitTermination()
+        fields = [c for c in stream.columns if c not in keys]
+        rows = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(f"{path}/table")
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), "batch").alias("x")).select(*keys, "x.*")
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
