@@ -241,16 +241,21 @@ class _Search:
         self.spark = docs.sparkSession
         self.links: DataFrame | None = None
         self.sets: DataFrame | None = None
-        self.members = save(sigs.withColumn("comp", F.col("doc")), f"{path}/members-0")
+        #: (doc, n, comp): the component that each set is in by the links so far.
+        self.members = sigs.select("doc", "n", F.col("doc").alias("comp"))
         self.steps = 0
 
     def texts_of(self, ids: DataFrame, name: str) -> DataFrame:
-        """Documents of the ids, with k1, which tells rows that share an id apart. Few ids go to the texts."""
+        """Documents of the ids (doc, and a few numbers), with k1, which tells rows that share an id apart."""
         ids = save(ids, f"{self.path}/ids-{name}")
-        few = ids.count() <= BROADCAST_IDS and len(ids.columns) <= 4
+        few = ids.count() <= BROADCAST_IDS
         return self.docs.join(F.broadcast(ids) if few else ids, self.docs.doc_id == ids.doc).drop("doc_id")
 
     def beside(self, pairs: DataFrame, what: DataFrame, column: str) -> DataFrame:
+        """Written pairs (a, b) with a column of both sides. Few ids go to its table, so that only their rows are shuffled."""
+        ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+        few = pairs.count() <= BROADCAST_IDS // 2
+        what = (what.join(F.broadcast(ids), "doc", "left_semi") if few else what).select("doc", column)
         for side in "ab":
             pairs = pairs.join(what.select(F.col("doc").alias(side), F.col(column).alias(column + side)), side)
         return pairs
@@ -263,36 +268,34 @@ class _Search:
         if pairs.isEmpty():
             return
         near = pairs if signed else save(self.beside(pairs, self.sigs, "sig").mapInArrow(partial(_agree, self.least), "a long, b long"), f"{path}/near")
-        ids = near.select(F.col("a").alias("doc")).union(near.select("b")).distinct()
+        # a forest of the pairs first; of the others, those that it leaves apart
+        tree = save(near.coalesce(max(1, -(-near.count() // EDGES))).mapInArrow(_forest, "a long, b long"), f"{path}/tree")
+        self._exact(tree, f"{path}/1")
+        rest = self.beside(save(near.join(tree, ["a", "b"], "left_anti"), f"{path}/others"), self.members, "comp")
+        self._exact(save(rest.where("compa <> compb").select("a", "b"), f"{path}/rest"), f"{path}/2")
+
+    def _exact(self, pairs: DataFrame, path: str) -> None:
+        """Add those of the written pairs whose sets are similar."""
+        if pairs.isEmpty():
+            return
+        ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
         if self.sets is not None:
             ids = ids.join(self.sets.select("doc"), "doc", "left_anti")
-        texts = self.texts_of(ids.join(self.sigs.select("doc", "k1"), "doc"), f"set-{self.steps}")
+        texts = self.texts_of(ids.join(self.sigs.select("doc", "k1"), "doc"), path.replace(self.path, "").replace("/", "-"))
         with batches_of(self.spark, 2000):
             new = save(texts.mapInArrow(partial(_tokens, self.words), "doc long, tokens binary"), f"{path}/sets")
         counts = new.agg(F.count("*"), F.count_distinct("doc")).first()
         if counts[0] != counts[1]:  # only tables that repeat rows pay for telling them apart
             new = save(new.dropDuplicates(["doc"]), f"{path}/sets-once")
         self.sets = new if self.sets is None else self.sets.union(new)
-
-        def exact(p: DataFrame, name: str) -> DataFrame:
-            with batches_of(self.spark, 250):
-                return save(self.beside(p, self.sets, "tokens").mapInArrow(partial(_confirmed, self.percent), "a long, b long"), f"{path}/{name}")
-
-        # a forest of the pairs first; of the others, those that it leaves apart
-        tree = save(near.coalesce(max(1, -(-near.count() // EDGES))).mapInArrow(_forest, "a long, b long"), f"{path}/tree")
-        self._add(exact(tree, "links-1"), path)
-        rest = near.join(tree, ["a", "b"], "left_anti")
-        comp = self.members.select("doc", "comp")
-        rest = self.beside(rest, comp, "comp").where("compa <> compb").select("a", "b")
-        more = exact(rest, "links-2")
-        if not more.isEmpty():
-            self._add(more, f"{path}/more")
-
-    def _add(self, links: DataFrame, path: str) -> None:
+        with batches_of(self.spark, 250):
+            links = save(self.beside(pairs, self.sets, "tokens").mapInArrow(partial(_confirmed, self.percent), "a long, b long"), f"{path}/links")
+        if links.isEmpty():
+            return
         self.links = links if self.links is None else self.links.union(links)
         found = components(self.links, f"{path}/components")
-        joined = self.sigs.join(found, F.col("doc") == F.col("node"), "left").select(*self.sigs.columns, F.coalesce("component", "doc").alias("comp"))
-        self.members = save(joined, f"{path}/members")
+        joined = self.sigs.select("doc", "n").join(found, F.col("doc") == F.col("node"), "left")
+        self.members = save(joined.select("doc", "n", F.coalesce("component", "doc").alias("comp")), f"{path}/members")
 
     def buckets(self, rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         """Confirm the pairs of small buckets; pairs of components (a, b), and rows, of the others."""
@@ -320,6 +323,7 @@ class _Search:
             at = f"{path}/{int(joining)}"
             of = self.members.select("doc", "comp")
             pairs = self.beside(meet, of, "comp").where("compa <> compb").select(F.least("compa", "compb").alias("a"), F.greatest("compa", "compb").alias("b")).distinct()
+            pairs = save(pairs, f"{at}/apart")
             sizes = self.members.groupBy(F.col("comp").alias("doc")).agg(F.count("*").alias("size"))
             pairs = save(self.beside(pairs, sizes, "size"), f"{at}/pairs")
             if pairs.isEmpty() and large.isEmpty():
@@ -341,7 +345,7 @@ class _Search:
             own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
             every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
             places = F.when(F.col("right"), F.transform(every("lefts"), lambda i: F.struct(i.alias("i"), own("rights").alias("j")))).otherwise(F.transform(every("rights"), lambda j: F.struct(own("lefts").alias("i"), j.alias("j"))))
-            rows = rows.select("kind", "arena", "right", "doc", F.inline(places)).join(self.members.select("doc", "n", "comp", "sig"), "doc")
+            rows = rows.select("kind", "arena", "right", "doc", F.inline(places)).join(self.members, "doc").join(self.sigs.select("doc", "sig"), "doc")
             found = rows.groupBy("kind", "arena", "i", "j").applyInPandas(partial(_compared, self.percent, self.least, joining), "a long, b long")
             self.confirm(found, signed=True)
 
@@ -373,17 +377,19 @@ def minhash_components(docs: DataFrame, words: int = 4, percent: int = 80, id_co
     search = _Search(docs, sigs, path, words, percent, few, block)
 
     # plainly alike sets: each member of a bucket with one of it, another one in each bucket
-    rows = search.members.mapInArrow(partial(_bands, SKETCH), BUCKETS)
+    rows = sigs.withColumn("comp", F.col("doc")).mapInArrow(partial(_bands, SKETCH), BUCKETS)
     head = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", "key").alias("chance"), F.col("doc").alias("head"), F.col("n").alias("m"))).alias("h"), F.count("*").alias("holders"))
     both = rows.join(head.where("holders > 1").select("key", "h.head", "h.m"), "key").where((F.col("doc") != F.col("head")) & _sizes_do(percent, F.col("n"), F.col("m")))
     search.confirm(both.select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b")))
 
-    meet, large = search.buckets(search.members.mapInArrow(partial(_bands, BANDS), BUCKETS), "1")
+    of = search.members.select("doc", "comp")
+    meet, large = search.buckets(sigs.join(of, "doc").mapInArrow(partial(_bands, BANDS), BUCKETS), "1")
     if not large.isEmpty():
-        texts = search.texts_of(search.members.join(large.select("doc").distinct(), "doc", "left_semi").select("doc", "k1", "n", "comp"), "longer")
+        ids = large.select("doc").distinct().join(sigs.select("doc", "k1"), "doc").join(search.members, "doc")
+        texts = search.texts_of(ids.select("doc", "k1", "n", "comp"), "longer")
         level2 = texts.mapInArrow(partial(_longer, words), BUCKETS).distinct()
         more, large = search.buckets(save(level2, f"{path}/level-2"), "2")
-        meet = meet.union(more)
+        meet = save(meet.union(more), f"{path}/meet")
     search.between(meet, large)
 
     of = classes.join(search.members.select(F.col("doc").alias("one"), "comp"), "one").select(F.col("doc").alias("id"), F.col("comp"))
