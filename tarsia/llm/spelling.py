@@ -37,8 +37,8 @@ GROUPS = 4
 #: Letters in turn, so that each group has common ones.
 GROUP = np.arange(len(LETTERS)) % GROUPS
 CHOICES = list(combinations(range(GROUPS), 2))
-#: Words of a block at most, rows multiplied at once, and counts held before they are handed on.
-BLOCK, TOGETHER, HELD = 1000, 512, 200_000
+#: Words of a block at most, rows multiplied at once, pairs verified at once, and counts held before they are handed on.
+BLOCK, TOGETHER, MOST, HELD = 1000, 256, 200_000, 200_000
 BUCKET_ROWS = 400_000
 
 
@@ -88,18 +88,8 @@ def letter_counts(words: list[str]) -> np.ndarray:
     return np.bincount(flat, minlength=len(words) * len(LETTERS)).reshape(len(words), -1).astype(np.float32)
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether one inserted, deleted or replaced letter makes one of the other."""
-    if len(a) > len(b):
-        a, b = b, a
-    if a == b or len(b) - len(a) > 1:
-        return False
-    i = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
-
-
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, word): for each choice of two groups, and as shorter and longer of two lengths."""
+    """(bucket, tag, word): for each choice of two groups, and as shorter and longer of two lengths; the tag says which."""
     weight = mix(np.arange(1, len(LETTERS) + 1, dtype=np.uint64))
     for batch in batches:
         words = batch.column(0)
@@ -111,66 +101,97 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, choice in enumerate(CHOICES):
             inside = np.isin(GROUP, choice)
             key = (counts[:, inside] * weight[inside]).sum(1, dtype=np.uint64)
-            for shorter in (length, length - np.uint64(1)):
-                bucket = mix(mix(key + shorter * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(c))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), words], ["bucket", "word"])
-
-
-def _near(words: list[str], run: np.ndarray, piece: np.ndarray, apart: np.ndarray) -> list[tuple[str, str]]:
+            for longer in (0, 1):
+                bucket = mix(mix(key + (length - np.uint64(longer)) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(c))
+                tag = np.full(len(each), 2 * c + longer, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(tag), words], ["bucket", "tag", "word"])
+
+
+def one_edit(letters: np.ndarray, length: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether words i become words j, which are as long or longer by one, by one letter replaced or put in. letters: a row a word, padded."""
+    x, y = letters[i], letters[j]
+    wide = x.shape[1]
+    same = x == y
+    out = (length[i] == length[j]) & ((~same).sum(1) == 1)
+    put = np.flatnonzero(length[i] + 1 == length[j])
+    if len(put):
+        # what agrees from the start, and from the end with the longer word moved by one
+        inside = np.arange(wide)[None] < length[i[put], None]
+        start = np.cumprod(same[put] & inside, 1, dtype=np.uint8).sum(1)
+        moved = np.zeros((len(put), wide), bool)
+        moved[:, :-1] = x[put, :-1] == y[put, 1:]
+        end = np.cumprod((moved | ~inside)[:, ::-1], 1, dtype=np.uint8).sum(1) - (wide - length[i[put]])
+        out[put] = start.astype(np.int64) + end >= length[i[put]]
+    return out
+
+
+def _near(words: list[str], run: np.ndarray, tag: np.ndarray, piece: np.ndarray, apart: np.ndarray) -> tuple[list[str], list[str]]:
     """Near pairs within runs; of a run that holds two pieces ``apart``, those between the pieces."""
     x = letter_counts(words)
-    length = x.sum(1)
+    length = x.sum(1).astype(np.int64)
     norm = (x * x).sum(1)
     square = norm[:, None] + norm[None] - 2 * (x @ x.T)
-    ok = (square <= 2) & (run[:, None] == run[None]) & (np.abs(length[:, None] - length[None]) <= 1)
-    ok &= (piece[:, None] != piece[None]) | ~apart[:, None]
-    i, j = np.nonzero(np.triu(ok, 1))
-    pairs = ((words[a], words[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True))
-    return [(min(p), max(p)) for p in pairs if one_edit(*p)]
+    longer = (tag & 1).astype(bool)
+    # a letter more, the longer word being here as the longer; or a letter replaced, both as the shorter
+    ok = ((square == 1) & (longer[None] & ~longer[:, None])) | ((square == 2) & ~longer[:, None] & ~longer[None] & np.triu(np.ones(square.shape, bool), 1))
+    ok &= (run[:, None] == run[None]) & ((piece[:, None] != piece[None]) | ~apart[:, None])
+    i, j = np.nonzero(ok)
+    letters = np.zeros((len(words), int(length.max())), np.uint8)
+    letters[np.arange(letters.shape[1])[None] < length[:, None]] = np.frombuffer("".join(words).encode("latin-1"), np.uint8)
+    near = [np.flatnonzero(one_edit(letters, length, i[k : k + MOST], j[k : k + MOST])) + k for k in range(0, len(i), MOST)]
+    if not near:
+        return [], []
+    i, j = i[np.concatenate(near)], j[np.concatenate(near)]
+    # a pair meets for each choice of groups that it agrees on; the first of them reports it
+    same = np.stack([(x[i][:, GROUP == g] == x[j][:, GROUP == g]).all(1) for g in range(GROUPS)], 1)
+    first = np.stack([same[:, list(c)].all(1) for c in CHOICES], 1).argmax(1) == tag[i] >> 1
+    return [words[k] for k in i[first]], [words[k] for k in j[first]]
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, i, j, piece, word) come sorted by the first three: (a, b) of near words."""
+    """Rows (bucket, i, j, piece, tag, word) come sorted by the first three: (a, b) of near words."""
     words: list[str] = []
     runs: list[int] = []
+    tags: list[int] = []
     pieces: list[int] = []
     aparts: list[bool] = []
-    held = (words, runs, pieces, aparts)
+    held = (words, runs, tags, pieces, aparts)
     now: tuple | None = None
     n = 0
 
     def compared() -> Iterator[pa.RecordBatch]:
-        if len(words) > 1 and (found := _near(words, np.array(runs), np.array(pieces), np.array(aparts))):
-            a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+        if len(words) > 1:
+            a, b = _near(words, *map(np.array, held[1:]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
         for column in held:
             column.clear()
 
     for batch in batches:
-        for *run, piece, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for *run, piece, tag, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (run := tuple(run)) != now:
                 if len(words) >= TOGETHER:
                     yield from compared()
                 now, n = run, n + 1
-            for column, value in zip(held, (word, n, piece, run[1] != run[2]), strict=True):
+            for column, value in zip(held, (word, n, tag, piece, run[1] != run[2]), strict=True):
                 column.append(value)
     yield from compared()
 
 
 def near_words(words: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: all pairs of the distinct ``word`` s that are one edit apart."""
-    dealt = save(words.select("word").mapInArrow(_dealt, "bucket long, word string"), f"{path}/dealt")
+    """(a, b): all pairs of the distinct ``word`` s that are one edit apart, each once."""
+    dealt = save(words.select("word").mapInArrow(_dealt, "bucket long, tag int, word string"), f"{path}/dealt")
     sizes = save(dealt.groupBy("bucket").count().where("count > 1"), f"{path}/sizes")
     pieces = F.ceil(F.col("count") / block).cast("int")
     rows = dealt.join(sizes.select("bucket", pieces.alias("pieces")), "bucket")
     rows = rows.withColumn("piece", F.pmod(F.xxhash64("word"), F.col("pieces")).cast("int"))
     # every two pieces of a bucket meet in one block
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    rows = rows.select("bucket", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "word")
+    rows = rows.select("bucket", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "tag", "word")
     n = int(sizes.agg(F.sum("count")).first()[0] or 0)
     parts = partitions_for(words.sparkSession, n, BUCKET_ROWS)
     rows = rows.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return save(rows.mapInArrow(_met, "a string, b string").distinct(), f"{path}/near")
+    return save(rows.mapInArrow(_met, "a string, b string"), f"{path}/near")
 
 
 # -- forms --------------------------------------------------------------------------------------
