@@ -3,57 +3,91 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-METRIC = ("section", "ord", "status", "label", "count_num", "count_text", "total", "examples", "note")
+REPORT = "section string, ord int, status string, label string, count_num double, count_text string, total long, examples array<string>, note string"
 
 
-def severity(count: Column, critical: bool = False) -> Column:
-    return F.when(count > 0, "CRITICAL" if critical else "WARNING").otherwise("OK")
+class Section:
+    """Metrics in the order in which they are added; their counts are known."""
 
+    def __init__(self, name: str) -> None:
+        self.name = name
+        self.rows: list[tuple] = []
 
-class Section:
-    """Metrics over one or more single-row aggregates, in the order in which they are added."""
-
-    def __init__(self, name: str, scalars: DataFrame) -> None:
-        self.name, self.scalars = name, scalars
-        self.rows: list[Column] = []
-
-    def add(self, label: str, count: Column, total: Column | None = None, status: Column | None = None, critical: bool = False, examples: Column | None = None, note: str | None = None, text: Column | None = None) -> Section:
-        none = F.lit(None)
-        self.rows.append(F.struct(
-            F.lit(self.name).alias("section"), F.lit(len(self.rows)).alias("ord"), (severity(count, critical) if status is None else status).alias("status"), F.lit(label).alias("label"),
-            count.cast("double").alias("count_num"), (none if text is None else text).cast("string").alias("count_text"), (none if total is None else total).cast("long").alias("total"),
-            (none if examples is None else examples).cast("array<string>").alias("examples"), F.lit(note).cast("string").alias("note"),
-        ))
+    def add(self, label: str, count: float | None, total: int | None = None, status: str | None = None, critical: bool = False, examples: list[str] | None = None, note: str | None = None, text: str | None = None) -> Section:
+        status = status or (("CRITICAL" if critical else "WARNING") if (count or 0) > 0 else "OK")
+        self.rows.append((self.name, len(self.rows), status, label, None if count is None else float(count), text, total, examples, note))
         return self
 
-    def frame(self) -> DataFrame:
-        return self.scalars.select(F.inline(F.array(*self.rows)))
+    def again(self, label: str, other: Section) -> Section:
+        """A metric of another section once more."""
+        row = next(r for r in other.rows if r[3] == label)
+        self.rows.append((self.name, len(self.rows), *row[2:]))
+        return self
 
 
-def one_row(*frames: DataFrame) -> DataFrame:
-    """Single-row aggregates side by side."""
-    return reduce(lambda a, b: a.crossJoin(b), frames)
+def report_of(spark: SparkSession, *sections: Section) -> DataFrame:
+    return spark.createDataFrame([r for s in sections for r in s.rows], REPORT)
 
 
-def samples(label: Column, when: Column, limit: int) -> Column:
-    """An aggregate: the first distinct labels in order of the text; bounded, so a hot metric stays small."""
-    return F.slice(F.array_sort(F.collect_set(F.when(when & (label != ""), label))), 1, limit)
+class Pass:
+    """Tables of one report, written below a folder of their own, each with what was counted while it was written."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.path = spark, f"{folder.rstrip('/')}/report-{uuid.uuid4().hex}"
+        self.seen: dict[str, int] = {}
+        self.samples: list[DataFrame] = []
+        self.watches: list[Observation] = []
+
+    def watch(self, rows: DataFrame, /, **metrics: Column) -> DataFrame:
+        """Rows as they are; the aggregates are taken on their way and known once a table of them is written."""
+        self.watches.append(Observation())
+        return rows.observe(self.watches[-1], *[m.alias(n) for n, m in metrics.items()])
+
+    def write(self, name: str, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{self.path}/{name}")
+        for w in self.watches:
+            self.seen |= {k: v for k, v in w.get.items()}
+        self.watches.clear()
+        return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
+
+    def sample(self, kind: str, rows: DataFrame, label: Column) -> None:
+        self.samples.append(rows.select(F.lit(kind).alias("kind"), label.alias("label")))
 
+    def examples(self, limit: int) -> dict[str, list[str]]:
+        """Of each kind the first distinct labels, all in one job; the limit holds before the shuffle too."""
+        if not self.samples or not limit:
+            return {}
+        rows = reduce(DataFrame.union, self.samples).where("label <> ''").distinct()
+        top = rows.withColumn("rn", F.row_number().over(Window.partitionBy("kind").orderBy("label"))).where(F.col("rn") <= limit)
+        return {r.kind: sorted(r.labels) for r in top.groupBy("kind").agg(F.collect_list("label").alias("labels")).collect()}
 
-def examples_of(rows: DataFrame, label: Column, limit: int, name: str) -> DataFrame:
-    """One row: up to ``limit`` distinct labels of the rows, smallest first, without gathering the others."""
-    top = rows.select(label.alias("x")).where("x <> ''").distinct().orderBy("x").limit(limit)
-    return top.agg(F.array_sort(F.collect_list("x")).alias(name))
+    def __enter__(self) -> Pass:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def when_(condition: Column) -> Column:
+    """How many rows fulfil a condition, as an aggregate."""
+    return F.count_if(F.coalesce(condition, F.lit(False)))
+
+
+def samples(label: Column, when: Column, limit: int) -> Column:
+    """An aggregate: the first distinct labels in order of the text; for few rows, as it gathers all of them."""
+    return F.slice(F.array_sort(F.collect_set(F.when(when & (label != ""), label))), 1, limit)
 
 
 def counts(rows: DataFrame, **conditions: Column) -> DataFrame:
     """One row of conditional counts over one scan."""
-    return rows.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items()])
+    return rows.agg(*[when_(c).alias(n) for n, c in conditions.items()])
 
 
 def top_risks(report: DataFrame, limit: int = 8) -> DataFrame:

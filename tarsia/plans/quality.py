@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import missing, number
 from ..functions.text import audit_text, label
 from ..sources.catalog import Catalog
-from .metrics import Section, counts, examples_of, one_row
+from .metrics import Pass, Section, report_of, when_
 
 LONG_NAME = 120
 C = F.col
@@ -55,8 +53,10 @@ def old_price_lower() -> Column:
     return number(C("old_price")) < number(C("current_price"))
 
 
-def n(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.count("*").alias(name))
+def mean_depth(history: DataFrame) -> DataFrame:
+    """One row: history rows that name a product, for each product that they name."""
+    keyed = history.where(~missing(C("product_id")))
+    return keyed.agg(F.coalesce(F.round(F.try_divide(F.count("*"), F.count_distinct("product_id")), 2), F.lit(0.0)).alias("mean_depth"))
 
 
 def product_label() -> Column:
@@ -71,76 +71,98 @@ def history_label() -> Column:
     return label(C("product_id"), C("store_id"), C("price"))
 
 
-def products_section(cat: Catalog, examples: int) -> DataFrame:
-    p = cat.products
+def _grouped(rows: DataFrame, sets: dict[str, list[str]], label: Column) -> DataFrame:
+    """(kind, keys, n, example): groups of several kinds at once, from one reading of the rows."""
+    cols = list(dict.fromkeys(c for s in sets.values() for c in s))
+    bit = {c: 1 << (len(cols) - 1 - i) for i, c in enumerate(cols)}
+    kind = F.coalesce(*[F.when(F.grouping_id() == sum(b for c, b in bit.items() if c not in keys), F.lit(name)) for name, keys in sets.items()])
+    rows = rows.withColumn("__label", label).groupingSets([[C(c) for c in keys] for keys in sets.values()], *[C(c) for c in cols])
+    return rows.agg(kind.alias("kind"), F.count("*").alias("n"), F.min("__label").alias("example"))
+
+
+def report(cat: Catalog, folder: str, examples: int = 5) -> DataFrame:
+    """All metrics of the audit.
+
+    Each relation is read once: its rows are counted on their way into groups by all its
+    keys, which are small next to it. What concerns two relations is counted over the keys
+    of both. The groups are written below ``folder``, which all executors share, and removed.
+    """
+    p, o, s, h = cat.products, cat.offers, cat.stores, cat.history
+    trimmed = lambda c: F.trim(F.coalesce(C(c), F.lit("")))
+    price = number(C("current_price"))
     optional = [c for c in ("canonical_key", "search_keywords", "image_url") if c in p.columns]
-    lonely = p.join(keys_of(cat.offers, "product_id"), "id", "left_anti")
-    silent = p.join(keys_of(cat.history, "product_id"), "id", "left_anti")
-    twice = duplicate_products(p)
-    base = counts(p, total=F.lit(True), no_name=missing(C("name")), no_category=missing(C("category")), long=F.length("name") > LONG_NAME, **{f"no_{c}": missing(C(c)) for c in optional})
-    scalars = one_row(base, n(twice, "dup"), n(lonely, "lonely"), n(silent, "silent"), examples_of(twice, duplicate_label("category", "name"), examples, "x_dup"), examples_of(lonely, product_label(), examples, "x_lonely"), examples_of(p.where(missing(C("name"))), product_label(), examples, "x_name"))
-    s, total = Section("products", scalars), C("total")
-    s.add("products", total, status=F.lit("OK")).add("products without name", C("no_name"), total, critical=True, examples=C("x_name")).add("products without category", C("no_category"), total, critical=True)
+    with Pass(p.sparkSession, folder) as run:
+        rows = run.watch(p, products=F.count("*"), no_name=when_(missing(C("name"))), no_category=when_(missing(C("category"))), long=when_(F.length("name") > LONG_NAME), **{f"no_{c}": when_(missing(C(c))) for c in optional})
+        rows = rows.withColumns({"k_name": audit_text(C("name")), "k_category": audit_text(C("category"))})
+        twice = (C("kind") == "alike") & (C("n") > 1) & (C("k_name") != "") & (C("k_category") != "")
+        products = _grouped(rows, {"id": ["id"], "alike": ["k_category", "k_name"]}, F.when(missing(C("name")), F.concat(F.lit("\x01"), product_label())).otherwise(product_label()))
+        products = run.write("products", run.watch(products, dup_products=when_(twice)))
+        run.sample("dup_products", products.where(twice), F.concat(F.concat_ws(" | ", "k_category", "k_name"), F.lit(": "), C("n").cast("string"), F.lit(" rows")))
+        run.sample("no_name", products.where((C("kind") == "id") & F.startswith("example", F.lit("\x01"))), F.substr("example", F.lit(2)))
+
+        rows = run.watch(
+            o, offers=F.count("*"), no_pid=when_(missing(C("product_id"))), no_sid=when_(missing(C("store_id"))), no_price=when_(missing(C("current_price"))), bad_price=when_(price <= 0), lower=when_(old_price_lower()),
+            no_url=when_(missing(C("product_url"))), no_stock=when_(missing(C("availability"))),
+        )
+        rows = rows.withColumns({f"k_{c}": trimmed(c) for c in ("product_id", "store_id", "product_url")})
+        alike = ["k_product_id", "k_store_id", "k_product_url"]
+        twice = (C("kind") == "alike") & (C("n") > 1) & (C(alike[0]) != "") & (C(alike[1]) != "") & (C(alike[2]) != "")
+        offers = _grouped(rows, {"product": ["product_id"], "store": ["store_id"], "alike": alike}, offer_label())
+        offers = run.write("offers", run.watch(offers, dup_offers=when_(twice), multi=when_((C("kind") == "product") & ~missing(C("product_id")) & (C("n") > 1))))
+        run.sample("dup_offers", offers.where(twice), duplicate_label(*alike))
+
+        rows = run.watch(s, stores=F.count("*"), no_store_name=when_(missing(C("name")))).withColumn("k_name", audit_text(C("name")))
+        twice = (C("kind") == "alike") & (C("n") > 1) & (C("k_name") != "")
+        stores = run.write("stores", run.watch(_grouped(rows, {"id": ["id"], "alike": ["k_name"]}, label(C("name"))), dup_stores=when_(twice)))
+        run.sample("dup_stores", stores.where(twice), duplicate_label("k_name"))
+
+        rows = run.watch(h, history=F.count("*"), keyed=when_(~missing(C("product_id"))), h_no_pid=when_(missing(C("product_id"))), h_no_price=when_(missing(C("price"))), h_bad_price=when_(number(C("price")) <= 0))
+        history = run.write("history", rows.groupBy("product_id").agg(F.count("*").alias("n"), F.min(history_label()).alias("example")))
+
+        def keyed(groups: DataFrame, key: str, name: str, kind: str | None = None) -> DataFrame:
+            groups = groups if kind is None else groups.where(C("kind") == kind)
+            return groups.where(~missing(C(key))).select(C(key).alias("id"), C("n").alias(name), C("example").alias(f"x_{name}"))
+
+        # all keys of products, with how often each relation has them
+        known = products.where("kind = 'id'").select("id", C("n").alias("p"), F.ltrim(C("example"), F.lit("\x01")).alias("x_p"))
+        facts = known.join(keyed(offers, "product_id", "o", "product"), "id", "full_outer").join(keyed(history, "product_id", "h"), "id", "full_outer")
+        rows_of = lambda n, when: F.coalesce(F.sum(F.when(when, C(n))), F.lit(0))
+        facts = run.write("facts", run.watch(
+            facts, lonely=rows_of("p", C("o").isNull()), silent=rows_of("p", C("h").isNull()), orphan_p=rows_of("o", C("p").isNull()), orphan_h=rows_of("h", C("p").isNull()), known=when_(C("p").isNotNull() & C("h").isNotNull()),
+        ))
+        run.sample("lonely", facts.where("p is not null and o is null"), C("x_p"))
+        run.sample("orphan_p", facts.where("p is null and o is not null"), C("x_o"))
+        run.sample("orphan_h", facts.where("p is null and h is not null"), C("x_h"))
+        known = stores.where("kind = 'id'").select("id", C("n").alias("s"), C("example").alias("x_s"))
+        shops = known.join(keyed(offers, "store_id", "o", "store"), "id", "full_outer")
+        shops = run.write("shops", run.watch(shops, idle=rows_of("s", C("o").isNull()), orphan_s=rows_of("o", C("s").isNull())))
+        run.sample("idle", shops.where("s is not null and o is null"), C("x_s"))
+        n, x = run.seen, run.examples(examples)
+
+    total = n["products"]
+    of_products = Section("products").add("products", total, status="OK").add("products without name", n["no_name"], total, critical=True, examples=x.get("no_name")).add("products without category", n["no_category"], total, critical=True)
     for c in ("canonical_key", "search_keywords", "image_url"):
         if c in optional:
-            s.add(f"products without {c}", C(f"no_{c}"), total)
+            of_products.add(f"products without {c}", n[f"no_{c}"], total)
         else:
-            s.add(f"products without {c}", F.lit(0), total, status=F.lit("OK"), note="no such column: skipped")
-    s.add(f"names of over {LONG_NAME} characters", C("long"), total).add("duplicate name and category", C("dup"), total, examples=C("x_dup"))
-    return s.add("products without offers", C("lonely"), total, critical=True, examples=C("x_lonely")).add("products without history", C("silent"), total).frame()
-
-
-def offers_section(cat: Catalog, examples: int) -> DataFrame:
-    o, price = cat.offers, number(C("current_price"))
-    no_product, no_store = without_match(o, "product_id", keys_of(cat.products, "id")), without_match(o, "store_id", keys_of(cat.stores, "id"))
-    twice = duplicate_offers(o)
-    base = counts(o, total=F.lit(True), no_pid=missing(C("product_id")), no_sid=missing(C("store_id")), no_price=missing(C("current_price")), bad_price=price <= 0, lower=old_price_lower(), no_url=missing(C("product_url")), no_stock=missing(C("availability")))
-    scalars = one_row(base, n(no_product, "orphan_p"), n(no_store, "orphan_s"), n(twice, "dup"), examples_of(twice, duplicate_label("product_id", "store_id", "product_url"), examples, "x_dup"), n(multi_offer_products(o), "multi"), examples_of(no_product, offer_label(), examples, "x_orphan"))
-    s, total = Section("offers", scalars), C("total")
-    s.add("offers", total, status=F.lit("OK")).add("offers without product", C("no_pid"), total, critical=True).add("offers of unknown products", C("orphan_p"), total, critical=True, examples=C("x_orphan"))
-    s.add("offers without store", C("no_sid"), total, critical=True).add("offers of unknown stores", C("orphan_s"), total, critical=True).add("offers without price", C("no_price"), total, critical=True)
-    s.add("offers with price of at most 0", C("bad_price"), total, critical=True).add("old price below current price", C("lower"), total).add("offers without url", C("no_url"), total).add("offers without availability", C("no_stock"), total)
-    return s.add("duplicate product, store and url", C("dup"), total, examples=C("x_dup")).add("products with several offers", C("multi"), status=F.when(C("multi") > 0, "OK").otherwise("WARNING"), note="Prices can only be compared where there are several.").frame()
-
-
-def stores_section(cat: Catalog, examples: int) -> DataFrame:
-    idle = cat.stores.join(keys_of(cat.offers, "store_id"), "id", "left_anti")
-    twice = duplicate_stores(cat.stores)
-    scalars = one_row(counts(cat.stores, total=F.lit(True), no_name=missing(C("name"))), n(twice, "dup"), examples_of(twice, duplicate_label("name"), examples, "x_dup"), n(idle, "idle"), examples_of(idle, label(C("name")), examples, "x_idle"))
-    s, total = Section("stores", scalars), C("total")
-    return s.add("stores", total, status=F.lit("OK")).add("stores without name", C("no_name"), total, critical=True).add("duplicate store names", C("dup"), total, examples=C("x_dup")).add("stores without offers", C("idle"), total, examples=C("x_idle")).frame()
-
-
-def history_counts(history: DataFrame) -> DataFrame:
-    """One row of what both audits count over all of the history."""
-    return counts(history, total=F.lit(True), keyed=~missing(C("product_id")), no_pid=missing(C("product_id")), no_price=missing(C("price")), bad_price=number(C("price")) <= 0)
-
-
-def history_section(cat: Catalog, examples: int) -> DataFrame:
-    h = cat.history
-    ids = keys_of(cat.products, "id")
-    seen = keys_of(h, "product_id")
-    orphan = without_match(h, "product_id", ids)
-    base = history_counts(h)
-    known = n(ids.join(seen, "id", "left_semi"), "known")
-    silent = n(cat.products.join(ids.join(seen, "id", "left_semi"), "id", "left_anti"), "silent")
-    scalars = one_row(base, n(orphan, "orphan"), known, silent, n(cat.products, "products"), examples_of(orphan, history_label(), examples, "x_orphan"))
-    s, total = Section("history", scalars), C("total")
-    depth = F.coalesce(F.round(F.try_divide(C("keyed"), C("known")), 2), F.lit(0.0))
-    s.add("history rows", total, status=F.lit("OK")).add("rows without product", C("no_pid"), total, critical=True).add("rows of unknown products", C("orphan"), total, critical=True, examples=C("x_orphan"))
-    s.add("rows without price", C("no_price"), total, critical=True).add("rows with price of at most 0", C("bad_price"), total, critical=True).add("products with history", C("known"), C("products"), status=F.lit("OK"))
-    return s.add("products without history", C("silent"), C("products")).add("rows per product with history", depth, status=F.when(depth >= 2, "OK").otherwise("WARNING"), note="Counts all rows that name a product.").frame()
-
-
-def cross_section(sections: dict[str, DataFrame]) -> DataFrame:
-    """Earlier counts that concern two relations, once more."""
-    wanted = [("offers", "offers of unknown products"), ("offers", "offers of unknown stores"), ("history", "rows of unknown products"), ("products", "products without offers")]
-    rows = [sections[s].where(C("label") == x).withColumns({"section": F.lit("cross"), "ord": F.lit(i)}) for i, (s, x) in enumerate(wanted)]
-    return reduce(DataFrame.unionByName, rows)
-
-
-def report(cat: Catalog, examples: int = 5) -> DataFrame:
-    """All metrics of the audit. Offers, which may be a query over the history, are computed once."""
-    cat = cat.kept(offers=cat.offers)
-    s = {"products": products_section(cat, examples), "offers": offers_section(cat, examples), "stores": stores_section(cat, examples), "history": history_section(cat, examples)}
-    return reduce(DataFrame.unionByName, [*s.values(), cross_section(s)])
+            of_products.add(f"products without {c}", 0, total, note="no such column: skipped")
+    of_products.add(f"names of over {LONG_NAME} characters", n["long"], total).add("duplicate name and category", n["dup_products"], total, examples=x.get("dup_products"))
+    of_products.add("products without offers", n["lonely"], total, critical=True, examples=x.get("lonely")).add("products without history", n["silent"], total)
+
+    total = n["offers"]
+    of_offers = Section("offers").add("offers", total, status="OK").add("offers without product", n["no_pid"], total, critical=True).add("offers of unknown products", n["orphan_p"], total, critical=True, examples=x.get("orphan_p"))
+    of_offers.add("offers without store", n["no_sid"], total, critical=True).add("offers of unknown stores", n["orphan_s"], total, critical=True).add("offers without price", n["no_price"], total, critical=True)
+    of_offers.add("offers with price of at most 0", n["bad_price"], total, critical=True).add("old price below current price", n["lower"], total).add("offers without url", n["no_url"], total).add("offers without availability", n["no_stock"], total)
+    of_offers.add("duplicate product, store and url", n["dup_offers"], total, examples=x.get("dup_offers")).add("products with several offers", n["multi"], status="OK" if n["multi"] else "WARNING", note="Prices can only be compared where there are several.")
+
+    total = n["stores"]
+    of_stores = Section("stores").add("stores", total, status="OK").add("stores without name", n["no_store_name"], total, critical=True).add("duplicate store names", n["dup_stores"], total, examples=x.get("dup_stores")).add("stores without offers", n["idle"], total, examples=x.get("idle"))
+
+    total = n["history"]
+    depth = round(n["keyed"] / n["known"], 2) if n["known"] else 0.0
+    of_history = Section("history").add("history rows", total, status="OK").add("rows without product", n["h_no_pid"], total, critical=True).add("rows of unknown products", n["orphan_h"], total, critical=True, examples=x.get("orphan_h"))
+    of_history.add("rows without price", n["h_no_price"], total, critical=True).add("rows with price of at most 0", n["h_bad_price"], total, critical=True).add("products with history", n["known"], n["products"], status="OK")
+    of_history.add("products without history", n["silent"], n["products"]).add("rows per product with history", depth, status="OK" if depth >= 2 else "WARNING", note="Counts all rows that name a product.")
+
+    cross = Section("cross").again("offers of unknown products", of_offers).again("offers of unknown stores", of_offers).again("rows of unknown products", of_history).again("products without offers", of_products)
+    return report_of(p.sparkSession, of_products, of_offers, of_stores, of_history, cross)

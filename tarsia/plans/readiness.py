@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import missing, number, usable_history
 from ..functions.text import label
 from ..operators.predict import when
-from ..sources.catalog import Catalog, kept
-from .metrics import Section, counts, examples_of, one_row
-from .quality import history_counts, history_label, keys_of, n, product_label, without_match
+from ..sources.catalog import Catalog
+from .metrics import Pass, Section, report_of, when_
+from .quality import history_label, keys_of, product_label
 
 C = F.col
 #: From so many points on: nothing, monitoring, weak and stronger guidance.
@@ -28,31 +25,15 @@ def valid(history: DataFrame) -> DataFrame:
 
 def by_product(cat: Catalog) -> DataFrame:
     """What the audit asks of each product's usable points; a plan computes only the columns that it reads."""
-    if isinstance(cat, Summed):
-        return cat.products_seen
     h = valid(cat.history).where(~missing(C("product_id")))
     return h.groupBy("product_id").agg(F.count("price").alias("points"), F.count_distinct("price").alias("prices"), F.min("price").alias("low"), F.max("price").alias("high"), F.max("checked_at").alias("newest"))
 
 
 def by_pair(cat: Catalog) -> DataFrame:
     """The same of each product and store, points without a product included."""
-    if isinstance(cat, Summed):
-        return cat.pairs_seen
     return valid(cat.history).groupBy("product_id", "store_id").agg(F.count("*").alias("points"), F.max_by(number(C("price")), when()).alias("latest"), F.min("checked_at").alias("oldest"), F.max("checked_at").alias("newest"))
 
 
-@dataclass
-class Summed(Catalog):
-    """A catalog with both summaries of its history, written once."""
-
-    products_seen: DataFrame
-    pairs_seen: DataFrame
-
-    @classmethod
-    def of(cls, cat: Catalog) -> Summed:
-        return cls(cat.products, cat.stores, kept(cat.offers), cat.history, kept(by_product(cat)), kept(by_pair(cat)))
-
-
 def bucket(depth: Column) -> Column:
     names = list(BUCKETS)
     out = F.when(depth >= BUCKETS[names[-1]], names[-1])
@@ -108,57 +89,68 @@ def latest_seen(cat: Catalog) -> DataFrame:
     return per.join(keys_of(cat.products, "id"), "id")
 
 
-def coverage_section(cat: Catalog, examples: int) -> DataFrame:
-    d = depths(cat)
-    stats = d.agg(F.count_if(C("depth") == 0).alias("none"), F.round(F.avg("depth"), 2).alias("mean"), F.median("depth").alias("median"), F.max("depth").alias("most"), *[F.count_if(C("depth") >= k).alias(f"at{k}") for k in (2, 3, 5, 10)])
-    empty = cat.products.join(d.where("depth = 0"), "id", "left_semi")
-    scalars = one_row(n(cat.products, "products"), n(cat.history, "rows"), stats, examples_of(empty, product_label(), examples, "x_none"))
-    s, total = Section("coverage", scalars), C("products")
-    enough = lambda c, k: F.when(c >= k, "OK").otherwise("WARNING")
-    mean, median, most = (F.coalesce(C(c), F.lit(0)) for c in ("mean", "median", "most"))
-    s.add("products", total, status=F.lit("OK")).add("history rows", C("rows"), status=F.lit("OK")).add("products with usable history", total - C("none"), total, status=F.lit("OK")).add("products without usable history", C("none"), total, critical=True, examples=C("x_none"))
-    s.add("mean usable points", mean, total, status=enough(mean, 4)).add("median usable points", median, total, status=enough(median, 4)).add("most usable points", most, total, status=enough(most, 10))
+def report(cat: Catalog, folder: str, now: Column | None = None, examples: int = 5) -> DataFrame:
+    """All metrics; ``now`` can be fixed.
+
+    The history is read once, into one row for each product, store, price and usability; products,
+    pairs and offers are judged by what is left of it. Tables are written below
+    ``folder``, which all executors share, and removed.
+    """
+    spark, now = cat.products.sparkSession, F.current_timestamp() if now is None else now
+    with Pass(spark, folder) as run:
+        rows = run.watch(cat.history, rows=F.count("*"), no_pid=when_(missing(C("product_id"))), no_price=when_(missing(C("price"))), bad_price=when_(number(C("price")) <= 0))
+        rows = rows.select("product_id", "store_id", number(C("price")).alias("price"), usable_history(positive=True).alias("ok"), "checked_at", when().alias("at"), history_label().alias("said"))
+        points = run.write("points", rows.groupBy("product_id", "store_id", "price", "ok").agg(F.count("*").alias("n"), F.max("at").alias("at"), F.min("checked_at").alias("oldest"), F.max("checked_at").alias("newest"), F.min("said").alias("said")))
+        pairs = points.where("ok").groupBy("product_id", "store_id").agg(F.sum("n").alias("points"), F.max_by("price", "at").alias("latest"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
+        pairs = run.write("pairs", run.watch(pairs, oldest=F.min("oldest"), newest=F.max("newest")))
+
+        if_ok = lambda c: F.when(C("ok"), C(c))
+        seen = points.where(~missing(C("product_id"))).groupBy(C("product_id").alias("id")).agg(
+            F.coalesce(F.sum(if_ok("n")), F.lit(0)).alias("points"), F.count_distinct(if_ok("price")).alias("prices"), F.min(if_ok("price")).alias("low"), F.max(if_ok("price")).alias("high"), F.max(if_ok("newest")).alias("newest"),
+            F.sum("n").alias("h"), F.min("said").alias("said"),
+        )
+        products = run.watch(cat.products, products=F.count("*")).groupBy("id").agg(F.count("*").alias("p"), F.min(product_label()).alias("said_p"))
+        facts = products.join(seen, "id", "full_outer").withColumns({"known": C("p").isNotNull() & ~missing(C("id")), "depth": F.coalesce("points", F.lit(0))})
+        flat = (C("points") >= 2) & (C("low") == C("high"))
+        recent, stale = C("newest") >= now - F.expr(f"INTERVAL {RECENT_DAYS} DAYS"), C("newest") < now - F.expr(f"INTERVAL {STALE_DAYS} DAYS")
+        sum_if = lambda c, when: F.coalesce(F.sum(F.when(when, C(c))), F.lit(0))
+        facts = run.write("facts", run.watch(
+            facts, keyed=when_(C("known")), none=when_(C("known") & (C("depth") == 0)), mean=F.avg(F.when(C("known"), C("depth"))), most=F.max(F.when(C("known"), C("depth"))),
+            **{f"at{k}": when_(C("known") & (C("depth") >= k)) for k in (2, 3, 5, 10)}, **{b: when_(C("known") & (bucket(C("depth")) == b)) for b in BUCKETS},
+            recent=when_(C("known") & recent), stale=when_(C("known") & stale), orphan=sum_if("h", C("p").isNull()), repeated=F.coalesce(F.sum(C("points") - C("prices")), F.lit(0)), flat=sum_if("p", flat),
+        ))
+        run.sample("none", facts.where("known and depth = 0"), C("said_p"))
+        run.sample("stale", facts.where(C("known") & stale), C("said_p"))
+        run.sample("orphan", facts.where("p is null and h is not null"), C("said"))
+
+        price, named = number(C("current_price")), ~missing(C("product_id")) & ~missing(C("store_id"))
+        offers = run.watch(cat.offers, offers=F.count("*")).join(pairs.select("product_id", "store_id", "points", "latest"), ["product_id", "store_id"], "left")
+        differs = F.coalesce(F.abs(price - C("latest")) > DIFFERS, F.lit(False))
+        thin = bucket(F.coalesce("points", F.lit(0))) == "insufficient_data"
+        differ = run.write("differ", run.watch(offers, differ=when_(differs), pairs=when_(named), thin=when_(named & thin)).where(differs).select("product_id", "store_id"))
+        run.sample("differ", differ, label(C("product_id"), C("store_id")))
+        median = facts.where("known").agg(F.median("depth")).first()[0]
+        n, x = run.seen, run.examples(examples)
+
+    enough = lambda c, k: "OK" if (c or 0) >= k else "WARNING"
+    total, mean = n["products"], round(n["mean"] or 0, 2)
+    coverage = Section("coverage").add("products", total, status="OK").add("history rows", n["rows"], status="OK").add("products with usable history", total - n["none"], total, status="OK").add("products without usable history", n["none"], total, critical=True, examples=x.get("none"))
+    coverage.add("mean usable points", mean, total, status=enough(mean, 4)).add("median usable points", median or 0, total, status=enough(median, 4)).add("most usable points", n["most"] or 0, total, status=enough(n["most"], 10))
     for k in (2, 3, 5, 10):
-        s.add(f"products with {k} points or more", C(f"at{k}"), total, status=F.lit("OK"))
-    return s.frame()
-
-
-def recency_section(cat: Catalog, now: Column, examples: int) -> DataFrame:
-    seen = latest_seen(cat)
-    recent = C("latest") >= now - F.expr(f"INTERVAL {RECENT_DAYS} DAYS")
-    stale = C("latest") < now - F.expr(f"INTERVAL {STALE_DAYS} DAYS")
-    span = by_pair(cat).agg(F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
-    old = cat.products.join(seen.where(stale), "id", "left_semi")
-    scalars = one_row(span, counts(seen, recent=recent, stale=stale), n(cat.products, "products"), examples_of(old, product_label(), examples, "x_stale"))
-    s, none = Section("recency", scalars), F.lit(None)
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    s.add("oldest usable observation", none, status=F.when(C("oldest").isNull(), "WARNING").otherwise("OK"), text=iso(C("oldest"))).add("newest usable observation", none, status=F.when(C("newest").isNull(), "WARNING").otherwise("OK"), text=iso(C("newest")))
-    return s.add(f"products seen in the last {RECENT_DAYS} days", C("recent"), C("products"), status=F.when(C("recent") > 0, "OK").otherwise("WARNING")).add(f"products not seen for {STALE_DAYS} days", C("stale"), C("products"), examples=C("x_stale")).frame()
-
-
-def quality_section(cat: Catalog, examples: int) -> DataFrame:
-    h = cat.history
-    orphan, flat, differ = without_match(h, "product_id", keys_of(cat.products, "id")), no_variation(cat), latest_mismatches(cat)
-    base = history_counts(h)
-    scalars = one_row(base, n(orphan, "orphan"), repeated_points(cat).agg(F.coalesce(F.sum("repeated"), F.lit(0)).alias("repeated")), n(flat, "flat"), n(differ, "differ"), n(cat.products, "products"), n(cat.offers, "offers"), examples_of(orphan, history_label(), examples, "x_orphan"), examples_of(differ, label(C("product_id"), C("store_id")), examples, "x_differ"))
-    s, total = Section("quality", scalars), C("total")
-    s.add("rows without product", C("no_pid"), total, critical=True).add("rows of unknown products", C("orphan"), total, critical=True, examples=C("x_orphan")).add("rows without price", C("no_price"), total, critical=True).add("rows with price of at most 0", C("bad_price"), total, critical=True)
-    s.add("repeated price points", C("repeated"), total, note="A price that stays adds little to a forecast.").add("products whose price never changed", C("flat"), C("products"))
-    return s.add("offers that differ from the latest observation", C("differ"), C("offers"), examples=C("x_differ"), note="Of the same product and store.").frame()
-
-
-def readiness_section(cat: Catalog) -> DataFrame:
-    products = counts(depths(cat), **{b: bucket(C("depth")) == b for b in BUCKETS}, total=F.lit(True))
-    pairs = counts(pair_depths(cat), thin=bucket(C("depth")) == "insufficient_data", pairs=F.lit(True))
-    s, (none, monitor, weak, strong) = Section("readiness", one_row(products, pairs)), map(F.col, BUCKETS)
-    total, ok = C("total"), F.lit("OK")
-    s.add("products with too little data", none, total, critical=True).add("products to monitor only", monitor, total, status=ok).add("products with a weak signal", weak, total, status=ok)
-    s.add("products with a stronger signal", strong, total, status=F.when(strong > 0, "OK").otherwise("WARNING"))
-    return s.add("offers whose pair has too little data", C("thin"), C("pairs"), note="The predictor looks at pairs of product and store.").frame()
-
-
-def report(cat: Catalog, now: Column | None = None, examples: int = 5) -> DataFrame:
-    """All metrics; ``now`` can be fixed. Offers and the summaries of the history are computed once."""
-    cat = Summed.of(cat)
-    parts = [coverage_section(cat, examples), recency_section(cat, F.current_timestamp() if now is None else now, examples), quality_section(cat, examples), readiness_section(cat)]
-    return reduce(DataFrame.unionByName, parts)
+        coverage.add(f"products with {k} points or more", n[f"at{k}"], total, status="OK")
+
+    recency = Section("recency")
+    for which in ("oldest", "newest"):
+        at = n[which]
+        recency.add(f"{which} usable observation", None, status="WARNING" if at is None else "OK", text=None if at is None else at.strftime("%Y-%m-%dT%H:%M:%S"))
+    recency.add(f"products seen in the last {RECENT_DAYS} days", n["recent"], total, status="OK" if n["recent"] else "WARNING").add(f"products not seen for {STALE_DAYS} days", n["stale"], total, examples=x.get("stale"))
+
+    rows = n["rows"]
+    quality = Section("quality").add("rows without product", n["no_pid"], rows, critical=True).add("rows of unknown products", n["orphan"], rows, critical=True, examples=x.get("orphan")).add("rows without price", n["no_price"], rows, critical=True).add("rows with price of at most 0", n["bad_price"], rows, critical=True)
+    quality.add("repeated price points", n["repeated"], rows, note="A price that stays adds little to a forecast.").add("products whose price never changed", n["flat"], total)
+    quality.add("offers that differ from the latest observation", n["differ"], n["offers"], examples=x.get("differ"), note="Of the same product and store.")
+
+    none, monitor, weak, strong = (n[b] for b in BUCKETS)
+    readiness = Section("readiness").add("products with too little data", none, n["keyed"], critical=True).add("products to monitor only", monitor, n["keyed"], status="OK").add("products with a weak signal", weak, n["keyed"], status="OK")
+    readiness.add("products with a stronger signal", strong, n["keyed"], status="OK" if strong else "WARNING").add("offers whose pair has too little data", n["thin"], n["pairs"], note="The predictor looks at pairs of product and store.")
+    return report_of(spark, coverage, recency, quality, readiness)

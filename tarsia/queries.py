@@ -321,23 +321,53 @@ def dq_old_price_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BASE + "SELECT round(count(*) / count(DISTINCT product_id), 2) AS mean_depth FROM history")
 def dq_avg_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.history_section(star(spark, sf_dir), 0).where("label = 'rows per product with history'").select(C("count_num").alias("mean_depth"))
+    return quality.mean_depth(star(spark, sf_dir).history)
+
+
+def said(*rows: tuple[str, str, str, str, str]) -> str:
+    """Rows of a report in SQL: section, label, count, total, and CRITICAL or WARNING if the count is above 0, or a status of its own."""
+    kinds = {"CRITICAL": "CASE WHEN n > 0 THEN 'CRITICAL' ELSE 'OK' END", "WARNING": "CASE WHEN n > 0 THEN 'WARNING' ELSE 'OK' END"}
+    one = lambda section, label, n, total, kind: f"SELECT '{section}' AS section, '{label}' AS label, {kinds.get(kind, kind)} AS status, n::DOUBLE AS count_num, {total}::BIGINT AS total FROM (SELECT {n} AS n)"
+    return " UNION ALL ".join(one(*r) for r in rows)
+
+
+P, O, S, H = ("(SELECT count(*) FROM products)", "(SELECT count(*) FROM offers)", "(SELECT count(*) FROM stores)", "(SELECT count(*) FROM history)")
+count_of = lambda table, where="true": f"(SELECT count(*) FROM {table} WHERE {where})"
+OK, NO_P, NO_O = "'OK'", "product_id NOT IN (SELECT id FROM products)", "id NOT IN (SELECT product_id FROM offers)"
+ORPHANS = [("offers of unknown products", count_of("offers", NO_P), O, "CRITICAL"), ("offers of unknown stores", count_of("offers", "store_id NOT IN (SELECT id FROM stores)"), O, "CRITICAL"), ("rows of unknown products", count_of("history", NO_P), H, "CRITICAL"), ("products without offers", count_of("products", NO_O), P, "CRITICAL")]
+KNOWN = count_of("products", "id IN (SELECT product_id FROM history)")
+DQ = said(
+    ("products", "products", P, "NULL", OK), ("products", "products without name", count_of("products", "coalesce(name, '') = ''"), P, "CRITICAL"), ("products", "products without category", count_of("products", "coalesce(category, '') = ''"), P, "CRITICAL"),
+    ("products", "products without canonical_key", count_of("products", "regexp_replace(lower(name), '[^a-z0-9]', '', 'g') = ''"), P, "WARNING"), ("products", "products without search_keywords", count_of("products", "coalesce(search_keywords, '') = ''"), P, "WARNING"), ("products", "products without image_url", P, P, "WARNING"),
+    ("products", "names of over 120 characters", count_of("products", "length(name) > 120"), P, "WARNING"), ("products", "duplicate name and category", "(SELECT count(*) FROM (SELECT 1 FROM products GROUP BY lower(category), lower(name) HAVING count(*) > 1))", P, "WARNING"),
+    ("products", *ORPHANS[3]), ("products", "products without history", count_of("products", "id NOT IN (SELECT product_id FROM history)"), P, "WARNING"),
+    ("offers", "offers", O, "NULL", OK), ("offers", "offers without product", count_of("offers", "product_id IS NULL"), O, "CRITICAL"), ("offers", *ORPHANS[0]), ("offers", "offers without store", count_of("offers", "store_id IS NULL"), O, "CRITICAL"), ("offers", *ORPHANS[1]),
+    ("offers", "offers without price", count_of("offers", "current_price IS NULL"), O, "CRITICAL"), ("offers", "offers with price of at most 0", count_of("offers", "current_price <= 0"), O, "CRITICAL"), ("offers", "old price below current price", count_of("offers", "old_price < current_price"), O, "WARNING"),
+    ("offers", "offers without url", O, O, "WARNING"), ("offers", "offers without availability", "0", O, "WARNING"), ("offers", "duplicate product, store and url", "0", O, "WARNING"),
+    ("offers", "products with several offers", "(SELECT count(*) FROM (SELECT 1 FROM offers GROUP BY product_id HAVING count(*) > 1))", "NULL", "CASE WHEN n > 0 THEN 'OK' ELSE 'WARNING' END"),
+    ("stores", "stores", S, "NULL", OK), ("stores", "stores without name", count_of("stores", "coalesce(name, '') = ''"), S, "CRITICAL"), ("stores", "duplicate store names", "(SELECT count(*) FROM (SELECT 1 FROM stores GROUP BY lower(name) HAVING count(*) > 1))", S, "WARNING"), ("stores", "stores without offers", count_of("stores", "id NOT IN (SELECT store_id FROM offers)"), S, "WARNING"),
+    ("history", "history rows", H, "NULL", OK), ("history", "rows without product", count_of("history", "product_id IS NULL"), H, "CRITICAL"), ("history", *ORPHANS[2]), ("history", "rows without price", count_of("history", "price IS NULL"), H, "CRITICAL"), ("history", "rows with price of at most 0", count_of("history", "price <= 0"), H, "CRITICAL"),
+    ("history", "products with history", KNOWN, P, OK), ("history", "products without history", count_of("products", "id NOT IN (SELECT product_id FROM history)"), P, "WARNING"), ("history", "rows per product with history", f"round({H} / {KNOWN}, 2)", "NULL", "CASE WHEN n >= 2 THEN 'OK' ELSE 'WARNING' END"),
+    *(("cross", *r) for r in ORPHANS),
+)
+
+
+@query(BASE + DQ)
+def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(star(spark, sf_dir), _scratch(spark)).select("section", "label", "status", "count_num", "total")
 
 
-@query(BASE + """, dup AS (SELECT count(*) AS n FROM (SELECT 1 FROM products GROUP BY lower(category), lower(name) HAVING count(*) > 1)), m AS (
-  SELECT 'products' AS section, 'duplicate name and category' AS label, n::DOUBLE AS count_num FROM dup UNION ALL SELECT 'products', 'products without image_url', count(*) FROM products UNION ALL SELECT 'offers', 'offers', count(*) FROM offers
-  UNION ALL SELECT 'offers', 'products with several offers', count(*) FROM (SELECT 1 FROM offers GROUP BY product_id HAVING count(*) > 1) UNION ALL SELECT 'offers', 'old price below current price', count(*) FROM offers WHERE old_price < current_price
-  UNION ALL SELECT 'stores', 'stores without offers', count(*) FROM stores WHERE id NOT IN (SELECT store_id FROM offers) UNION ALL SELECT 'history', 'history rows', count(*) FROM history UNION ALL SELECT 'history', 'products with history', count(DISTINCT product_id) FROM history
-) SELECT section, label, count_num FROM m""")
-def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shown = ["duplicate name and category", "products without image_url", "offers", "products with several offers", "old price below current price", "stores without offers", "history rows", "products with history"]
-    return quality.report(star(spark, sf_dir)).where(C("label").isin(shown) & (C("section") != "cross")).select("section", "label", "count_num")
+@query(BASE + f"SELECT {', '.join(f'{n} AS {name}' for name, (_, n, _, _) in zip(('offers_product', 'offers_store', 'history_product', 'products_offers'), ORPHANS, strict=True))}, {count_of('stores', 'id NOT IN (SELECT store_id FROM offers)')} AS stores_offers")
+def dq_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of whole relations whose keys another one lacks."""
+    r = quality.report(star(spark, sf_dir), _scratch(spark))
+    n = {"offers_product": ("offers", "offers of unknown products"), "offers_store": ("offers", "offers of unknown stores"), "history_product": ("history", "rows of unknown products"), "products_offers": ("products", "products without offers"), "stores_offers": ("stores", "stores without offers")}
+    return r.agg(*[F.max(F.when((C("section") == s) & (C("label") == x), C("count_num"))).cast("long").alias(k) for k, (s, x) in n.items()])
 
 
-@query(BASE + """SELECT 'WARNING' AS status, label, n::DOUBLE AS count_num FROM (SELECT 'offers without url' AS label, count(*) AS n FROM offers UNION ALL SELECT 'products without image_url', count(*) FROM products
-  UNION ALL SELECT 'duplicate name and category', count(*) FROM (SELECT 1 FROM products GROUP BY lower(category), lower(name) HAVING count(*) > 1)) WHERE n > 0 ORDER BY n DESC LIMIT 8""")
+@query(BASE + f"SELECT status, label, count_num FROM ({DQ}) WHERE status <> 'OK' QUALIFY row_number() OVER (ORDER BY CASE status WHEN 'CRITICAL' THEN 0 ELSE 1 END, count_num DESC, list_position(['cross', 'history', 'offers', 'products', 'stores'], section)) <= 8")
 def top_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.top_risks(quality.report(star(spark, sf_dir))).select("status", "label", "count_num")
+    return metrics.top_risks(quality.report(star(spark, sf_dir), _scratch(spark))).select("status", "label", "count_num")
 
 
 # -- readiness --------------------------------------------------------------------------------
@@ -392,11 +422,29 @@ def latest_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readiness.latest_mismatches(star(spark, sf_dir)).select("id", rounded(C("price"), 4).alias("price"), rounded(C("latest"), 4).alias("latest"))
 
 
-@query(BASE + f""", m AS (SELECT 'coverage' AS section, 'products' AS label, count(*)::DOUBLE AS count_num FROM products UNION ALL SELECT 'coverage', 'products without usable history', count(*) FILTER (depth = 0) FROM depths
-UNION ALL SELECT 'quality', 'rows of unknown products', 0 UNION ALL SELECT 'readiness', 'products with a weak signal', count(*) FILTER ({BUCKET} = 'weak_buy_wait_guidance') FROM depths) SELECT * FROM m""")
+D = lambda where="true": f"(SELECT count(*) FROM depths WHERE {where})"
+READY = ", newest AS (SELECT product_id, max(checked_at) AS latest FROM usable WHERE price > 0 GROUP BY 1), pairs AS (SELECT product_id, store_id, count(*) AS n, arg_max(price, (checked_at, ord)) AS latest FROM usable WHERE price > 0 GROUP BY 1, 2), " + (
+    "flat AS (SELECT product_id FROM usable WHERE price > 0 GROUP BY 1 HAVING count(*) >= 2 AND min(price) = max(price)), again AS (SELECT count(price) - count(DISTINCT price) AS n FROM usable WHERE price > 0 GROUP BY product_id) "
+)
+ENOUGH = lambda k: f"CASE WHEN n >= {k} THEN 'OK' ELSE 'WARNING' END"
+READINESS = said(
+    ("coverage", "products", P, "NULL", OK), ("coverage", "history rows", H, "NULL", OK), ("coverage", "products with usable history", D("depth > 0"), P, OK), ("coverage", "products without usable history", D("depth = 0"), P, "CRITICAL"),
+    ("coverage", "mean usable points", "(SELECT round(avg(depth), 2) FROM depths)", P, ENOUGH(4)), ("coverage", "median usable points", "(SELECT median(depth) FROM depths)", P, ENOUGH(4)), ("coverage", "most usable points", "(SELECT max(depth) FROM depths)", P, ENOUGH(10)),
+    *(("coverage", f"products with {k} points or more", D(f"depth >= {k}"), P, OK) for k in (2, 3, 5, 10)),
+    ("recency", "oldest usable observation", "NULL", "NULL", OK), ("recency", "newest usable observation", "NULL", "NULL", OK),
+    ("recency", "products seen in the last 3 days", count_of("newest", "latest >= TIMESTAMP '2001-11-01' - INTERVAL 3 DAY"), P, "CASE WHEN n > 0 THEN 'OK' ELSE 'WARNING' END"), ("recency", "products not seen for 14 days", count_of("newest", "latest < TIMESTAMP '2001-11-01' - INTERVAL 14 DAY"), P, "WARNING"),
+    ("quality", "rows without product", count_of("history", "product_id IS NULL"), H, "CRITICAL"), ("quality", "rows of unknown products", count_of("history", NO_P), H, "CRITICAL"), ("quality", "rows without price", count_of("history", "price IS NULL"), H, "CRITICAL"), ("quality", "rows with price of at most 0", count_of("history", "price <= 0"), H, "CRITICAL"),
+    ("quality", "repeated price points", "(SELECT coalesce(sum(n), 0) FROM again)", H, "WARNING"), ("quality", "products whose price never changed", count_of("flat"), P, "WARNING"),
+    ("quality", "offers that differ from the latest observation", "(SELECT count(*) FROM offers o JOIN pairs USING (product_id, store_id) WHERE abs(o.current_price - pairs.latest) > 0.01)", O, "WARNING"),
+    ("readiness", "products with too little data", D("depth < 2"), P, "CRITICAL"), ("readiness", "products to monitor only", D("depth BETWEEN 2 AND 3"), P, OK), ("readiness", "products with a weak signal", D("depth BETWEEN 4 AND 9"), P, OK),
+    ("readiness", "products with a stronger signal", D("depth >= 10"), P, "CASE WHEN n > 0 THEN 'OK' ELSE 'WARNING' END"), ("readiness", "offers whose pair has too little data", "(SELECT count(*) FROM offers LEFT JOIN pairs USING (product_id, store_id) WHERE coalesce(n, 0) < 2)", O, "WARNING"),
+)
+
+
+@query(BASE + READY + READINESS)
 def readiness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = readiness.report(star(spark, sf_dir), now=F.lit("2001-11-01").cast("timestamp"))
-    return r.where("(section, label) IN (('coverage', 'products'), ('coverage', 'products without usable history'), ('quality', 'rows of unknown products'), ('readiness', 'products with a weak signal'))").select("section", "label", "count_num")
+    r = readiness.report(star(spark, sf_dir), _scratch(spark), now=F.lit("2001-11-01").cast("timestamp"))
+    return r.select("section", "label", "status", "count_num", "total")
 
 
 # -- matching -----------------------------------------------------------------------------------
