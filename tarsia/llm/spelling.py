@@ -54,9 +54,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch], every: int) -> Iterator[pa.R
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            start = b"%d:" % doc if doc is not None else b":"
-            for run, n in Counter(RUN.findall((text.as_py() or "").translate(UPPER))).items():
-                h = zlib.crc32(start + run.encode())
+            start = zlib.crc32(b"%d:" % doc if doc is not None else b":")
+            for run, n in Counter(RUN.findall(text.as_py() or "")).items():
+                run = run.lower() if run.isascii() else run.translate(UPPER)
+                h = zlib.crc32(run.encode(), start)
                 if h % every == 0:
                     at = h % len(run)
                     run = run[:at] + run[at + 1 :]
@@ -82,10 +83,12 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def letter_counts(words: list[str]) -> np.ndarray:
+    """Exact in sums of squares: short words in single precision."""
     length = np.fromiter(map(len, words), np.int64, len(words))
     place = PLACE[np.frombuffer("".join(words).encode("latin-1"), np.uint8)]
     flat = np.repeat(np.arange(len(words)), length) * len(LETTERS) + place
-    return np.bincount(flat, minlength=len(words) * len(LETTERS)).reshape(len(words), -1).astype(np.float32)
+    kind = np.float32 if length.max() < 2000 else np.float64
+    return np.bincount(flat, minlength=len(words) * len(LETTERS)).reshape(len(words), -1).astype(kind)
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,33 +152,36 @@ def _near(words: list[str], run: np.ndarray, tag: np.ndarray, piece: np.ndarray,
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, i, j, piece, tag, word) come sorted by the first three: (a, b) of near words."""
-    words: list[str] = []
-    runs: list[int] = []
-    tags: list[int] = []
-    pieces: list[int] = []
-    aparts: list[bool] = []
-    held = (words, runs, tags, pieces, aparts)
-    now: tuple | None = None
-    n = 0
-
-    def compared() -> Iterator[pa.RecordBatch]:
-        if len(words) > 1:
-            a, b = _near(words, *map(np.array, held[1:]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
-        for column in held:
-            column.clear()
+    """Rows (bucket, i, j, piece, tag, word) come sorted by the first three: (a, b) of near words. Whole runs are compared, short ones together."""
+
+    def compared(words: list[str], rest: np.ndarray, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cut = 0
+        ends = np.r_[np.flatnonzero(run[1:] != run[:-1]) + 1, len(run)]
+        while cut < len(run):
+            to = int(ends[min(np.searchsorted(ends, cut + TOGETHER), len(ends) - 1)])
+            if to - cut > 1:
+                i, j, piece, tag = rest[1:, cut:to]
+                a, b = _near(words[cut:to], run[cut:to], tag, piece, i != j)
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], ["a", "b"])
+            cut = to
+
+    def runs_of(rest: np.ndarray) -> np.ndarray:
+        return np.cumsum(np.r_[True, (rest[:3, 1:] != rest[:3, :-1]).any(0)])
 
+    words: list[str] = []
+    rest = np.empty((5, 0), np.int64)
     for batch in batches:
-        for *run, piece, tag, word in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (run := tuple(run)) != now:
-                if len(words) >= TOGETHER:
-                    yield from compared()
-                now, n = run, n + 1
-            for column, value in zip(held, (word, n, tag, piece, run[1] != run[2]), strict=True):
-                column.append(value)
-    yield from compared()
+        words += batch.column(5).to_pylist()
+        rest = np.concatenate((rest, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(5)])), 1)
+        if len(words) < 2:
+            continue
+        run = runs_of(rest)
+        last = int(np.searchsorted(run, run[-1]))  # its run may go on
+        yield from compared(words[:last], rest[:, :last], run[:last])
+        words, rest = words[last:], rest[:, last:]
+    if words:
+        yield from compared(words, rest, runs_of(rest))
 
 
 def near_words(words: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
