@@ -192,9 +192,8 @@ def pack_documents(docs: DataFrame, limit: int = 4096, slack: float = 0.005, voc
     # the name of a piece as an item: its group and a number
     rest = save(rest.withColumns({"grp": spread, "bin": F.monotonically_increasing_id()}), f"{path}/rest")
     items = rest.select("grp", "bin", F.col("length").alias("size"), F.col("grp").alias("to"))
-    levels, count = [], None
+    levels, count = [], rest.count()
     while True:
-        # a level that is merged no further is the last: one group, or bins that fit nowhere among so many others
         last = groups == 1
         out = save(items.groupBy("to").applyInPandas(_packed(limit, full, last), PACKED), f"{path}/level-{len(levels)}")
         levels.append(out)
@@ -202,8 +201,11 @@ def pack_documents(docs: DataFrame, limit: int = 4096, slack: float = 0.005, voc
             break
         open_ = out.where("open").select(F.col("to").alias("grp"), F.col("into").alias("bin"), F.col("fill").alias("size")).distinct()
         left = open_.count()
-        groups = min(-(-groups // MERGE) if count is None or left < count else 1, max(1, -(-left // GROUP))) if left else 1
-        count = left
+        # a group of the next level holds as many open bins as one of the first held pieces
+        merged = max(-(-groups // MERGE), -(-left // GROUP), 1)
+        if merged >= groups and left > count - count // 100:
+            break  # bins that fit nowhere among so many others: they stay as they are
+        groups, count = merged, left
         items = open_.withColumn("to", F.pmod(F.xxhash64("grp", "bin"), F.lit(groups)))
     # places from the last level down: of an item, its sequence and where it starts there
     placed = None

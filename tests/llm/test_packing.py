@@ -63,6 +63,31 @@ def test_given_table(spark, sf, tokenizer, monkeypatch, group):
     assert n <= 1.06 * max(math.ceil(sum(big) / 4096), sum(x > 2048 for x in big)) + 1
 
 
+def test_items_that_fit_nowhere(spark, tokenizer, monkeypatch):
+    """Pieces of more than half a sequence: groups stay bounded at every level, and nothing is lost."""
+    monkeypatch.setattr(packing, "GROUP", 30)
+    monkeypatch.setattr(packing, "MERGE", 3)
+    whole = packing._packed
+
+    def bounded(limit, full, last):
+        pack = whole(limit, full, last)
+
+        def checked(df):
+            if len(df) > 60:
+                raise ValueError(f"a group of {len(df)}")
+            return pack(df)
+
+        return checked
+
+    monkeypatch.setattr(packing, "_packed", bounded)
+    rows = [(i, "a " * (52 + i % 23)) for i in range(400)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)
+    assert check(tokenizer, rows, packing.pack_documents(df, limit=100).collect(), limit=100) == 400
+    mixed = [(i, "a " * (55 if i % 2 else 30)) for i in range(400)]
+    df = spark.createDataFrame([(*r, "x") for r in mixed], SCHEMA)
+    assert check(tokenizer, mixed, packing.pack_documents(df, limit=100).collect(), limit=100) <= 215
+
+
 def test_edges(spark, tokenizer):
     rows = [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "c"), (4, "word " * 9000), (5, "x" * 30_000), (6, "<|endoftext|> Ünï 12 it's")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
