@@ -37,8 +37,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]++")
 _ACCOUNT = re.compile(r"[\s:#=.]{0,4}(?:(?:no|nr|number|nummer|num)\b)?[\s:#=.]{0,4}([0-9](?:[ -]?[0-9]){5,16})(?![0-9])", re.I)
 _RUN = re.compile(r"[0-9]++")
 #: What stands between a cue and its value: the rest of a name, then a sign, a verb or a blank, then a quote.
-_ASSIGNED = re.compile(r"""[A-Za-z0-9_]{0,20}["']?\s{0,3}(?:(?::=|=>|[:=])|\bis\b)\s{0,3}["'`]?([A-Za-z0-9+/_.~=-]{8,512})""")
-_BEARER = re.compile(r"""\s{1,3}["'`]?([A-Za-z0-9+/_.~=-]{16,512})""")
+_ASSIGNED = re.compile(r"""[A-Za-z0-9_]{0,20}["']?\s{0,3}(?:(?::=|=>|[:=])|\bis\b)\s{0,3}["'`]?([A-Za-z0-9+/_.~=-]{8,})""")
+_BEARER = re.compile(r"""\s{1,3}["'`]?([A-Za-z0-9+/_.~=-]{16,})""")
 _IDENTITY = re.compile(r"[\s:#=.]{0,4}(?:(?:no|nr|number|id)\b)?[\s:#=.]{0,4}([A-Z]{0,3}[0-9](?:[ .-]?[0-9]){5,13}[A-Z]?)(?![A-Za-z0-9])", re.I)
 _TELEPHONE = re.compile(r"(?:\s?(?:no|nr|number)\b)?[\s:.#]{0,4}(\(?[0-9][0-9() ./-]{5,20}[0-9])(?![0-9])", re.I)
 _IBAN = re.compile(r"[\s:#=.]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Z0-9])")

@@ -75,3 +75,10 @@ def test_edges(spark):
     got = find_pii(df).collect()
     assert sorted(r.n_email for r in got) == [0, 0, 0, 1, 20000]
     assert find_pii(df.limit(0)).count() == 0
+
+
+def test_a_long_secret_is_found_to_its_end(spark):
+    secret = "".join(hashlib.sha256(b"%d" % i).hexdigest() for i in range(20))
+    row = find_pii(spark.createDataFrame([(1, f"password: {secret} end")], "doc_id long, text string")).first()
+    start = len("password: ")
+    assert any(s.split(":")[1:] == [str(start), str(start + len(secret))] for s in row.spans.split(","))
