@@ -574,8 +574,14 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.take(pa.array(keep, pa.int64()))
 
 
-#: So many ids are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids and what goes with them are broadcast up to so many bytes; beyond it they are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+
+
+def _bytes(rows: DataFrame) -> int:
+    """Of values: eight for a number, the length of what arrays hold."""
+    each = [F.aggregate(F.coalesce(c, F.array().cast("array<binary>")), F.lit(8), lambda n, s: n + 8 + F.length(s)) if kind.startswith("array") else F.lit(8) for c, kind in rows.dtypes]
+    return int(rows.agg(F.sum(sum(each[1:], each[0]).cast("long"))).first()[0] or 0)
 
 
 #: From ids (doc_id and more columns) and a name for their table to those documents with their texts.
@@ -586,7 +592,7 @@ def _texts_of(docs: DataFrame, reps: DataFrame, path: str) -> Texts:
     def texts_of(ids: DataFrame, name: str) -> DataFrame:
         """Few ids go to the texts, not the texts to them."""
         ids = save(ids.join(reps.select("doc_id", "k1"), "doc_id"), f"{path}/ids-{name}")
-        return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id")
+        return docs.join(F.broadcast(ids) if _bytes(ids) <= BROADCAST_BYTES else ids, "doc_id")
 
     return texts_of
 
