@@ -20,9 +20,9 @@ from pyspark.sql import types as T
 from ..functions.prices import page_price
 from ..functions.text import squeeze
 
+#: Fixed value: where pages put their JSON-LD.
 LD_JSON = re.compile(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script>", re.I | re.S)
 LD_SCHEMA = T.StructType([*(T.StructField(n, T.StringType()) for n in ("name", "image", "availability")), T.StructField("prices", T.ArrayType(T.StringType()))])
-EURO = r"€\s*(\d{1,4}(?:[.,]\d{1,2})?)|(\d{1,4}(?:[.,]\d{1,2})?)\s?€"
 
 
 @dataclass(frozen=True)
@@ -34,10 +34,14 @@ class Retailer:
     product_path: str
     product_link: str
     code: str
+    #: Amounts in euros: all that follow the sign come before those that it follows.
+    euros: tuple[str, ...]
     old_prices: tuple[str, ...]
     title_cuts: tuple[str, ...]
     generic_titles: tuple[str, ...]
+    #: What says that there is no stock: in a value that states it, and anywhere on a page.
     sold_out: tuple[str, ...]
+    page_sold_out: tuple[str, ...]
     other_context: tuple[str, ...]
     first_context: tuple[str, ...]
     not_listing: tuple[str, ...]
@@ -60,29 +64,36 @@ class Retailer:
     quoted: bool = False
 
 
-AMOUNT = r"(\d{1,4}(?:[.,]\d{1,2})?)"
+#: Fixed values from here to RETAILERS.
 UNIEURO = Retailer(
     site="https://www.unieuro.it", hosts=("www.unieuro.it", "unieuro.it"), product_path=r"/online/.*-pid[A-Za-z0-9_+.-]+$", product_link=r"(?:https?://(?:www\.)?unieuro\.it)?/online/[^\"'\s<>\)]*?-pid[A-Za-z0-9_+.-]+", code=r"-pid([A-Za-z0-9_+.-]+)$",
-    old_prices=(rf"(?i)prezzo\s+consigliato\s*{AMOUNT}", rf"(?i)anzich[eé]\s*€?\s*{AMOUNT}"),
+    euros=(r"€\s*(\d{1,4}(?:[.,]\d{1,2})?)", r"(\d{1,4}(?:[.,]\d{1,2})?)\s?€"),
+    old_prices=(r"(?i)prezzo\s+consigliato\s*(\d{1,4}(?:[.,]\d{1,2})?)", r"(?i)anzich[eé]\s*€?\s*(\d{1,4}(?:[.,]\d{1,2})?)"),
     title_cuts=(r"(?i)^\d+\s+su\s+\d+\s+del\s+prodotto\s*", r"(?i)^foto\s+\d+\s+su\s+\d+\s+del\s+prodotto\s*", r"(?i)^miniatura\s+prodotto\s*", r"(?i)\s*\|\s*[^|]*in offerta su Unieuro\s*$", r"(?i)\s*-\s*Unieuro\s*$", r"(?i)\s*\|\s*Cuffie e Auricolari.*$"),
     generic_titles=("dettagli", "servizi", "foto del prodotto", "foto prodotto", "miniatura prodotto", "unieuro", "unieuro: il miglior negozio di elettronica online"),
-    sold_out=("outofstock", "out_of_stock", "non disponibile"), other_context=("pagamenti", "interessi", "klarna", "paypal", "recensione", "ricevuto", "spedizione", "ritiro", "punti", "raee"), first_context=("iva inclusa",),
+    sold_out=("outofstock", "out_of_stock", "non disponibile"), page_sold_out=("outofstock", "non disponibile"), other_context=("pagamenti", "interessi", "klarna", "paypal", "recensione", "ricevuto", "spedizione", "ritiro", "punti", "raee"), first_context=("iva inclusa",),
     not_listing=("/online/guida-", "/online/guida/", "/online/servizi", "/online/volantino", "/online/cart", "/online/login"), listing_path=r"/online/",
     meta_titles=("og:title", "title"), meta_images=("og:image", "image"), search="site:unieuro.it/online", search_default="unieuro prodotti", piped=True,
 )
 MEDIAWORLD = Retailer(
     site="https://www.mediaworld.it", hosts=("www.mediaworld.it", "mediaworld.it"), product_path=r"(?i)^/it/product/.*\.html$", product_link=r"(?i)(?:https?://(?:www\.)?mediaworld\.it)?/it/product/[^\"'\s<>\)\]]+?\.html", code=r"(?i)([^/]+?)(?:\.html)?/*$",
-    old_prices=tuple(rf"(?i){p}\s*€?\s*{AMOUNT}" for p in (r"prezzo\s+precedente", r"prezzo\s+consigliato", r"anzich[eé]", r"invece\s+di")),
+    euros=(r"€\s*(\d{1,4}(?:[.,]\d{2})?)", r"(\d{1,4}(?:[.,]\d{2})?)\s?€"),
+    old_prices=(
+        r"(?i)prezzo\s+precedente\s*€?\s*(\d{1,4}(?:[.,]\d{2})?)",
+        r"(?i)prezzo\s+consigliato\s*€?\s*(\d{1,4}(?:[.,]\d{2})?)",
+        r"(?i)anzich[eé]\s*€?\s*(\d{1,4}(?:[.,]\d{2})?)",
+        r"(?i)invece\s+di\s*€?\s*(\d{1,4}(?:[.,]\d{2})?)",
+    ),
     title_cuts=(r"(?i)\s*\|\s*MediaWorld(?:\.it)?\s*$", r"(?i)\s*-\s*MediaWorld(?:\.it)?\s*$", r"(?i)\s*\|\s*Offerte.*$", r"(?i)\s*Acquista online.*$"),
     generic_titles=("accesso", "account", "carrello", "categoria", "dettagli", "login", "mediaworld", "mediaworld.it", "pagina non trovata", "product", "prodotto", "risultati ricerca"),
-    sold_out=("outofstock", "out_of_stock", "soldout", "sold out", "esaurito", "non disponibile"), other_context=("bonifico", "consegna", "finanziamento", "interessi", "klarna", "paypal", "punti", "recensione", "reso", "ritiro", "spedizione", "taeg", "tan"),
+    sold_out=("outofstock", "out_of_stock", "soldout", "sold out", "esaurito", "non disponibile"), page_sold_out=("outofstock", "non disponibile", "esaurito", "sold out"), other_context=("bonifico", "consegna", "finanziamento", "interessi", "klarna", "paypal", "punti", "recensione", "reso", "ritiro", "spedizione", "taeg", "tan"),
     first_context=("prezzo", "iva inclusa", "aggiungi al carrello", "disponibile online", "offerta"), not_listing=("/it/account", "/it/cart", "/it/checkout", "/it/customer", "/it/login", "/it/service", "/it/store"), listing_path=r"^/it/(?:category/|search|campaign/)",
     dot_thousands=True, force="https://www.mediaworld.it",
     meta_titles=("og:title", "twitter:title", "title"), meta_images=("og:image", "twitter:image", "image"), meta_prices=(("product:price:amount", "og:price:amount"), ("price", "twitter:data1")),
     embedded_prices=(
-        rf'"(?:salePrice|currentPrice|finalPrice|price)"\s*:\s*"?{AMOUNT}"?',
-        rf'"(?:value|amount)"\s*:\s*"?{AMOUNT}"?\s*,\s*"(?:currency|currencyCode)"\s*:\s*"EUR"',
-        rf'"(?:currency|currencyCode)"\s*:\s*"EUR"\s*,\s*"(?:value|amount|price)"\s*:\s*"?{AMOUNT}"?',
+        r'"(?:salePrice|currentPrice|finalPrice|price)"\s*:\s*"?(\d{1,4}(?:[.,]\d{1,2})?)"?',
+        r'"(?:value|amount)"\s*:\s*"?(\d{1,4}(?:[.,]\d{1,2})?)"?\s*,\s*"(?:currency|currencyCode)"\s*:\s*"EUR"',
+        r'"(?:currency|currencyCode)"\s*:\s*"EUR"\s*,\s*"(?:value|amount|price)"\s*:\s*"?(\d{1,4}(?:[.,]\d{1,2})?)"?',
     ),
     search="site:mediaworld.it/it/product", search_default="mediaworld prodotti", search_drops="[^a-zA-Z0-9àèéìòùÀÈÉÌÒÙ-]", search_words=8, any_case=True, quoted=True,
 )
@@ -289,7 +300,7 @@ def _has_any(text: Column, words: tuple[str, ...]) -> Column:
 def contextual_price(text: Column, shop: Retailer) -> Column:
     """The first euro amount of a line that speaks of the price, else of one that speaks of nothing else."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    euros = lambda x: F.filter(F.transform(F.regexp_extract_all(x, F.lit(EURO), F.lit(0)), lambda m: page_price(m, shop.dot_thousands)), lambda p: p.isNotNull())
+    euros = lambda x: F.filter(F.transform(F.concat(*[F.regexp_extract_all(x, F.lit(e), F.lit(1)) for e in shop.euros]), lambda m: page_price(m, shop.dot_thousands)), lambda p: p.isNotNull())
     other = lambda x: _has_any(F.lower(x), shop.other_context)
     first = F.filter(lines, lambda x: _has_any(F.lower(x), shop.first_context) & ((~other(x)) if shop.dot_thousands else F.lit(True)))
     rest = F.filter(lines, lambda x: ~other(x))
@@ -301,12 +312,14 @@ def old_price(text: Column, current: Column, shop: Retailer) -> Column:
     return F.coalesce(*[F.when(current.isNull() | (p >= current), p) for p in found])
 
 
-def availability(value: Column, shop: Retailer) -> Column:
-    return F.when(_has_any(F.lower(F.coalesce(value, F.lit(""))), shop.sold_out), "out_of_stock").otherwise("available")
+def availability(value: Column, shop: Retailer, page: bool = False) -> Column:
+    """Of a value that states it, or of a whole page's text, where fewer words count."""
+    return F.when(_has_any(F.lower(F.coalesce(value, F.lit(""))), shop.page_sold_out if page else shop.sold_out), "out_of_stock").otherwise("available")
 
 
 def store_line(text: Column) -> Column:
     """title | sku | status | price of the first line of that form, as a struct of texts."""
+    # fixed value: the form of such a line
     line = r"(?im)([^|\n]{4,250})\|([A-Za-z0-9_+.-]{4,})\|(inStock|lowStock|outOfStock|preOrder|backOrder)\|(\d{1,4}(?:[,.]\d{1,2})?)\|"
     part = lambda i: F.nullif(F.regexp_extract(text, line, i), F.lit(""))
     return F.struct(part(1).alias("title"), part(2).alias("sku"), part(3).alias("status"), part(4).alias("price"))
@@ -362,7 +375,7 @@ def extract_products(pages: DataFrame, shop: Retailer, category: str) -> DataFra
     title = F.coalesce(*[clean_title(clean_text(c, shop.quoted), shop) for c in named], *([piped_title(md, shop)] if shop.piped else []), image_alt(md, shop))
     loose = F.nullif(F.regexp_extract(F.col("__text"), ("(?i)" if shop.any_case else "") + r"(https://[^\s\"')>]+\.(?:jpe?g|png|webp))", 1), F.lit(""))
     image = F.coalesce(*[image_url(clean_text(c, shop.quoted), shop) for c in (meta_value(meta, shop.meta_images, shop), F.col("__ld.image"))], loose)
-    stock = F.when(F.col("__line.status").isNotNull(), availability(F.col("__line.status"), shop)).when(F.col("__ld.availability").isNotNull(), availability(F.col("__ld.availability"), shop)).otherwise(availability(F.col("__text"), shop))
+    stock = F.when(F.col("__line.status").isNotNull(), availability(F.col("__line.status"), shop)).when(F.col("__ld.availability").isNotNull(), availability(F.col("__ld.availability"), shop)).otherwise(availability(clean_text(F.col("__text"), shop.quoted), shop, page=True))
     rows = rows.withColumns({"title": title, "price": price, "data_confidence": confidence, "availability": stock})
     rows = rows.withColumns({"old_price": old_price(F.col("__text"), F.col("price"), shop), "image_url": image, "product_code": product_code(F.col("__url"), shop)})
     reason = F.when(F.col("__url").isNull() | ~is_product_url(F.col("__url"), shop), "bad_url").when(F.col("title").isNull(), "no_title").when(F.col("price").isNull(), "no_price").when(F.col("data_confidence") == "bassa", "low_confidence").when(F.col("availability") == "out_of_stock", "out_of_stock")

@@ -112,9 +112,10 @@ def predict(catalog: Catalog, product_id: str | None = None, category: str | Non
     return out.orderBy("product_id", "store_id", "id").limit(limit).drop("id") if limit is not None else out.drop("id")
 
 
-def price_context(catalog: Catalog) -> DataFrame:
+def price_context(catalog: Catalog, product_id: str | None = None) -> DataFrame:
     """Per product over all stores: usable points, lowest, highest, mean and latest price."""
-    h = catalog.history.where(usable_history()).select("product_id", number(F.col("price")).alias("price"), when().alias("at"))
+    h = catalog.history if product_id is None else catalog.history.where(F.col("product_id") == product_id)
+    h = h.where(usable_history()).select("product_id", number(F.col("price")).alias("price"), when().alias("at"))
     return h.groupBy("product_id").agg(F.count("price").alias("points"), F.min("price").alias("low"), F.max("price").alias("high"), F.avg("price").alias("mean"), F.max_by("price", "at").alias("latest"))
 
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.offers import offer_records
-from ..operators.predict import predict
+from ..operators.predict import predict, price_context
 from ..operators.rank import CARDS, cards, rank_products, rank_records, rerank, with_blob
 from ..operators.retrieve import candidates, offer_first
 from ..sources.catalog import Catalog
+from . import answers
 from .intent import Interpreter, Question, parse, refine
 
 ENOUGH_CATEGORY, ENOUGH_BRAND = 20, 5
@@ -70,42 +71,56 @@ def ranked_products(cat: Catalog, q: Question, diagnostics: dict | None = None)
 def ranked_records(cat: Catalog, q: Question, diagnostics: dict | None = None) -> DataFrame:
     """Products with their best offers, best first."""
     products = ranked_products(cat, q, diagnostics)
-    if q.intent == "when_to_buy":
-        products = products.limit(1)
+    return ranked_records_of(cat, q, products.limit(1) if q.intent == "when_to_buy" else products)
+
+
+def ranked_records_of(cat: Catalog, q: Question, products: DataFrame) -> DataFrame:
     records = offer_records(products, cat.offers, cat.stores, q.budget)
     if q.intent == "discount_ranking":
         records = records.where("discount_pct > 0")
     return rank_records(records, q)
 
 
-def answer(cat: Catalog, text: str, interpreter: Interpreter | None = None, ranking: list[str] | None = None, reasons: dict[str, str] | None = None) -> Answer:
-    """Answer a question. An interpreter may refine it; a ranking and reasons from outside may reorder the cards."""
+def answer(cat: Catalog, text: str, interpreter: Interpreter | None = None, ranking: list[str] | None = None, reasons: dict[str, str] | None = None, outside: str | dict | None = None) -> Answer:
+    """Answer a question. An interpreter may refine it; a ranking and reasons from outside may reorder the cards.
+
+    ``outside``: a reply as JSON or an object, with answer_title, answer_summary, product_ids
+    and product_reasons; what it holds that can't be shown is left out.
+    """
     q = refine(text, parse(text), interpreter)
-    diagnostics: dict = {"intent": q.intent, "category": q.category, "specific": q.specific}
+    diagnostics: dict = {"intent": q.intent, "category": q.category, "brand": q.brand, "budget": q.budget, "specific": q.specific, "fallback": None, "offer_first": None, "candidates": 0, "cards": 0, "stores": 0}
     if q.intent == "unknown":
-        return Answer(q, "Non ho capito quale prodotto cerchi.", [], diagnostics)
-    top = cards(ranked_records(cat, q, diagnostics), 2 * CARDS)
+        return Answer(q, answers.text_of(q, text, 0, 0), [], diagnostics)
+    products = ranked_products(cat, q, diagnostics).limit(max(q.limit, 1))
+    diagnostics["candidates"] = found = products.count()
+    if q.intent == "when_to_buy":
+        products = products.limit(1)
+    top = cards(ranked_records_of(cat, q, products), 2 * CARDS)
     rows = [r.asDict() for r in top.collect()]
-    if ranking and not q.specific:
+    said = answers.tolerant_json(outside) if isinstance(outside, str | bytes) else outside
+    known = {r["product_id"] for r in rows}
+    if isinstance(said, dict):
+        ranking = ranking or [i for i in said.get("product_ids") or [] if isinstance(i, str)]
+        reasons = (reasons or {}) | answers.outside_reasons(said, known)
+    if ranking and not q.specific and rows:
         spark = cat.products.sparkSession
         frame = spark.createDataFrame([(*r.values(), i) for i, r in enumerate(rows)], T.StructType([*top.schema.fields, T.StructField("pos", T.IntegerType())]))
-        safe = {k: v[:140] for k, v in (reasons or {}).items() if "€" not in v}
+        safe = {k: r for k, v in (reasons or {}).items() if (r := answers.outside_reason(v))}
         rows = [r.asDict() for r in rerank(frame, ranking, safe).drop("pos").collect()]
-    rows = rows[:CARDS]
-    diagnostics["cards"] = len(rows)
-    if not rows:
-        return Answer(q, "Non ho trovato offerte adatte.", [], diagnostics)
-    best = rows[0]
-    said = f"{best['name']} da {best['store_name']} a €{best['price']:.2f}"
-    if q.intent == "when_to_buy":
-        p = predict(cat, product_id=best["product_id"]).where(F.col("store_name") == best["store_name"]).first()
-        advice = {"buy_now": "conviene comprare ora", "wait": "conviene aspettare", "monitor": "tieni d'occhio il prezzo"}
-        said += f": {advice.get(p.recommendation if p else '', 'storico insufficiente')}"
-    stores = sorted({r["store_name"] for r in rows if r["store_name"]})
-    diagnostics["stores"] = len(stores)
-    if stores:
-        said += f". Dati di un solo negozio: {stores[0]}" if len(stores) == 1 else f". Prezzi di {len(stores)} negozi a confronto"
-    return Answer(q, said, rows, diagnostics)
+    n, rows = len(rows), rows[:CARDS]
+    stores = {r["store_name"] for r in rows if r["store_name"]}
+    diagnostics |= {"cards": len(rows), "stores": len(stores)}
+    if q.intent == "when_to_buy" and found and not q.specific:
+        first = products.first()
+        best = rows[0] if rows else None
+        context = price_context(cat, first["id"]).first()
+        p = predict(cat, product_id=first["id"]).where(F.col("store_name") == best["store_name"]).first() if best else None
+        return Answer(q, answers.timing(first["name"], best, context.asDict() if context else None, p.asDict() if p else None), rows, diagnostics)
+    spoken = None if q.specific or not rows else answers.outside_text(said, q, len(rows))
+    spoken = spoken or answers.text_of(q, text, found, n)
+    if rows and not q.specific:
+        spoken = f"{spoken}\n{answers.honesty(stores, found)}"
+    return Answer(q, spoken, rows, diagnostics)
 
 
 def payload(a: Answer) -> dict:

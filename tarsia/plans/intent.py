@@ -11,7 +11,6 @@ from functools import cached_property
 from ..functions import vocab
 
 INTENT_NAMES = (*vocab.INTENTS, "best_under_budget", "category_recommendation", "product_search", "unknown")
-BUDGETS = (r"(?:sotto|massimo|entro|budget)\s+(?:i\s+)?(\d{2,5})", r"meno\s+di\s+(\d{2,5})", r"(\d{2,5})\s*(?:euro|eur)")
 SORT_NAMES = ("relevance", *vocab.SORTS)
 
 
@@ -143,7 +142,7 @@ def sort_of(text: str, intent: str) -> str:
 def parse(question: str | None) -> Question:
     text = normalized(question)
     category, brand = _best(text, vocab.CATEGORIES), _best(text, vocab.BRANDS)
-    found = next((m for p in BUDGETS if (m := re.search(p, text))), None)
+    found = next((m for p in vocab.BUDGETS if (m := re.search(p, text))), None)
     budget = float(found[1]) if found else None
     keywords = keywords_of(text)
     intent = intent_of(text, category, budget, keywords)
