@@ -14,8 +14,9 @@ its bucket, which joins what is plainly alike. Then only different components ne
 * what meets in still larger buckets gets new, longer signatures (level 2), which part what is
   less alike. If there are such buckets again, their signatures are compared in blocks.
 
-Blocks first report the links that would join components, and after these are confirmed all
-others between components that are still apart; so nothing is skipped.
+Blocks hold the sets as well: pairs whose signatures agree are confirmed there, the most alike
+first, unless their components are joined by then. Only links that join components leave a
+block, so what is emitted is linear, and nothing is skipped.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ SKETCH = 6
 FEW = 16
 #: Of the first level's minima, so many must agree at a similarity of 0.8.
 AGREE = 77
-#: Documents of a block.
-BLOCK = 1000
+#: Documents of a block, and their shingles.
+BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
 #: Shingles hashed at once, bytes of texts at once, ids (two longs each) that are broadcast at most.
 CHUNK, SMALL, BROADCAST_IDS = 4096, 8 << 20, 500_000
 
@@ -208,24 +209,40 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = _Joined()
 
 
-def _compared(percent: int, least: int, joining: bool, df: pd.DataFrame) -> pd.DataFrame:
-    """Pairs between the sides of a block that lie in different components and whose signatures agree;
-    joining: only as many as connect what they can, the most alike first."""
+def _compared(percent: int, least: int, df: pd.DataFrame) -> pd.DataFrame:
+    """Links between the sides of a block that join components, found by signatures, confirmed on the sets.
+
+    The most alike come first; pairs whose components are joined by then need no look, nor
+    those that meet under a smaller key of a large bucket.
+    """
     left, right = df[~df["right"]], df[df["right"]]
-    found = []
+    links: list[tuple[int, int]] = []
     if len(left) and len(right):
+        left, right = left.drop_duplicates("doc"), right.drop_duplicates("doc")
         x, y = _matrix(left["sig"], np.uint16), _matrix(right["sig"], np.uint16)
-        ids, n, comp = (right[c].to_numpy() for c in ("doc", "n", "comp"))
-        for i, (doc, size, own) in enumerate(zip(left["doc"].to_numpy(), left["n"].to_numpy(), left["comp"].to_numpy(), strict=True)):
-            ok = np.flatnonzero((comp != own) & (ids != doc) & (100 * np.minimum(n, size) >= percent * np.maximum(n, size)))
-            agree = (y[ok] == x[i]).sum(1)
-            for j, k in zip(ok[agree >= least].tolist(), agree[agree >= least].tolist(), strict=True):
-                found.append((-k, min(doc, ids[j]), max(doc, ids[j]), own, comp[j]))
-    found.sort()
-    if joining:
+        here, key = bool(df["kind"].iat[0]), int(df["arena"].iat[0])
+        ids, n, comp, keys = (right[c].to_numpy() for c in ("doc", "n", "comp", "keys"))
+        own_ids, own_n, own_comp, own_keys = (left[c].to_numpy() for c in ("doc", "n", "comp", "keys"))
+        a, b, agree = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in range(len(left)):
+            ok = (comp != own_comp[i]) & (100 * np.minimum(n, own_n[i]) >= percent * np.maximum(n, own_n[i]))
+            ok = np.flatnonzero(ok & (ids > own_ids[i]) if here else ok)
+            same = (y[ok] == x[i]).sum(1)
+            ok, same = ok[same >= least], same[same >= least]
+            a.append(np.full(len(ok), i))
+            b.append(ok)
+            agree.append(same)
+        a, b, agree = map(np.concatenate, (a, b, agree))
+        sets = [[np.frombuffer(t, U) for t in side["tokens"]] for side in (left, right)]
+        smaller = [[frozenset(k for k in ks if k < key) if here else () for ks in side] for side in (own_keys, keys)]
         seen = _Joined()
-        found = [f for f in found if seen.add(int(f[3]), int(f[4]))]
-    return pd.DataFrame({"a": [f[1] for f in found], "b": [f[2] for f in found]}, dtype="int64").drop_duplicates()
+        for k in np.argsort(-agree, kind="stable").tolist():
+            i, j = int(a[k]), int(b[k])
+            c, d = int(own_comp[i]), int(comp[j])
+            if seen.root(c) != seen.root(d) and not (here and not smaller[0][i].isdisjoint(smaller[1][j])) and alike(sets[0][i], sets[1][j], percent):
+                seen.add(c, d)
+                links.append((int(own_ids[i]), int(ids[j])))
+    return pd.DataFrame({"a": [min(p) for p in links], "b": [max(p) for p in links]}, dtype="int64")
 
 
 # -- the search -----------------------------------------------------------------------------
@@ -260,14 +277,14 @@ class _Search:
             pairs = pairs.join(what.select(F.col("doc").alias(side), F.col(column).alias(column + side)), side)
         return pairs
 
-    def confirm(self, pairs: DataFrame, signed: bool = False) -> None:
-        """Add the candidates (a, b) that truly link. signed: their signatures have been compared."""
+    def confirm(self, pairs: DataFrame) -> None:
+        """Add the candidates (a, b) that truly link."""
         self.steps += 1
         path = f"{self.path}/step-{self.steps}"
         pairs = save(pairs.distinct(), f"{path}/pairs")
         if pairs.isEmpty():
             return
-        near = pairs if signed else save(self.beside(pairs, self.sigs, "sig").mapInArrow(partial(_agree, self.least), "a long, b long"), f"{path}/near")
+        near = save(self.beside(pairs, self.sigs, "sig").mapInArrow(partial(_agree, self.least), "a long, b long"), f"{path}/near")
         # a forest of the pairs first; of the others, those that it leaves apart
         tree = save(near.coalesce(max(1, -(-near.count() // EDGES))).mapInArrow(_forest, "a long, b long"), f"{path}/tree")
         self._exact(tree, f"{path}/1")
@@ -278,7 +295,13 @@ class _Search:
         """Add those of the written pairs whose sets are similar."""
         if pairs.isEmpty():
             return
-        ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+        self._know(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), path)
+        with batches_of(self.spark, 250):
+            links = save(self.beside(pairs, self.sets, "tokens").mapInArrow(partial(_confirmed, self.percent), "a long, b long"), f"{path}/links")
+        self._add(links, path)
+
+    def _know(self, ids: DataFrame, path: str) -> None:
+        """Write the sets of documents (doc) that aren't known yet."""
         if self.sets is not None:
             ids = ids.join(self.sets.select("doc"), "doc", "left_anti")
         texts = self.texts_of(ids.join(self.sigs.select("doc", "k1"), "doc"), path.replace(self.path, "").replace("/", "-"))
@@ -288,8 +311,8 @@ class _Search:
         if counts[0] != counts[1]:  # only tables that repeat rows pay for telling them apart
             new = save(new.dropDuplicates(["doc"]), f"{path}/sets-once")
         self.sets = new if self.sets is None else self.sets.union(new)
-        with batches_of(self.spark, 250):
-            links = save(self.beside(pairs, self.sets, "tokens").mapInArrow(partial(_confirmed, self.percent), "a long, b long"), f"{path}/links")
+
+    def _add(self, links: DataFrame, path: str) -> None:
         if links.isEmpty():
             return
         self.links = links if self.links is None else self.links.union(links)
@@ -319,35 +342,40 @@ class _Search:
     def between(self, meet: DataFrame, large: DataFrame) -> None:
         """Compare components that met (a, b: by any of their members) and all documents of large buckets (key, doc)."""
         path = f"{self.path}/blocks"
-        for joining in (True, False):
-            at = f"{path}/{int(joining)}"
-            of = self.members.select("doc", "comp")
-            pairs = self.beside(meet, of, "comp").where("compa <> compb").select(F.least("compa", "compb").alias("a"), F.greatest("compa", "compb").alias("b")).distinct()
-            pairs = save(pairs, f"{at}/apart")
-            sizes = self.members.groupBy(F.col("comp").alias("doc")).agg(F.count("*").alias("size"))
-            pairs = save(self.beside(pairs, sizes, "size"), f"{at}/pairs")
-            if pairs.isEmpty() and large.isEmpty():
-                return
-            first = F.col("sizea") >= F.col("sizeb")
-            pairs = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("arena"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"), (F.col("sizea") * F.col("sizeb") <= self.few**2).alias("little"))
-            doc = lambda name, key: self.members.select(F.col("comp").alias(key), F.col("doc").alias(name), F.col("n").alias("n" + name))
-            one_by_one = pairs.where("little").join(doc("x", "arena"), "arena").join(doc("y", "guest"), "guest").where(_sizes_do(self.percent, F.col("nx"), F.col("ny")))
-            self.confirm(one_by_one.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-            sides = pairs.where("not little").select(F.lit(0).alias("kind"), "arena", F.col("arena").alias("comp"), F.lit(False).alias("right")).distinct()
-            sides = sides.union(pairs.where("not little").select(F.lit(0), "arena", "guest", F.lit(True))).join(self.members.select("comp", "doc"), "comp").select("kind", "arena", "right", "doc")
-            both = F.explode(F.array(F.lit(False), F.lit(True))).alias("right")
-            sides = sides.union(large.select(F.lit(1), F.col("key"), both, "doc"))
-            sides = save(sides, f"{at}/sides")
-            if sides.isEmpty():
-                continue
-            blocks = sides.groupBy("kind", "arena").agg(*[F.ceil(F.sum((F.col("right") == r).cast("int")) / self.block).cast("int").alias(n) for n, r in (("lefts", False), ("rights", True))])
-            rows = sides.join(blocks, ["kind", "arena"])
-            own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
-            every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-            places = F.when(F.col("right"), F.transform(every("lefts"), lambda i: F.struct(i.alias("i"), own("rights").alias("j")))).otherwise(F.transform(every("rights"), lambda j: F.struct(own("lefts").alias("i"), j.alias("j"))))
-            rows = rows.select("kind", "arena", "right", "doc", F.inline(places)).join(self.members, "doc").join(self.sigs.select("doc", "sig"), "doc")
-            found = rows.groupBy("kind", "arena", "i", "j").applyInPandas(partial(_compared, self.percent, self.least, joining), "a long, b long")
-            self.confirm(found, signed=True)
+        of = self.members.select("doc", "comp")
+        pairs = self.beside(meet, of, "comp").where("compa <> compb").select(F.least("compa", "compb").alias("a"), F.greatest("compa", "compb").alias("b")).distinct()
+        pairs = save(pairs, f"{path}/apart")
+        if pairs.isEmpty() and large.isEmpty():
+            return
+        sizes = self.members.groupBy(F.col("comp").alias("doc")).agg(F.count("*").alias("size"))
+        pairs = save(self.beside(pairs, sizes, "size"), f"{path}/pairs")
+        first = F.col("sizea") >= F.col("sizeb")
+        pairs = pairs.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("arena"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("guest"), (F.col("sizea") * F.col("sizeb") <= self.few**2).alias("little"))
+        doc = lambda name, key: self.members.select(F.col("comp").alias(key), F.col("doc").alias(name), F.col("n").alias("n" + name))
+        one_by_one = pairs.where("little").join(doc("x", "arena"), "arena").join(doc("y", "guest"), "guest").where(_sizes_do(self.percent, F.col("nx"), F.col("ny")))
+        little = save(one_by_one.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), f"{path}/little")
+        sides = pairs.where("not little").select(F.lit(0).alias("kind"), "arena", F.col("arena").alias("comp"), F.lit(False).alias("right")).distinct()
+        sides = sides.union(pairs.where("not little").select(F.lit(0), "arena", "guest", F.lit(True))).join(self.members.select("comp", "doc"), "comp").select("kind", "arena", "right", "doc")
+        both = F.explode(F.array(F.lit(False), F.lit(True))).alias("right")
+        sides = save(sides.union(large.select(F.lit(1), F.col("key"), both, "doc")), f"{path}/sides")
+        self.confirm(little)
+        if sides.isEmpty():
+            return
+        self._know(sides.select("doc").distinct(), path)
+        rows = sides.join(self.members, "doc")
+        held = lambda r: F.greatest(F.sum((F.col("right") == r).cast("int")) / self.block, F.sum(F.when(F.col("right") == r, F.col("n"))) / BLOCK_SHINGLES)
+        blocks = rows.groupBy("kind", "arena").agg(*[F.ceil(held(r)).cast("int").alias(n) for n, r in (("lefts", False), ("rights", True))])
+        rows = rows.join(blocks, ["kind", "arena"])
+        own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        places = F.when(F.col("right"), F.transform(every("lefts"), lambda i: F.struct(i.alias("i"), own("rights").alias("j")))).otherwise(F.transform(every("rights"), lambda j: F.struct(own("lefts").alias("i"), j.alias("j"))))
+        rows = rows.select("kind", "arena", "right", "doc", "n", "comp", F.inline(places))
+        # the keys of large buckets that a document is in: a few hundred at most, one for each band
+        keys = large.groupBy("doc").agg(F.collect_set("key").alias("keys"))
+        held = self.sigs.select("doc", "sig").join(self.sets, "doc").join(keys, "doc", "left")
+        with batches_of(self.spark, 500):
+            links = save(rows.join(held, "doc").groupBy("kind", "arena", "i", "j").applyInPandas(partial(_compared, self.percent, self.least), "a long, b long"), f"{path}/links")
+        self._add(links, f"{path}/after")
 
 
 def minhash_components(docs: DataFrame, words: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", few: int = FEW, block: int = BLOCK) -> DataFrame:
