@@ -17,6 +17,7 @@ from .operators.termindex import TermIndex
 from .plans import metrics, quality, readiness
 from .plans.intent import parse
 from .sources.catalog import StarCatalog, by_ids, offers_of
+from .sources.keyed import lookup, write_keyed
 from .streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -510,6 +511,26 @@ def offers_of_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("product_id", C("id").alias("offer_id"), rounded(C("current_price"), 4).alias("price"))
 
 
+LOOKED_UP = ["7", "42", "no such product"]
+
+
+@query(BASE + "SELECT product_id, store_id, round(current_price, 4) AS price FROM offers WHERE product_id IN ('7', '42') ORDER BY 1, 3")
+def offers_of_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offers of a few products from a table written for lookups."""
+    rows, path = star(spark, sf_dir).offers, f"{_scratch(spark)}/offers"
+    write_keyed(rows, path, "product_id", then=("store_id",))
+    return lookup(spark, path, ", ".join(f"{c} {t}" for c, t in rows.dtypes), "product_id", LOOKED_UP).select("product_id", "store_id", rounded(C("current_price"), 4).alias("price"))
+
+
+@query(BASE + "SELECT product_id, store_id, round(price, 4) AS price, checked_at FROM history WHERE product_id IN ('7', '42')")
+def history_of_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was observed of a few products, from a table written for lookups."""
+    rows, path = star(spark, sf_dir).history.select("product_id", "store_id", "price", "checked_at"), f"{_scratch(spark)}/history"
+    write_keyed(rows, path, "product_id", then=("store_id", "checked_at"))
+    found = lookup(spark, path, ", ".join(f"{c} {t}" for c, t in rows.dtypes), "product_id", LOOKED_UP)
+    return found.select("product_id", "store_id", rounded(C("price"), 4).alias("price"), "checked_at")
+
+
 # -- quality gates ----------------------------------------------------------------------------------
 
 KINDS = ["smartphone", "cuffie wireless", "laptop", "smart tv", "", "giardino"]
