@@ -129,3 +129,32 @@ def average_confidence(results: DataFrame) -> DataFrame:
     """One row: none, low, medium or high over the batch."""
     points = F.avg(F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).otherwise(1))
     return results.agg(points.alias("p")).select(F.when(F.col("p").isNull(), "none").when(F.col("p") >= 2.5, "high").when(F.col("p") >= 1.6, "medium").otherwise("low").alias("average_confidence"))
+
+
+def dry_run(candidates: DataFrame, examples: int = 5) -> dict:
+    """What would become of listings: counts, average confidence, and the first rejected ones and ones with warnings.
+
+    Nothing but counts and that many examples reaches the driver.
+    """
+    results = evaluate(candidates)
+    counts: dict[str, dict[str, int]] = {}
+    for r in summarize(results).orderBy("kind", F.desc("n"), "value").collect():
+        counts.setdefault(r.kind, {})[r.value] = r.n
+    shown = lambda rows: [{"summary": r.summary, "warnings": list(r.warnings)} for r in rows.orderBy("summary").limit(examples).collect()]
+    one = lambda kind: counts.get(kind, {}).get("", 0)
+    return {
+        "total": one("total"), "accepted": one("accepted"), "rejected": one("rejected"), "with_warnings": one("with_warnings"), "average_confidence": average_confidence(results).first()[0],
+        "by_category": counts.get("category", {}), "by_reason": counts.get("reason", {}), "by_warning": counts.get("warning", {}),
+        "examples": {"rejected": shown(results.where("not accepted")), "warnings": shown(results.where(F.col("accepted") & (F.size("warnings") > 0)))},
+    }
+
+
+def text(report: dict) -> str:
+    """A dry run as lines of text."""
+    one = ("total", "accepted", "rejected", "with_warnings", "average_confidence")
+    lines = [f"{k.replace('_', ' ')}: {report[k]}" for k in one]
+    for k in ("by_category", "by_reason", "by_warning"):
+        lines += [f"{k.replace('_', ' ')}:"] + [f"  {name}: {n}" for name, n in report[k].items()]
+    for k, rows in report["examples"].items():
+        lines += [f"{k}:"] * bool(rows) + [f"  {r['summary']}" + (f" ({', '.join(r['warnings'])})" if r["warnings"] else "") for r in rows]
+    return "\n".join(lines)

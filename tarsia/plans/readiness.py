@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import missing, number, usable_history
+from ..functions.prices import observed_at
 from ..functions.text import label
 from ..operators.predict import when
 from ..sources.catalog import Catalog
@@ -19,8 +20,13 @@ RECENT_DAYS, STALE_DAYS = 3, 14
 DIFFERS = 0.01
 
 
+def timed(history: DataFrame) -> DataFrame:
+    """Observations with the time of their creation where none of checking is known, if the table has one."""
+    return history.withColumn("checked_at", observed_at(C("checked_at"), C("created_at"))) if "created_at" in history.columns else history
+
+
 def valid(history: DataFrame) -> DataFrame:
-    return history.where(usable_history(positive=True))
+    return timed(history).where(usable_history(positive=True))
 
 
 def by_product(cat: Catalog) -> DataFrame:
@@ -98,7 +104,7 @@ def report(cat: Catalog, folder: str, now: Column | None = None, examples: int =
     """
     spark, now = cat.products.sparkSession, F.current_timestamp() if now is None else now
     with Pass(spark, folder) as run:
-        rows = run.watch(cat.history, rows=F.count("*"), no_pid=when_(missing(C("product_id"))), no_price=when_(missing(C("price"))), bad_price=when_(number(C("price")) <= 0))
+        rows = run.watch(timed(cat.history), rows=F.count("*"), no_pid=when_(missing(C("product_id"))), no_price=when_(missing(C("price"))), bad_price=when_(number(C("price")) <= 0))
         rows = rows.select("product_id", "store_id", number(C("price")).alias("price"), usable_history(positive=True).alias("ok"), "checked_at", when().alias("at"), history_label().alias("said"))
         points = run.write("points", rows.groupBy("product_id", "store_id", "price", "ok").agg(F.count("*").alias("n"), F.max("at").alias("at"), F.min("checked_at").alias("oldest"), F.max("checked_at").alias("newest"), F.min("said").alias("said")))
         pairs = points.where("ok").groupBy("product_id", "store_id").agg(F.sum("n").alias("points"), F.max_by("price", "at").alias("latest"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))

@@ -586,9 +586,10 @@ def gate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(LISTED + """SELECT 'total' AS kind, '' AS value, count(*) AS n FROM w UNION ALL SELECT CASE WHEN len(reasons) = 0 THEN 'accepted' ELSE 'rejected' END, '', count(*) FROM w GROUP BY 1 UNION ALL SELECT 'with_warnings', '', count(*) FROM w WHERE len(warnings) > 0
-UNION ALL SELECT 'reason', x, count(*) FROM (SELECT unnest(reasons) AS x FROM w) GROUP BY 2 UNION ALL SELECT 'warning', x, count(*) FROM (SELECT unnest(warnings) AS x FROM w) GROUP BY 2 UNION ALL SELECT 'category', coalesce(cat, 'unknown'), count(*) FROM w GROUP BY 2""")
+UNION ALL SELECT 'reason', x, count(*) FROM (SELECT unnest(reasons) AS x FROM w) GROUP BY 2 UNION ALL SELECT 'warning', x, count(*) FROM (SELECT unnest(warnings) AS x FROM w) GROUP BY 2 UNION ALL SELECT 'category', coalesce(cat, 'unknown'), count(*) FROM w GROUP BY 2
+UNION ALL SELECT 'confidence', CASE WHEN len(reasons) > 0 THEN 'low' WHEN risk = 'high' OR list_has_any(warnings, ['generic_title', 'unknown_category', 'category_high_matching_complexity']) THEN 'low' WHEN len(warnings) = 0 THEN 'high' ELSE 'medium' END, count(*) FROM w GROUP BY 2""")
 def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.summarize(gates.evaluate(_listings(spark, sf_dir))).where("kind <> 'confidence'")
+    return gates.summarize(gates.evaluate(_listings(spark, sf_dir)))
 
 
 # -- text, pages ----------------------------------------------------------------------------------------

@@ -146,6 +146,15 @@ def test_readiness_counts(spark, folder, seed):
     assert said == {"insufficient_data": levels["none"], "monitor_only": levels["monitor"], "weak_buy_wait_guidance": levels["weak"], "stronger_buy_wait_guidance": levels["strong"]}
 
 
+def test_unknown_times_are_those_of_creation(spark, folder):
+    seen = [("2026-06-14 00:00:00", "2026-01-01 00:00:00"), (None, "2026-06-01 00:00:00"), (None, None)]
+    cat = Catalog.from_rows(spark, products=[{"id": "a", "name": "A"}], history=[{"product_id": "a", "price": 5.0 + i, "data_confidence": "alta"} for i in range(3)])
+    times = spark.createDataFrame([(i, c, n) for i, (c, n) in enumerate(seen)], "ord long, checked string, created_at string")
+    cat.history = cat.history.drop("checked_at").join(times, "ord").withColumn("checked_at", F.col("checked").cast("timestamp")).drop("checked")
+    said = {r.label: r.count_text for r in readiness.report(cat, folder, now=F.lit(str(NOW)).cast("timestamp")).collect()}
+    assert (said["oldest usable observation"], said["newest usable observation"]) == ("2026-06-01T00:00:00", "2026-06-14T00:00:00")
+
+
 def test_each_relation_is_read_once(spark, folder, monkeypatch):
     """Every relation stands in the plan of one written table only."""
     products, shops, offers, history = messy(5)
