@@ -215,18 +215,19 @@ def _compared(percent: int, least: int, df: pd.DataFrame) -> pd.DataFrame:
     The most alike come first; pairs whose components are joined by then need no look, nor
     those that meet under a smaller key of a large bucket.
     """
-    left, right = df[~df["right"]], df[df["right"]]
+    here, key = bool(df["kind"].iat[0]), int(df["arena"].iat[0])
+    alone = here and df["i"].iat[0] == df["j"].iat[0]
+    side = df["piece"] == df["j"] if here else df["right"]
+    left, right = (df, df) if alone else (df[~side], df[side])
     links: list[tuple[int, int]] = []
     if len(left) and len(right):
-        left, right = left.drop_duplicates("doc"), right.drop_duplicates("doc")
         x, y = _matrix(left["sig"], np.uint16), _matrix(right["sig"], np.uint16)
-        here, key = bool(df["kind"].iat[0]), int(df["arena"].iat[0])
         ids, n, comp, keys = (right[c].to_numpy() for c in ("doc", "n", "comp", "keys"))
         own_ids, own_n, own_comp, own_keys = (left[c].to_numpy() for c in ("doc", "n", "comp", "keys"))
         a, b, agree = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i in range(len(left)):
             ok = (comp != own_comp[i]) & (100 * np.minimum(n, own_n[i]) >= percent * np.maximum(n, own_n[i]))
-            ok = np.flatnonzero(ok & (ids > own_ids[i]) if here else ok)
+            ok = np.flatnonzero(ok & (ids > own_ids[i]) if alone else ok)
             same = (y[ok] == x[i]).sum(1)
             ok, same = ok[same >= least], same[same >= least]
             a.append(np.full(len(ok), i))
@@ -336,7 +337,7 @@ class _Search:
         some = per.join(kinds.where(F.col("c") <= self.few), "key").groupBy("key").agg(F.sort_array(F.collect_list("comp")).alias("l"))
         pairs = F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: x < y), lambda y: F.struct(x.alias("a"), y.alias("b")))))
         meet = save(some.select(F.inline(pairs)).distinct(), f"{path}/meet")
-        large = save(inside.join(kinds.where(F.col("c") > self.few), "key", "left_semi").select("key", "doc"), f"{path}/large")
+        large = save(inside.join(kinds.where(F.col("c") > self.few), "key", "left_semi").select("key", "doc", "n"), f"{path}/large")
         return meet, large
 
     def between(self, meet: DataFrame, large: DataFrame) -> None:
@@ -355,24 +356,26 @@ class _Search:
         one_by_one = pairs.where("little").join(doc("x", "arena"), "arena").join(doc("y", "guest"), "guest").where(_sizes_do(self.percent, F.col("nx"), F.col("ny")))
         little = save(one_by_one.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), f"{path}/little")
         sides = pairs.where("not little").select(F.lit(0).alias("kind"), "arena", F.col("arena").alias("comp"), F.lit(False).alias("right")).distinct()
-        sides = sides.union(pairs.where("not little").select(F.lit(0), "arena", "guest", F.lit(True))).join(self.members.select("comp", "doc"), "comp").select("kind", "arena", "right", "doc")
-        both = F.explode(F.array(F.lit(False), F.lit(True))).alias("right")
-        sides = save(sides.union(large.select(F.lit(1), F.col("key"), both, "doc")), f"{path}/sides")
+        sides = sides.union(pairs.where("not little").select(F.lit(0), "arena", "guest", F.lit(True))).join(self.members, "comp").select("kind", "arena", "right", "doc", "n")
+        sides = save(sides.union(large.select(F.lit(1), "key", F.lit(False), "doc", "n")), f"{path}/sides")
         self.confirm(little)
         if sides.isEmpty():
             return
-        self._know(sides.select("doc").distinct(), path)
-        rows = sides.join(self.members, "doc")
-        held = lambda r: F.greatest(F.sum((F.col("right") == r).cast("int")) / self.block, F.sum(F.when(F.col("right") == r, F.col("n"))) / BLOCK_SHINGLES)
-        blocks = rows.groupBy("kind", "arena").agg(*[F.ceil(held(r)).cast("int").alias(n) for n, r in (("lefts", False), ("rights", True))])
-        rows = rows.join(blocks, ["kind", "arena"])
+        docs = save(sides.select("doc").distinct(), f"{path}/docs")
+        self._know(docs, path)
+        many = lambda r: F.greatest(F.sum((F.col("right") == r).cast("int")) / self.block, F.sum(F.when(F.col("right") == r, F.col("n"))) / BLOCK_SHINGLES)
+        blocks = sides.groupBy("kind", "arena").agg(*[F.ceil(many(r)).cast("int").alias(n) for n, r in (("lefts", False), ("rights", True))])
+        rows = sides.join(blocks, ["kind", "arena"])
         own = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
         every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-        places = F.when(F.col("right"), F.transform(every("lefts"), lambda i: F.struct(i.alias("i"), own("rights").alias("j")))).otherwise(F.transform(every("rights"), lambda j: F.struct(own("lefts").alias("i"), j.alias("j"))))
-        rows = rows.select("kind", "arena", "right", "doc", "n", "comp", F.inline(places))
+        cell = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+        # the pieces of a large bucket meet in pairs, those of two components each with all of the other's
+        within = F.transform(every("lefts"), lambda o: cell(F.least(own("lefts"), o), F.greatest(own("lefts"), o)))
+        across = F.when(F.col("right"), F.transform(every("lefts"), lambda i: cell(i, own("rights")))).otherwise(F.transform(every("rights"), lambda j: cell(own("lefts"), j)))
+        rows = rows.select("kind", "arena", "right", own("lefts").alias("piece"), "doc", "n", F.inline(F.when(F.col("kind") == 1, within).otherwise(across)))
         # the keys of large buckets that a document is in: a few hundred at most, one for each band
         keys = large.groupBy("doc").agg(F.collect_set("key").alias("keys"))
-        held = self.sigs.select("doc", "sig").join(self.sets, "doc").join(keys, "doc", "left")
+        held = docs.join(self.members.select("doc", "comp"), "doc").join(self.sigs.select("doc", "sig"), "doc").join(self.sets, "doc").join(keys, "doc", "left")
         with batches_of(self.spark, 500):
             links = save(rows.join(held, "doc").groupBy("kind", "arena", "i", "j").applyInPandas(partial(_compared, self.percent, self.least), "a long, b long"), f"{path}/links")
         self._add(links, f"{path}/after")
