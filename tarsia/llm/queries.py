@@ -135,6 +135,29 @@ WITH RECURSIVE w AS (
 )
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN c USING (doc_id)""",
+    "op7_jaccard": """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS t FROM w
+), sizes AS (
+  SELECT doc_id, count(*) AS n, md5(string_agg(t, chr(10) ORDER BY t)) AS class FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.t = y.t AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b, x.class AS class_a, y.class AS class_b FROM pairs p JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 75 * (x.n + y.n - common)
+), reach AS (
+  SELECT doc_id, doc_id AS to_id FROM documents
+  UNION
+  SELECT reach.doc_id, l.b FROM reach JOIN links l ON l.a = reach.to_id
+), c AS (
+  SELECT doc_id, min(to_id) AS component_id FROM reach GROUP BY doc_id
+), degree AS (
+  SELECT a AS doc_id, count(DISTINCT class_b) AS n FROM links WHERE class_a <> class_b GROUP BY 1
+)
+SELECT d.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, component_id, coalesce(degree.n, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN c USING (doc_id) LEFT JOIN degree USING (doc_id)""",
     "op12_hard_negatives": """
 WITH v AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
