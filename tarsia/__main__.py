@@ -78,7 +78,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(metrics.json_report(report) if a.json else metrics.text_report(report))
         return 0
     if a.command == "match":
-        rows = matching.match_report(matching.candidate_pairs(matching.features(cat.products)), cat.offers, a.limit)
+        rows = matching.match_report(matching.alike_classes(matching.features(cat.products)), cat.offers, a.limit)
     else:
         rows = predict.predict(cat, a.product, a.category, a.limit, a.low_confidence, a.min_points)
     if a.json:
