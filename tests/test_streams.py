@@ -243,3 +243,23 @@ def test_passes_at_an_interval(spark, tmp_path):
     assert len(sink.catalog().history.collect()) == 1
     published = sink._read("commits", "state string, batch long").where("state = 'published'").count()
     assert published >= 2
+
+
+# -- price changes at size -----------------------------------------------------------------------
+
+
+def test_state_is_asked_by_buckets(spark, tmp_path, monkeypatch):
+    """Many series share a bucket: its state rows are no more than the buckets, and each series keeps its own price, time and timer."""
+    monkeypatch.setattr(changes, "BUCKETS", 3)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    written(spark, source, "a", [x for i in range(40) for x in ((f"p{i}", 1.0, 0, 1), (f"p{i}", float(i % 2), 1, 2))] + [("late", 1.0, 16, 1)])
+    changes.drain(stream(spark, source, stale_days=14), out)
+    written(spark, source, "b", [(f"p{i}", 9.0, 20, 3) for i in range(5)] + [("late", 1.0, 40, 2)])
+    got = changes.drain(stream(spark, source, stale_days=14), out).collect()
+    changed = [(r.product_id, r.price, r.previous_price) for r in got if r.kind == "change"]
+    want = [(f"p{i}", 1.0, None) for i in range(40)] + [(f"p{i}", 0.0, 1.0) for i in range(0, 40, 2)] + [(f"p{i}", 9.0, float(i % 2)) for i in range(5)] + [("late", 1.0, None)]
+    assert sorted(changed, key=str) == sorted(want, key=str)
+    stale = sorted((r.product_id, r.price) for r in got if r.kind == "stale")
+    assert stale == sorted([(f"p{i}", float(i % 2)) for i in range(40)] + [(f"p{i}", 9.0) for i in range(5)])
+    state = spark.read.format("statestore").option("stateVarName", "last").load(f"{out}/checkpoint")
+    assert 0 < state.count() <= 3
