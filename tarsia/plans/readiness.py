@@ -11,7 +11,7 @@ from ..functions.text import label
 from ..operators.predict import when
 from ..sources.catalog import Catalog
 from .metrics import Pass, Section, report_of, when_
-from .quality import history_label, keys_of, product_label
+from .quality import first_of, history_label, keys_of, product_label
 
 C = F.col
 #: From so many points on: nothing, monitoring, weak and stronger guidance.
@@ -105,15 +105,16 @@ def report(cat: Catalog, folder: str, now: Column | None = None, examples: int =
     spark, now = cat.products.sparkSession, F.current_timestamp() if now is None else now
     with Pass(spark, folder) as run:
         rows = run.watch(timed(cat.history), rows=F.count("*"), no_pid=when_(missing(C("product_id"))), no_price=when_(missing(C("price"))), bad_price=when_(number(C("price")) <= 0))
-        rows = rows.select("product_id", "store_id", number(C("price")).alias("price"), usable_history(positive=True).alias("ok"), "checked_at", when().alias("at"), history_label().alias("said"))
-        points = run.write("points", rows.groupBy("product_id", "store_id", "price", "ok").agg(F.count("*").alias("n"), F.max("at").alias("at"), F.min("checked_at").alias("oldest"), F.max("checked_at").alias("newest"), F.min("said").alias("said")))
+        rows = rows.select("product_id", "store_id", "price", usable_history(positive=True).alias("ok"), "checked_at", when().alias("at"))
+        points = run.write("points", rows.groupBy("product_id", "store_id", "price", "ok").agg(F.count("*").alias("n"), F.max("at").alias("at"), F.min("checked_at").alias("oldest"), F.max("checked_at").alias("newest")))
+        points = points.withColumns({"said": history_label(), "price": number(C("price"))})
         pairs = points.where("ok").groupBy("product_id", "store_id").agg(F.sum("n").alias("points"), F.max_by("price", "at").alias("latest"), F.min("oldest").alias("oldest"), F.max("newest").alias("newest"))
         pairs = run.write("pairs", run.watch(pairs, oldest=F.min("oldest"), newest=F.max("newest")))
 
         if_ok = lambda c: F.when(C("ok"), C(c))
         seen = points.where(~missing(C("product_id"))).groupBy(C("product_id").alias("id")).agg(
             F.coalesce(F.sum(if_ok("n")), F.lit(0)).alias("points"), F.count_distinct(if_ok("price")).alias("prices"), F.min(if_ok("price")).alias("low"), F.max(if_ok("price")).alias("high"), F.max(if_ok("newest")).alias("newest"),
-            F.sum("n").alias("h"), F.min("said").alias("said"),
+            F.sum("n").alias("h"),
         )
         products = run.watch(cat.products, products=F.count("*")).groupBy("id").agg(F.count("*").alias("p"), F.min(product_label()).alias("said_p"))
         facts = products.join(seen, "id", "full_outer").withColumns({"known": C("p").isNotNull() & ~missing(C("id")), "depth": F.coalesce("points", F.lit(0))})
@@ -127,7 +128,8 @@ def report(cat: Catalog, folder: str, now: Column | None = None, examples: int =
         ))
         run.sample("none", facts.where("known and depth = 0"), C("said_p"))
         run.sample("stale", facts.where(C("known") & stale), C("said_p"))
-        run.sample("orphan", facts.where("p is null and h is not null"), C("said"))
+        if run.seen["orphan"]:
+            run.sample("orphan", first_of(points, "product_id", facts.where("p is null and h is not null"), C("said")), C("label"))
 
         price, named = number(C("current_price")), ~missing(C("product_id")) & ~missing(C("store_id"))
         offers = run.watch(cat.offers, offers=F.count("*")).join(pairs.select("product_id", "store_id", "points", "latest"), ["product_id", "store_id"], "left")

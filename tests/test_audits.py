@@ -194,3 +194,14 @@ def test_pair_report_and_prediction_json(spark):
     assert all((p.offer_count_r, p.store_count_r) == ((3, 3) if p.id_r == "1" else (0, 0)) for p in pairs)
     said = [json.loads(r.prediction) for r in as_json(predict(cat)).collect()]
     assert {(x["store_name"], x["current_price"]) for x in said} == {("Nord", 210.0), ("Sud", 199.0), ("Est", 220.0)} and all("volatility_pct" in x for x in said)
+
+
+@pytest.mark.parametrize(("of", "table"), [(readiness, "points"), (quality, "history")])
+def test_no_label_goes_with_the_history(spark, folder, monkeypatch, of, table):
+    """Labels are as long as the rows; only those of orphans are made, and they are found."""
+    cat = Catalog.from_rows(spark, products=[{"id": "a", "name": "A"}], history=[{"product_id": p, "store_id": "s", "price": 2.0} for p in "azy"])
+    written, write = {}, metrics.Pass.write
+    monkeypatch.setattr(metrics.Pass, "write", lambda self, name, rows: written.setdefault(name, write(self, name, rows)))
+    orphans = next(r for r in of.report(cat, folder).collect() if r.label == "rows of unknown products")
+    assert orphans.examples == ["y | s | 2.0", "z | s | 2.0"] and orphans.count_num == 2
+    assert not {"said", "example"} & set(written[table].columns)
