@@ -11,6 +11,8 @@ its bucket, which joins what is plainly alike. Then only different components ne
 * all pairs of a bucket of up to ``FEW`` members;
 * in larger buckets of up to ``FEW`` components, the components, each pair of them once
   however many buckets they share: their signatures are compared in blocks;
+* larger buckets whose documents fill up to ``PIECES`` blocks: their signatures are compared in
+  blocks at once, which takes fewer rows than new signatures would;
 * what meets in still larger buckets gets new, longer signatures (level 2), which part what is
   less alike. If there are such buckets again, their signatures are compared in blocks.
 
@@ -45,6 +47,9 @@ FEW = 16
 AGREE = 77
 #: Documents of a block, and their shingles.
 BLOCK, BLOCK_SHINGLES = 1000, 2_000_000
+#: Blocks that a document of a large bucket goes to at most before longer signatures are made: in all
+#: buckets together it makes no more rows than level 2 has bands.
+PIECES = BANDS_2 // BANDS
 #: Shingles hashed at once, bytes of texts at once, ids (two longs each) that are broadcast at most.
 CHUNK, SMALL, BROADCAST_IDS = 4096, 8 << 20, 500_000
 
@@ -340,6 +345,13 @@ class _Search:
         large = save(inside.join(kinds.where(F.col("c") > self.few), "key", "left_semi").select("key", "doc", "n"), f"{path}/large")
         return meet, large
 
+    def parted(self, large: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Rows of large buckets: of those that fill few blocks, and of the others."""
+        sizes = large.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("of"))
+        fits = (F.col("m") <= PIECES * self.block) & (F.col("of") <= PIECES * BLOCK_SHINGLES)
+        beyond = save(sizes.where(~fits).select("key"), f"{self.path}/buckets-{name}/beyond")
+        return large.join(beyond, "key", "left_anti"), large.join(beyond, "key", "left_semi")
+
     def between(self, meet: DataFrame, large: DataFrame) -> None:
         """Compare components that met (a, b: by any of their members) and all documents of large buckets (key, doc)."""
         path = f"{self.path}/blocks"
@@ -415,12 +427,14 @@ def minhash_components(docs: DataFrame, words: int = 4, percent: int = 80, id_co
 
     of = search.members.select("doc", "comp")
     meet, large = search.buckets(sigs.join(of, "doc").mapInArrow(partial(_bands, BANDS), BUCKETS), "1")
-    if not large.isEmpty():
-        ids = large.select("doc").distinct().join(sigs.select("doc", "k1"), "doc").join(search.members, "doc")
+    large, beyond = search.parted(large, "1")
+    if not beyond.isEmpty():
+        ids = beyond.select("doc").distinct().join(sigs.select("doc", "k1"), "doc").join(search.members, "doc")
         texts = search.texts_of(ids.select("doc", "k1", "n", "comp"), "longer")
         level2 = texts.mapInArrow(partial(_longer, words), BUCKETS).distinct()
-        more, large = search.buckets(save(level2, f"{path}/level-2"), "2")
+        more, again = search.buckets(save(level2, f"{path}/level-2"), "2")
         meet = save(meet.union(more), f"{path}/meet")
+        large = save(large.union(again), f"{path}/large")
     search.between(meet, large)
 
     of = classes.join(search.members.select(F.col("doc").alias("one"), "comp"), "one").select(F.col("doc").alias("id"), F.col("comp"))

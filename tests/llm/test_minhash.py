@@ -83,6 +83,22 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     assert paths == {"meet", "large"}
 
 
+@pytest.mark.parametrize(("block", "levels"), [(5, {"1", "2"}), (100, {"1"})])
+def test_large_buckets_get_longer_signatures_only_beyond_a_few_blocks(spark, monkeypatch, block, levels):
+    monkeypatch.setattr(minhash, "SKETCH", 1)
+    made_at, large_at, buckets = set(), set(), minhash._Search.buckets
+
+    def seen(self, rows, name):
+        meet, large = buckets(self, rows, name)
+        made_at.add(name)
+        large_at.update({name} if not large.isEmpty() else ())
+        return meet, large
+
+    monkeypatch.setattr(minhash._Search, "buckets", seen)
+    check(spark, made(2, 390), few=2, block=block)
+    assert made_at == levels and "1" in large_at
+
+
 def test_other_parameters(spark):
     check(spark, made(3, 150), words=2, percent=90)
 
