@@ -8,15 +8,18 @@ higher priority is dropped.
 
 from __future__ import annotations
 
+import operator
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save, scratch
 
-UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The only character beyond ASCII whose lower case is one of ASCII, and a letter that stands in for it.
+KELVIN, LETTER = "\u212a", "\u00e5"
 #: Everything that isn't a digit, a lower-case letter or beyond ASCII separates words.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed phrases, found at all places, never suppressed.
@@ -154,16 +157,16 @@ def rules() -> list[Rule]:
 DEMAND = {"mit ": [" mit "], "rail": ["openrail", "open rail"], "beer": ["beerware", "beer ware"], " zero": ["cc zero", "creative commons"]} | {f" {c.replace('-', ' ')}": [f"cc {c.replace('-', ' ')}", "creative commons"] for c in CC}
 
 
-def _gate() -> str:
-    """A text without any match of this has no license statement."""
+def _gate() -> list[str]:
+    """A text that holds none of these has no license statement."""
     # what must be there stays of a pattern: optional groups go, innermost first
     demanded = set()
     for pattern, keyword in [(r.pattern, r.keyword) for r in rules() if r.priority == FIXED] + [(p, k) for _, p, k in [*NAMES, *FAMILIES]] + [("spdx", "spdx")]:
         while (less := re.sub(r"\(\?:[^()]*\)[?*]", "", pattern)) != pattern:
             pattern = less
-        demanded.update(["licen[cs]"] if L in pattern or "license" in pattern else DEMAND.get(keyword, [keyword]))
+        demanded.update(["licenc", "licens"] if L in pattern or "license" in pattern else DEMAND.get(keyword, [keyword]))
     # those that hold another one add nothing
-    return "|".join(sorted(d for d in demanded if not any(o != d and o in d for o in demanded)))
+    return sorted(d for d in demanded if not any(o != d and o in d for o in demanded))
 
 
 GATE = _gate()
@@ -183,14 +186,21 @@ def scan_licenses(docs: DataFrame, more: tuple[Rule, ...] = (), id_col: str = "d
     """
     spark = docs.sparkSession
     path = scratch(spark, "licenses")
-    flat = F.btrim(F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWERED), BETWEEN, " "), F.lit(" "))
+    flat = F.btrim(F.regexp_replace(F.lower(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(KELVIN), F.lit(LETTER))), BETWEEN, " "), F.lit(" "))
     words = docs.select(F.col(id_col).alias("doc_id"), F.concat(F.lit(" "), flat, F.lit(" ")).alias("s"))
     n_words = F.when(F.col("s") == "  ", 0).otherwise(_spaces(F.col("s")) - 1).cast("long")
-    gated = F.when(F.col("s").rlike(GATE), F.col("s"))
-    seen = save(words.select(F.monotonically_increasing_id().alias("rid"), "doc_id", n_words.alias("n_words"), gated.alias("s")), f"{path}/seen")
-
-    all_rules = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"), F.lit(r.keyword).alias("keyword"), F.lit(r.priority).alias("priority")) for r in [*rules(), *more]])
-    tried = F.filter(all_rules, lambda r: F.contains(F.col("s"), r["keyword"]) & F.regexp_like(F.col("s"), r["pattern"]))
+    gate = reduce(operator.or_, [F.contains(F.col("s"), F.lit(k)) for k in GATE])
+    given = F.when(gate, F.col("s").rlike(f" {GIVEN}"))
+    seen = save(words.select(F.monotonically_increasing_id().alias("rid"), "doc_id", n_words.alias("n_words"), F.when(gate, F.col("s")).alias("s"), given.alias("given")), f"{path}/seen")
+
+    # each keyword is looked for once; rules for grants are tried where the words that grant occur
+    groups: dict[tuple[str, bool], list[Rule]] = {}
+    for r in [*rules(), *more]:
+        groups.setdefault((r.keyword, r.pattern.startswith(GIVEN)), []).append(r)
+    each = lambda r: F.struct(F.lit(r.label).alias("label"), F.lit(f"(?<= )(?:{r.pattern})(?= )").alias("pattern"), F.lit(r.priority).alias("priority"))
+    grouped = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(g).alias("given"), F.array(*map(each, rs)).alias("rules")) for (k, g), rs in groups.items()])
+    held = F.filter(grouped, lambda g: (~g["given"] | F.col("given")) & F.contains(F.col("s"), g["keyword"]))
+    tried = F.filter(F.flatten(F.transform(held, lambda g: g["rules"])), lambda r: F.regexp_like(F.col("s"), r["pattern"]))
     hit = seen.where("s is not null").select("rid", "s", F.posexplode(tried).alias("k", "rule"))
     gaps, hits = F.split("s", F.col("rule.pattern"), -1), F.regexp_extract_all("s", F.col("rule.pattern"), F.lit(0))
     # words before each match since the one before, and words of the match
@@ -217,4 +227,4 @@ def scan_licenses(docs: DataFrame, more: tuple[Rule, ...] = (), id_col: str = "d
         F.array_sort(F.collect_list(F.struct("start", "end", "label", "priority"))).alias("detections"),
     )
     none = F.lit("")
-    return seen.drop("s").join(found, "rid", "left").select("doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"), F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "detections")
+    return seen.drop("s", "given").join(found, "rid", "left").select("doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"), F.coalesce("base_labels", none).alias("base_labels"), F.coalesce("labels", none).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), "detections")

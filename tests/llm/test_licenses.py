@@ -8,7 +8,7 @@ try:
 except ImportError:
     import sre_parse as _parser
 
-from tarsia.llm.licenses import BASE, SPDX, rules, scan_licenses
+from tarsia.llm.licenses import BASE, GATE, SPDX, rules, scan_licenses
 
 SCHEMA = "doc_id long, text string, label string"
 
@@ -103,3 +103,17 @@ def test_spdx_identifiers(spark):
     wrong = {i: got[n] for n, i in enumerate(known) if known[i] not in got[n].split(",")}
     assert not wrong
     assert set(SPDX) >= {*known.values()}
+
+
+def test_gate_is_plain_strings_that_rules_demand():
+    assert isinstance(GATE, list) and len(GATE) < 50
+    for r in rules():
+        texts = [f" {s} " for s in samples(_parser.parse(r.pattern)) if r.keyword in f" {s} "]
+        assert texts and all(any(g in t for g in GATE) for t in texts), r
+
+
+def test_only_ascii_is_lowered(spark):
+    texts = ["public domain work", "public domain WORK", "public domain wor\u212a", "M\u0130T LICENSE", "MIT LICENSE \u212a\u0130\u00c9 x"]
+    got = {x.doc_id: x for x in scan_licenses(spark.createDataFrame([(n, t, "x") for n, t in enumerate(texts)], SCHEMA)).collect()}
+    assert [got[n].labels for n in range(5)] == ["public-domain", "public-domain", "", "", "mit"]
+    assert [got[n].n_words for n in range(5)] == [3, 3, 3, 2, 4]
