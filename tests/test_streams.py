@@ -263,3 +263,35 @@ def test_state_is_asked_by_buckets(spark, tmp_path, monkeypatch):
     assert stale == sorted([(f"p{i}", float(i % 2)) for i in range(40)] + [(f"p{i}", 9.0) for i in range(5)])
     state = spark.read.format("statestore").option("stateVarName", "last").load(f"{out}/checkpoint")
     assert 0 < state.count() <= 3
+
+
+def test_stale_series_alone(spark, tmp_path, monkeypatch):
+    """Without changes only stale series are rows; one timer a bucket reports each sight of a series once, though its state isn't written again."""
+    monkeypatch.setattr(changes, "BUCKETS", 1)
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def drained():
+        return sorted((r.product_id, r.price, (r.checked_at - DAY).days) for r in changes.drain(stream(spark, source, stale_days=14, changed=False), out).select("product_id", "price", "checked_at").collect())
+
+    def untold():
+        state = spark.read.format("statestore").option("stateVarName", "last").load(f"{out}/checkpoint").select("value.series")
+        return sum(w is not None for r in state.collect() for w in changes._table(bytes(r.series))["wait"].to_pylist())
+
+    written(spark, source, "a", [("x", 5.0, 0, 1), ("y", 6.0, 3, 1), ("z", 7.0, 20, 1), ("z", 8.0, 21, 2)])
+    assert drained() == [("x", 5.0, 0), ("y", 6.0, 3)]
+    assert untold() == 3  # as it was before the timer
+    written(spark, source, "b", [("y", 6.0, 22, 2), ("w", 1.0, 40, 1)])
+    assert drained() == [("x", 5.0, 0), ("y", 6.0, 3), ("y", 6.0, 22), ("z", 8.0, 21)]
+    assert untold() == 3  # without x, as it was told when rows came
+    written(spark, source, "c", [("w", 2.0, 60, 2), ("x", 5.0, 60, 2)])
+    assert drained() == [("x", 5.0, 0), ("y", 6.0, 3), ("y", 6.0, 22), ("z", 8.0, 21)]
+
+
+def test_binary_sorts_as_its_numbers_do(spark):
+    top = 2**63 - 1
+    rows = [(a, b) for a in (-top - 1, -300, -1, 0, 7, 15, 16, 255, 256, 70_000, top, None) for b in (-2, 0, 3, 4096, None)]
+    df = spark.createDataFrame(rows, "a long, b long").select("a", "b", changes.sortable(F.col("a"), F.col("b")).alias("x"))
+    found = [(r.a, r.b) for r in sorted(df.collect(), key=lambda r: bytes(r.x))]
+    assert found == rows
+    # what the line items' orders, dates and amounts come to: 78 characters before
+    assert len(spark.range(1).select(changes.sortable(*map(F.lit, (6_000_000, 7, 10_500, 0, 9_499_999, 5000, 10))).alias("x")).first().x) <= 20
