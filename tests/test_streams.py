@@ -295,3 +295,34 @@ def test_binary_sorts_as_its_numbers_do(spark):
     assert found == rows
     # what the line items' orders, dates and amounts come to: 78 characters before
     assert len(spark.range(1).select(changes.sortable(*map(F.lit, (6_000_000, 7, 10_500, 0, 9_499_999, 5000, 10))).alias("x")).first().x) <= 20
+
+
+def test_rows_are_packed_before_they_are_dealt(spark, tmp_path, monkeypatch):
+    """A task's rows of a bucket go as one table, a few rows at once or many; times and prices go through as they are."""
+    rows = [(f"p{i % 7}", None if i % 5 == 0 else "s", [1.5, None, float("nan")][i % 3], None if i % 11 == 0 else dt.datetime(1965 + 40 * (i % 4), 3, 29, 2, 30, 0, i), f"{i:05d}") for i in range(60)]
+    got = {}
+    for together in ((7, 1 << 27), (1 << 20, 1 << 27), (1 << 20, 1)):
+        monkeypatch.setattr(changes, "TOGETHER", together)
+        log = spark.createDataFrame(rows, LOG).coalesce(1).withColumn("seen", F.unix_micros("checked_at")).select(*changes.TAKEN, F.lit(3).alias("bucket"))
+        batches = log.toArrow().to_batches(max_chunksize=5)
+        packed = [x for b in changes._gathered(iter(batches)) for x in b.to_pylist()]
+        assert {x["bucket"] for x in packed} == {3}
+        got[together] = (len(packed), sorted((str(r) for x in packed for r in changes._table(x["rows"]).to_pylist())))
+    assert [n for n, _ in got.values()] == [6, 1, 12]
+    want = sorted(str(dict(zip(changes.TAKEN, (p, s, v, q, t), strict=True))) for p, s, v, q, t in spark.createDataFrame(rows, LOG).select("product_id", "store_id", "price", "seq", F.unix_micros("checked_at")).collect())
+    assert all(x == want for _, x in got.values())
+    # and through the stream: a pack of one row and a pack of all
+    spark.createDataFrame(rows, LOG).write.parquet(str(tmp_path / "in" / "a"))
+    found = changes.drain(stream(spark, str(tmp_path / "in")), str(tmp_path / "out"))
+    assert {r.checked_at for r in found.collect()} <= {r[3] for r in rows} and found.count() >= 14
+
+
+def test_late_rows_count(spark, tmp_path):
+    """A row of an earlier time that is newer by its place in the log changes the price, whatever the watermark."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    written(spark, source, "a", [("p", 5.0, 0, 1), ("q", 1.0, 30, 1)])
+    changes.drain(stream(spark, source, stale_days=14), out)
+    written(spark, source, "b", [("p", 6.0, 1, 2), ("q", 1.0, 31, 2)])
+    got = changes.drain(stream(spark, source, stale_days=14), out).where("product_id = 'p'").collect()
+    assert sorted((r.kind, r.price, r.previous_price) for r in got if r.kind == "change" and r.previous_price) == [("change", 6.0, 5.0)]
+    assert sorted(r.price for r in got if r.kind == "stale") == [5.0, 6.0]
